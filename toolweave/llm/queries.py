@@ -1,11 +1,13 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from toolweave.llm import decontaminate
+from toolweave.llm import decontaminate, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op9_substring_dedup": substring_dedup.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }
