@@ -1,13 +1,15 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from toolweave.llm import decontaminate, substring_dedup
+from toolweave.llm import decontaminate, ngram_join, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op3_ngram_join": ngram_join.query,
     "op9_substring_dedup": substring_dedup.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }
