@@ -1,15 +1,18 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from toolweave.llm import decontaminate, ngram_join, substring_dedup
+from toolweave.llm import decontaminate, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_ngram_join": ngram_join.query,
+    "op4_quality": quality.query,
+    "op6_mixing": mixing.query,
     "op9_substring_dedup": substring_dedup.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op3_ngram_join": ngram_join.ORACLE_SQL,
+    "op4_quality": quality.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }
