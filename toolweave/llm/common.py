@@ -73,3 +73,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def fingerprint(text_col: str) -> Column:
+    """Tells rows of one id and different texts apart."""
+    return F.crc32(F.col(text_col).cast("binary"))
+
+
+def sized(df: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """A written table of fixed-width rows, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that gone (doc, print; written) names."""
+    gone = sized(gone)
+    keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__print": fingerprint(text_col)})
+    same = keyed["__doc"].eqNullSafe(gone["doc"]) & keyed["__print"].eqNullSafe(gone["print"])
+    return keyed.join(gone, same, "left_anti").drop("__doc", "__print")

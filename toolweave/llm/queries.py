@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from toolweave.llm import decontaminate, mixing, ngram_join, quality, substring_dedup
+from toolweave.llm import decontaminate, language, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_ngram_join": ngram_join.query,
     "op4_quality": quality.query,
     "op6_mixing": mixing.query,
+    "op7_language": language.query,
     "op9_substring_dedup": substring_dedup.query,
 }
 
