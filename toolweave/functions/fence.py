@@ -4,8 +4,9 @@ Catalyst substitutes an alias by its expression when it pushes a filter below a
 With field bags built from a dozen higher-order functions, and each used several times by
 the next step, that substitution grows with every step.  The columns of a one-row ``inline``
 generator cannot be substituted, so a filter on them stays above while filters on the
-carried columns (file, date, tool) are still pushed to the scan.  The generator is narrow and
-code-generated: it adds no shuffle and no row.
+carried columns (file, date, tool) are still pushed to the scan.  The generator is narrow: it adds
+no shuffle and no row. Where its input holds higher-order functions Spark interprets them, so fence
+once per stage, not per column.
 """
 
 from __future__ import annotations

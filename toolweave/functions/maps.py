@@ -1,13 +1,14 @@
-"""Field bags: MAP<STRING,STRING> helpers with explicit precedence on repeated keys."""
+"""Field bags: MAP<STRING,STRING> helpers.
 
-from __future__ import annotations
+The order of a bag's entries decides which of two colliding keys counts, so a bag comes from ``map_from_entries`` over an
+ordered array or from ``bag``, never from an unordered Python mapping of unknown origin.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import present
 
 ENTRIES = "array<struct<key:string,value:string>>"
 BAG = "map<string,string>"
@@ -53,47 +54,5 @@ def bag_of_present(pairs: dict) -> Column:
     return F.map_filter(bag(pairs), lambda k, v: v.isNotNull())
 
 
-def first_wins(entries: Column) -> Column:
-    """Map of the entries; on a repeated key the first entry stays."""
-    keys = F.transform(entries, lambda e: e["key"])
-    kept = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(kept)
-
-
-def last_wins(entries: Column) -> Column:
-    return first_wins(F.reverse(entries))
-
-
 def has_any(m: Column, keys) -> Column:
     return F.arrays_overlap(F.map_keys(m), literal_array(keys))
-
-
-def merge_missing(left: Column, right: Column) -> Column:
-    """All of ``left`` plus the keys only ``right`` has."""
-    extra = F.map_filter(right, lambda k, v: ~F.map_contains_key(left, k))
-    return F.map_concat(left, extra)
-
-
-def put_if(m: Column, key: str, value: Column, condition: Column) -> Column:
-    """``m`` with ``key`` set to ``value`` where the condition holds."""
-    base = F.map_filter(m, lambda k, v: k != F.lit(key))
-    return F.when(condition, F.map_concat(base, F.create_map(F.lit(key), value))).otherwise(m)
-
-
-def fill_absent(m: Column, fills) -> Column:
-    """Ordered ``(target, source)`` fill-ins: a present target key is never touched."""
-    def step(acc: Column, rule) -> Column:
-        target, source = rule
-        cond = ~F.map_contains_key(acc, F.lit(target)) & F.map_contains_key(acc, F.lit(source))
-        return F.when(cond, F.map_concat(acc, F.create_map(F.lit(target), acc[source]))).otherwise(acc)
-    return reduce(step, fills, m)
-
-
-def first_value(m: Column, keys) -> Column:
-    """First non-empty value among the keys, in order."""
-    return F.coalesce(*[F.when(present(m[k]), m[k]) for k in keys])
-
-
-def canonical_json(m: Column) -> Column:
-    """JSON text that does not depend on key order, usable as a grouping key."""
-    return F.to_json(F.array_sort(F.map_entries(m)))

@@ -31,22 +31,6 @@ def canonical_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
 
 
-def is_upper(c: Column) -> Column:
-    return (F.upper(c) == c) & (F.lower(c) != c)
-
-
-def scalar_type(c: Column) -> Column:
-    """``null | bool | int | float | str`` that the text would be read as."""
-    t = strip(c)
-    return (
-        F.when(c.isNull(), "null")
-        .when(F.lower(t).isin("true", "false"), "bool")
-        .when(t.rlike(INT_TEXT), "int")
-        .when(t.rlike(FLOAT_TEXT) & t.rlike("[.eE]"), "float")
-        .otherwise("str")
-    )
-
-
 def coerce_text(c: Column, blank_to_null: bool = False) -> Column:
     """Canonical text of the scalar a value would be read as.
 
@@ -69,32 +53,48 @@ def int_text(t: Column) -> Column:
 
 
 def float_text(t: Column) -> Column:
-    return t.try_cast("double").cast("string")
+    """A float as digits with a point (``10000000.0``); below 1e-4 and from 1e16 on as ``1e-05``, ``1e+16``."""
+    number = t.try_cast("double")
+    plain = number.cast("string")
+    digits = F.regexp_replace(number.cast("decimal(38,18)").cast("string"), r"0+$", "")
+    power = F.regexp_extract(plain, r"E-?(\d+)$", 1)
+    short = F.concat(F.regexp_replace(plain, r"(\.0)?E.*$", ""), F.when(plain.contains("E-"), "e-").otherwise("e+"),
+                     F.lpad(power, F.greatest(F.length(power), F.lit(2)), F.lit("0")))
+    middle = (F.abs(number) >= 1e-4) & (F.abs(number) < 1e16)
+    return (F.when(~plain.contains("E"), plain)
+            .when(middle, F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits))
+            .otherwise(short))
+
+
+def _flag(t: Column) -> Column:
+    """1.0 and 0.0 for true and false, else null."""
+    return F.when(F.lower(t) == "true", 1.0).when(F.lower(t) == "false", 0.0)
 
 
 def to_number(c: Column) -> Column:
-    """Double after dropping thousands commas; null when the text is not a number."""
+    """Double after dropping thousands commas; booleans count as 1 and 0; null when the text is not a number."""
     t = F.replace(strip(c), F.lit(","), F.lit(""))
-    return F.when(t.rlike(FLOAT_TEXT), t.try_cast("double"))
+    return F.coalesce(_flag(t), F.when(t.rlike(FLOAT_TEXT), t.try_cast("double")))
+
+
+def to_plain_number(c: Column) -> Column:
+    """Like to_number, but text with thousands commas is no number."""
+    t = strip(c)
+    return F.coalesce(_flag(t), F.when(t.rlike(FLOAT_TEXT), t.try_cast("double")))
 
 
 def to_finite(c: Column) -> Column:
     """Numeric value of a text or numeric column; null for text, NaN and infinities."""
-    s = c.cast("string")
-    return F.when(strip(s).rlike(FLOAT_TEXT), strip(s).try_cast("double"))
+    s = strip(c.cast("string"))
+    return F.when(s.rlike(FLOAT_TEXT), s.try_cast("double"))
 
 
 def to_int(c: Column) -> Column:
-    """Whole numbers only: ``7`` and ``7.0`` give 7, other text gives null."""
+    """64-bit whole numbers only: ``7``, ``7.0`` and ``true`` give a number, ``7.9`` and other text give null."""
     t = strip(c)
-    return F.when(t.rlike(INT_TEXT), t.try_cast("int")).when(
-        t.rlike(FLOAT_TEXT), t.try_cast("double").try_cast("int"))
-
-
-def text_lines(c: Column) -> Column:
-    """Lines after dropping a BOM and unifying CRLF and CR."""
-    t = F.regexp_replace(F.regexp_replace(c, "^\ufeff", ""), "\r\n?", "\n")
-    return F.split(t, "\n")
+    number = t.try_cast("double")
+    whole = F.when(t.rlike(FLOAT_TEXT) & (number == F.floor(number)), number.try_cast("bigint"))
+    return F.coalesce(_flag(t).cast("bigint"), F.when(t.rlike(INT_TEXT), t.try_cast("bigint")).otherwise(whole))
 
 
 def non_blank_lines(c: Column) -> Column:
@@ -103,32 +103,3 @@ def non_blank_lines(c: Column) -> Column:
 
 def stripped_lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, LINE_BREAK), strip), lambda x: x != "")
-
-
-def count_in(c: Column, needle: str) -> Column:
-    """Occurrences of a one-character needle, without building the pieces."""
-    return F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))
-
-
-def merge_evidence(a: Column, b: Column) -> Column:
-    a, b = strip(F.coalesce(a, F.lit(""))), strip(F.coalesce(b, F.lit("")))
-    return (
-        F.when(F.contains(a, b), a)
-        .when(F.contains(b, a), b)
-        .otherwise(F.concat(a, F.lit(" | "), b))
-    )
-
-
-def sample_text(c: Column) -> Column:
-    return F.when(F.length(c) > 80, F.concat(F.left(c, F.lit(77)), F.lit("..."))).otherwise(c)
-
-
-def collapse(c: Column) -> Column:
-    """One space between words, edge ``-:;`` and spaces gone."""
-    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "), F.lit(" -:;"))
-
-
-def json_string(c: Column) -> Column:
-    """The value as a quoted JSON string."""
-    wrapped = F.to_json(F.array(c))
-    return F.substr(wrapped, F.lit(2), F.length(wrapped) - 2)

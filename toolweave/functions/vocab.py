@@ -262,6 +262,7 @@ CONVERSIONS = {
 }
 
 # Families a bare unit implies (thickness shares its units with length).
+# Which family a unit belongs to when several take it, in order.
 UNIT_FAMILY_ORDER = [
     "temperature", "pressure", "time", "rotational_speed", "force", "gas_flow",
     "liquid_flow", "power", "frequency", "length", "mass", "percentage",
@@ -270,6 +271,15 @@ UNIT_FAMILY_ORDER = [
 # --------------------------------------------------------------------------------------
 # What makes a normalized record acceptable, per canonical type.
 # --------------------------------------------------------------------------------------
+# Source keys that fill an absent field, in order.
+HARMONIZED = {
+    "curr_state": ["new_state", "to_state", "event_name"],
+    "prev_state": ["from_state"],
+    "parameter": ["measurement_name", "sensor_id"],
+    "value": ["measured_value"],
+    "unit": ["units"],
+}
+
 MIN_CONFIDENCE = 0.5
 MIN_GENERIC_FIELDS = 3
 ACCEPT_RULES = {

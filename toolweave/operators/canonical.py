@@ -37,10 +37,12 @@ def _or(df: DataFrame, name: str, default: Column) -> Column:
 def canonicalize(records: DataFrame) -> DataFrame:
     """Parsed records to canonical records: a narrow projection, no shuffle."""
     text = F.lit(None).cast("string")
-    parsed_type = _or(records, "record_type", F.lit("unknown_record"))
-    source_type = F.coalesce(*[F.col(c) for c in ("coarse_type", "source_record_type")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))  # noqa: E731  an empty name falls through like a missing one
+    parsed_type = F.coalesce(filled("record_type") if "record_type" in records.columns else text, F.lit("unknown_record"))
+    source_type = F.coalesce(*[filled(c) for c in ("coarse_type", "source_record_type")
                                if c in records.columns], parsed_type)
-    number = F.col("seq").cast("string") if "seq" in records.columns else text
+    number = (F.col("seq") if "seq" in records.columns else F.monotonically_increasing_id() + 1).cast("string")
+    confidence = F.col("confidence").cast("string").try_cast("double") if "confidence" in records.columns else text.cast("double")
     data = _or(records, "data", empty_bag())
     keep = [c for c in ("file_id", "seq") if c in records.columns]
     return records.select(
@@ -53,9 +55,10 @@ def canonicalize(records: DataFrame) -> DataFrame:
         canonical_type(parsed_type, data).alias("record_type"),
         source_type.alias("source_record_type"),
         _or(records, "source_reference", F.concat(F.lit("record:"), number)).alias("source_reference"),
-        _or(records, "confidence", F.lit(1.0)).cast("double").alias("confidence"),
+        F.coalesce(confidence, F.lit(1.0)).alias("confidence"),
         _or(records, "evidence_text", F.lit("")).alias("evidence_text"),
         data.alias("raw_fields"),
         data.alias("candidate_fields"),
+        empty_bag().alias("unmapped_fields"),
         _or(records, "extra", empty_bag()).alias("extra"),
     )

@@ -26,20 +26,11 @@ def _take(fields: Column, target: str, sources: list[str]) -> Column:
     return F.when(~F.map_contains_key(fields, F.lit(target)), source)
 
 
-HARMONIZED = {
-    "curr_state": ["new_state", "to_state", "event_name"],
-    "prev_state": ["from_state"],
-    "parameter": ["measurement_name", "sensor_id"],
-    "value": ["measured_value"],
-    "unit": ["units"],
-}
-
-
 def harmonize_fields(fields: Column) -> Column:
     """Ordered fill-ins for keys that are absent; present keys are never touched."""
     sources = F.filter(
         F.array(*[F.struct(F.lit(t).alias("key"), _take(fields, t, s).alias("source"))
-                  for t, s in HARMONIZED.items()]),
+                  for t, s in vocab.HARMONIZED.items()]),
         lambda x: x["source"].isNotNull())
     added = F.map_from_entries(F.transform(
         sources, lambda x: F.struct(x["key"].alias("key"), fields[x["source"]].alias("value"))))

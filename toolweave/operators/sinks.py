@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import first_present, present, to_int, to_number
-from .validate import rejected_of, route, sink_event_ts, sink_tool_id
+from ..functions.text import first_present, present, to_int, to_plain_number
+from .validate import rejected_of, route, sink_event_ts, sink_tool_id, target_table
+
+FILES_PER_DATE = 8
+RESULT_BUCKETS = 256
+CATALOG_BUCKETS = 256
 
 # The columns of each domain table besides filename, tool_id and event_ts.
 DOMAIN_COLUMNS = {
@@ -39,9 +45,9 @@ def safe_text(c: Column) -> Column:
 
 def _domain_column(table: str, name: str, fields: Column) -> Column:
     if name == "value" and table == "sensor_readings":
-        return to_number(F.coalesce(fields["value"], fields["measured_value"]))
+        return to_plain_number(F.coalesce(fields["value"], fields["measured_value"]))
     if name in ("value", "duration_s"):
-        return to_number(fields[name])
+        return to_plain_number(fields[name])
     if name == "wafer_count":
         return to_int(fields[name])
     if name == "record_type":
@@ -49,7 +55,7 @@ def _domain_column(table: str, name: str, fields: Column) -> Column:
     if name == "note":
         return F.coalesce(first_present(*[fields[k] for k in vocab.NOTE_KEYS]),
                           F.lit(vocab.DEFAULT_NOTE))
-    return safe_text(fields[name]) if table == "wafer_processing_sequences" else fields[name]
+    return safe_text(fields[name])
 
 
 def project_domain_rows(routed: DataFrame, table: str) -> DataFrame:
@@ -63,72 +69,89 @@ def project_domain_rows(routed: DataFrame, table: str) -> DataFrame:
     )
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so later jobs do not re-parse.
+def with_event_date(rows: DataFrame) -> DataFrame:
+    """Adds ``event_date`` from the spellings of time that logs use; a time without a year, or none, gives ``unknown``."""
+    ts = F.coalesce("event_ts", F.lit(""))
+    dashed = F.regexp_extract(ts, r"^(\d{4}-\d{2}-\d{2})", 1)
+    slashed = F.regexp_replace(F.regexp_extract(ts, r"^(\d{4}/\d{2}/\d{2})", 1), "/", "-")
+    return rows.withColumn("event_date", F.coalesce(F.nullif(dashed, F.lit("")), F.nullif(slashed, F.lit("")), F.lit("unknown")))
 
-    ``fallback_dir`` is used only where the session has no ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and fallback_dir:
-        spark.sparkContext.setCheckpointDir(fallback_dir)
-    return df.checkpoint(eager=True)
 
+REJECTED = "rejected_records"
 
-def stage_routed(validated: DataFrame, staging_path: str) -> DataFrame:
-    """Parse once: routed rows written by target table, then read back for every sink.
 
-    Eight sinks over an unstaged frame would run the whole parse eight times.  The written
-    table also survives the loss of any executor.
+def stage(validated: DataFrame, staging_path: str) -> DataFrame:
+    """Parse once: all validated rows written by target table, rejects as one more target, and read back.
+
+    The folder is this run's own, so loads side by side don't overwrite each other's rows; a written table also
+    survives the loss of any executor.
     """
-    (route(validated).write.mode("overwrite").partitionBy("target_table").parquet(staging_path))
-    return validated.sparkSession.read.parquet(staging_path)
+    target = F.when(F.col("accepted"), target_table(F.col("record_type"))).otherwise(REJECTED)
+    rows = validated.withColumn("target_table", target)
+    path = f"{staging_path}/run-{uuid.uuid4().hex}"
+    rows.write.partitionBy("target_table").parquet(path)
+    order = [c for c in rows.columns if c != "target_table"] + ["target_table"]
+    return validated.sparkSession.read.schema(rows.select(*order).schema).parquet(path)
 
 
-def write_tables(validated: DataFrame, base_path: str, staging_path: str) -> None:
-    """Append accepted rows to the six domain tables and the rest to ``rejected_records``.
+def write_tables(validated: DataFrame, base_path: str, staging_path: str, load_id: str) -> None:
+    """Load accepted rows into the six domain tables and the rest into ``rejected_records``.
 
-    Each table is partitioned by event date, so dashboards prune by time.
+    Rows lie in partitions (load_id, event_date); each date's rows are gathered into a few files by a salt. A load that
+    failed half-way or runs again under its id replaces its own partitions and doubles nothing.
     """
-    routed = stage_routed(validated, f"{staging_path}/routed")
+    rows = stage(validated, staging_path)
+    routed = route(rows.where(F.col("target_table") != REJECTED))
+    now = F.current_timestamp()
+
+    def save(df: DataFrame, name: str, *by: str) -> None:
+        made = df.withColumns({"inserted_at": now, "load_id": F.lit(load_id)})
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(FILES_PER_DATE))
+        made = made.repartition(*[F.col(c) for c in by], salt)
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_id", *by).parquet(f"{base_path}/{name}")
+
     for table in DOMAIN_COLUMNS:
-        rows = project_domain_rows(routed, table)
-        (rows.withColumn("inserted_at", F.current_timestamp())
-         .withColumn("event_date", F.coalesce(F.nullif(F.regexp_extract(
-             F.coalesce("event_ts", F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.lit("unknown")))
-         .write.mode("append").partitionBy("event_date").parquet(f"{base_path}/{table}"))
-    (rejected_of(validated).withColumn("inserted_at", F.current_timestamp())
-     .write.mode("append").parquet(f"{base_path}/rejected_records"))
+        save(with_event_date(project_domain_rows(routed, table)), table, "event_date")
+    save(rejected_of(rows.where(F.col("target_table") == REJECTED)), REJECTED)
 
 
-def write_results(validated: DataFrame, path: str) -> None:
-    """Full per-record result as JSON, one folder per file name."""
-    validated.write.mode("append").partitionBy("filename").json(path)
+def write_results(validated: DataFrame, path: str, load_id: str) -> None:
+    """Full per-record result as JSON, in hash buckets of the file; a load replaces its own rows."""
+    bucket = F.pmod(F.xxhash64("filename"), F.lit(RESULT_BUCKETS))
+    rows = validated.withColumns({"load_id": F.lit(load_id), "bucket": bucket})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_id", "bucket").json(path)
 
 
 def upsert_files(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
-    """Catalog after inserting or updating by ``file_id``; the newest ingestion wins.
+    """Catalog after inserting or updating by ``file_id``: an incoming row replaces what was there.
 
-    ``max_by`` keeps one candidate per key before the shuffle, so repeated ingests of one
-    file never meet in a sorted window.
+    Of several incoming rows of a file the newest wins. ``max_by`` keeps one candidate per key before the shuffle, so
+    repeated ingests of one file never meet in a sorted window.
     """
-    both = incoming.select(*FILE_COLUMNS)
+    both = incoming.select(*FILE_COLUMNS).withColumn("__new", F.lit(1))
     if existing is not None:
-        both = existing.select(*FILE_COLUMNS).withColumn("__new", F.lit(0)).unionByName(
-            both.withColumn("__new", F.lit(1)))
-    else:
-        both = both.withColumn("__new", F.lit(1))
+        both = existing.select(*FILE_COLUMNS).withColumn("__new", F.lit(0)).unionByName(both)
     rest = [c for c in FILE_COLUMNS if c != "file_id"]
     latest = both.groupBy("file_id").agg(
-        F.max_by(F.struct(*rest), F.struct("ingestion_time", "__new")).alias("r"))
+        F.max_by(F.struct(*rest), F.struct("__new", "ingestion_time", *[c for c in rest if c != "ingestion_time"])).alias("r"))
     return latest.select("file_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def save_files(spark: SparkSession, incoming: DataFrame, path: str,
-               fallback_dir: str | None = None) -> None:
-    """Upsert into the catalog table at ``path``."""
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # first load: the table does not exist yet
-        existing = None
-    merged = cut_lineage(upsert_files(existing, incoming), fallback_dir)
-    merged.write.mode("overwrite").parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def save_files(spark: SparkSession, incoming: DataFrame, path: str) -> None:
+    """Upsert into the catalog table at ``path``, which lies in hash buckets of the file.
+
+    Only buckets with incoming files are read and replaced. The catalog is created where the path is absent; any
+    failure to read what is there is raised and leaves it untouched.
+    """
+    bucket = F.pmod(F.xxhash64("file_id"), F.lit(CATALOG_BUCKETS))
+    existing = None
+    if _exists(spark, path):
+        touched = [r["b"] for r in incoming.select(bucket.alias("b")).distinct().collect()]  # CATALOG_BUCKETS at most
+        existing = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    merged = upsert_files(existing, incoming).withColumn("bucket", bucket)
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -33,18 +33,25 @@ def _alias_targets() -> Column:
     return F.expr("map(" + ", ".join(rows) + ")")
 
 
-def _field_hits(fields: Column) -> Column:
-    """Best raw key for each standard field: array of (field, rank, raw), one per field."""
-    names = literal_array(vocab.FIELD_ALIASES)
-    entries = F.transform(
+def _ordered_entries(fields: Column) -> Column:
+    """The record's entries, last first, with their canonical spelling."""
+    return F.transform(
         F.reverse(F.map_entries(fields)),
         lambda e: F.struct(canonical_key(e["key"]).alias("norm"), e["key"].alias("raw"),
                            e["value"].alias("value")))
+
+
+def _field_hits(entries: Column, norms: Column) -> Column:
+    """Raw keys for each standard field, best first: array of (field, rank, raw).
+
+    ``entries`` and ``norms`` are columns made before: inside the lambdas an expression would be
+    evaluated again for every entry, and cost would grow with the square of the record's width.
+    """
+    names = literal_array(vocab.FIELD_ALIASES)
     exact = F.transform(
         F.filter(entries, lambda e: F.array_contains(names, e["raw"]) & present(e["value"])),
         lambda e: F.struct((F.array_position(names, e["raw"]).cast("int") - 1).alias("field"),
                            F.lit(0).alias("rank"), e["raw"].alias("raw")))
-    norms = F.transform(entries, lambda e: e["norm"])
     latest = F.filter(entries, lambda e, i: (F.array_position(norms, e["norm"]) == i + 1)
                       & present(e["value"]))
     by_alias = F.flatten(F.transform(
@@ -54,13 +61,12 @@ def _field_hits(fields: Column) -> Column:
                         lambda t: F.struct(t["field"].alias("field"), t["rank"].alias("rank"),
                                            e["raw"].alias("raw"))),
             F.array().cast("array<struct<field:int,rank:int,raw:string>>"))))
-    hits = F.array_sort(F.concat(exact, by_alias))
-    return hits
+    return F.array_sort(F.concat(exact, by_alias))
 
 
 def _first_per_field(hits: Column) -> Column:
-    fields = F.transform(hits, lambda h: h["field"])
-    return F.filter(hits, lambda h, i: F.array_position(fields, h["field"]) == i + 1)
+    """Of sorted hits the first of each field: the one whose neighbour before has another field."""
+    return F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1)["field"] != h["field"]))
 
 
 def expand_param_name(name: Column) -> Column:
@@ -95,8 +101,10 @@ def embedded_measurements(fields: Column, numeric_only: bool = False) -> Column:
 
 def standardize_fields(records: DataFrame) -> DataFrame:
     """Adds ``matched``: per standard field the raw key that feeds it."""
-    hits = fence(records, {"hits": _field_hits(F.col("candidate_fields"))})
-    return fence(hits, {"matched": _first_per_field(F.col("hits"))}, drop=("hits",))
+    listed = fence(records, {"__e": _ordered_entries(F.col("candidate_fields"))})
+    named = fence(listed, {"__n": F.transform("__e", lambda e: e["norm"])})
+    hits = fence(named, {"__h": _field_hits(F.col("__e"), F.col("__n"))}, drop=("__e", "__n"))
+    return fence(hits, {"matched": _first_per_field(F.col("__h"))}, drop=("__h",))
 
 
 def standardize(records: DataFrame, keep_base: bool = False,
@@ -125,13 +133,18 @@ def standardize(records: DataFrame, keep_base: bool = False,
     by_lateness = F.array_sort(F.transform(matched, lambda h: F.struct(
         (-F.least(h["rank"], F.lit(1))).alias("pass"), (-h["field"]).alias("order"),
         h["raw"].alias("key"), F.element_at(names, h["field"] + 1).alias("value"))))
+    rows = fence(rows, {"__used": used})
     parts = fence(rows, {
         "named": F.transform(matched, lambda h: F.struct(
             F.element_at(names, h["field"] + 1).alias("key"), cand[h["raw"]].alias("value"))),
-        "unused": F.filter(F.map_entries(cand), lambda e: ~F.array_contains(used, e["key"])),
+        "unused": F.filter(F.map_entries(cand), lambda e: ~F.array_contains("__used", e["key"])),
         "lineage": F.transform(by_lateness, lambda h: F.struct(h["key"].alias("key"),
                                                                h["value"].alias("value"))),
-    }, drop=("matched",))
+    }, drop=("matched", "__used", "candidate_fields"))
+    parts = fence(parts, {
+        "unused_keys": F.transform("unused", lambda e: e["key"]),
+        "lineage_keys": F.transform("lineage", lambda e: e["key"]),
+    })
 
     named, unused, lineage = F.col("named"), F.col("unused"), F.col("lineage")
     own = F.array(
@@ -141,12 +154,12 @@ def standardize(records: DataFrame, keep_base: bool = False,
     own_lineage = F.array(F.struct(m["source_key"].alias("key"),
                                    F.lit("parameter/value/unit").alias("value")))
     measured_keys = literal_array(["parameter", "value", "unit"])
-    unused_keys = F.transform(unused, lambda e: e["key"])
+    unused_keys = F.col("unused_keys")
     # An unused key that spells a standard name is passed through over the resolved value.
     hidden = F.when(is_measurement, measured_keys).otherwise(unused_keys)
     context = F.filter(named, lambda e: ~F.array_contains(hidden, e["key"]))
     added = F.when(is_measurement, own).otherwise(unused)
-    lineage_keys = F.transform(lineage, lambda e: e["key"])
+    lineage_keys = F.col("lineage_keys")
     lineage_once = F.filter(
         lineage, lambda e, i: (F.array_position(lineage_keys, e["key"]) == i + 1)
         & ~F.equal_null(e["key"], m["source_key"]))
@@ -158,4 +171,4 @@ def standardize(records: DataFrame, keep_base: bool = False,
         "raw_to_standard_map": F.map_from_entries(
             F.when(is_measurement, F.concat(lineage_once, own_lineage)).otherwise(lineage_once)),
         "unmapped_fields": F.map_from_entries(left_over),
-    }, drop=("m", "named", "unused", "lineage"))
+    }, drop=("m", "named", "unused", "lineage", "unused_keys", "lineage_keys"))
