@@ -155,7 +155,7 @@ def scan_text(data: bytes | None) -> tuple:
         else:
             notices.add(label)
             doubt *= 1 - NOTICE_WEIGHT
-    expressions, permissive = [], []
+    expressions, permissive, tagged = [], [], set()
     if tags:
         for m in TAG_LINE.finditer(data.decode("utf-8", "replace")):
             tokens = postfix(m[1])
@@ -165,13 +165,15 @@ def scan_text(data: bytes | None) -> tuple:
             met, named = evaluate(tokens)
             expressions.append(m[1].strip())
             permissive.append(met)
+            tagged |= named - notices
             notices |= named
             doubt *= 1 - TAG_WEIGHT
     first = last = None
     if starts:
         first, last = (line.count(" ", 0, x) for x in (min(starts), max(starts)))
     labels = base | notices
-    verdict = all(permissive) and all(x in PERMISSIVE for x in labels) if labels and not permissive else all(permissive) if permissive else None
+    said = base | (notices - tagged)
+    verdict = all(permissive) and said <= PERMISSIVE if said or permissive else None
     return (len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), round(1 - doubt, 6), expressions, verdict)
 
 
