@@ -88,9 +88,10 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """schedule() sorted by ranges of the first time; documents that are not needed come last."""
-    return schedule(docs, **options).repartitionByRange(F.col("first_at").asc_nulls_last()).sortWithinPartitions(F.col("first_at").asc_nulls_last())
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """schedule() sorted by ranges of the first time; documents that are not needed come last, in many ranges too."""
+    first = F.col("first_at").asc_nulls_last()
+    return schedule(docs, id_col, **options).repartitionByRange(first, F.xxhash64(id_col)).sortWithinPartitions(first, F.xxhash64(id_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
