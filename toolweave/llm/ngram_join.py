@@ -10,10 +10,15 @@ them, the tokens that may enter a prefix are counted over all documents; the lis
 HOT_TOKENS of the most frequent (8 bytes each). A shorter list would cost time, not results.
 
 Whole links without all pairs. What the caller gets are components, so a pair inside one component needs no check.
-Round 1 links every member with its group's first class, group pairs that meet on an infrequent token with each
-other, and groups that meet on a frequent token with three of them (by three hashes). Round 2 verifies all pairs left
-that met and lie in different components. Links found then complete the components: a pair that was never verified is
-either too far apart or already connected. Large groups of near copies cost a few pairs per member.
+Round 1 links every member with its group's first class, group pairs that meet on infrequent tokens with each other,
+and groups that meet on a frequent token with three of them: the one where the token comes first in order (a text that
+has no rare tokens, so the least edited copy) and two by hash. Round 2 verifies all pairs left that met and lie in
+different components. Links found then complete the components: a pair that was never verified is either too far apart
+or already connected. Large groups of near copies cost a few pairs per member.
+
+Filters. Sizes: 100 min >= percent max. Position: of two sets of n and m tokens that first share one at places i and j,
+at most min(n - i, m - j) tokens are shared. Count: tokens after a prefix number ceil(percent n / 100) - 1, so of the
+tokens needed some must be shared inside the prefixes; frequent ones, which are not counted, get the benefit of doubt.
 """
 
 from __future__ import annotations
@@ -185,14 +190,16 @@ def _sets(words: int, percent: int, hot):
     return sets
 
 
-POST = T.StructType([T.StructField("part", T.LongType()), T.StructField("token", T.LongType()), T.StructField("a", T.LongType()),
-                     T.StructField("b", T.LongType()), T.StructField("blob", T.BinaryType())])
+# Packed postings (blob), postings of frequent tokens (token, a: group, x: size, y: place), or pairs of groups
+# (a, b, x: tokens shared, y: tokens needed).
+POST = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "token", "a", "b", "x", "y")] + [T.StructField("blob", T.BinaryType())])
 
 
-def _post_schema():
+def _post_rows(count: int, **columns):
     import pyarrow as pa
 
-    return pa.schema([("part", pa.int64()), ("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("blob", pa.binary())])
+    made = [pa.array(columns[f.name], pa.binary() if f.name == "blob" else pa.int64()) if f.name in columns else pa.nulls(count, pa.binary() if f.name == "blob" else pa.int64()) for f in POST]
+    return pa.RecordBatch.from_arrays(made, names=POST.fieldNames())
 
 
 def _post(parts: int, hot):
@@ -218,35 +225,41 @@ def _post(parts: int, hot):
                 is_hot = np.zeros(len(tokens), bool)
             if is_hot.any():
                 t, g = tokens[is_hot].view(np.int64), groups[is_hot]
-                none = pa.nulls(len(t), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array((t ^ g) & 0x7FFFFFFF), pa.array(t), pa.array(g), none, pa.nulls(len(t), pa.binary())], schema=_post_schema())
+                yield _post_rows(len(t), part=(t ^ g) & 0x7FFFFFFF, token=t, a=g, x=sizes[is_hot], y=places[is_hot])
             tokens, groups, sizes, places = (x[~is_hot] for x in (tokens, groups, sizes, places))
             part = tokens % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.diff(part[order])) + 1
             rows = [(int(part[o[0]]), zip_.compress(np.concatenate([tokens[o].view(np.int64), groups[o], sizes[o], places[o]]).astype(np.int64).tobytes()))
                     for o in np.split(order, edges) if len(o)]
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), none, none, none, pa.array([r[1] for r in rows], pa.binary())], schema=_post_schema())
+            yield _post_rows(len(rows), part=[r[0] for r in rows], blob=[r[1] for r in rows])
 
     return run
 
 
 def _meet(percent: int, most: int):
-    """Pairs (a < b) of groups that share an infrequent token and pass the filters; tokens of more than `most` groups go on as rows."""
+    """Pairs (a < b) of groups with the infrequent tokens of this part that they share; tokens of more than `most`
+    groups go on as rows, like frequent ones."""
+
+    def pairs(held: dict):
+        import numpy as np
+
+        keys = np.array(list(held), np.int64).reshape(-1, 2)
+        values = np.array(list(held.values()), np.int64).reshape(-1, 2)
+        return _post_rows(len(keys), a=keys[:, 0], b=keys[:, 1], x=values[:, 0], y=values[:, 1])
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
         import zstandard
 
         held = []
         unzip = zstandard.ZstdDecompressor()
+        blob_at = POST.fieldNames().index("blob")
         for batch in batches:
-            one = batch.filter(batch.column(4).is_null())
+            one = batch.filter(batch.column(blob_at).is_null())
             if one.num_rows:
                 yield one
-            for blob in batch.column(4).drop_null().to_pylist():
+            for blob in batch.column(blob_at).drop_null().to_pylist():
                 held.append(np.frombuffer(unzip.decompress(blob), np.int64).reshape(4, -1))
         if not held:
             return
@@ -256,36 +269,32 @@ def _meet(percent: int, most: int):
         tokens = tokens[order]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         length = np.diff(np.r_[first, len(tokens)])
-        pairs: set = set()
-        for a, k in zip(first[length > 1].tolist(), length[length > 1].tolist()):
-            run_ = order[a : a + k]
-            g, n, p = groups[run_], sizes[run_], places[run_]
+        met: dict = {}
+        for at, k in zip(first[length > 1].tolist(), length[length > 1].tolist()):
+            here = order[at : at + k]
+            g, n = groups[here], sizes[here]
             if k > most:
-                none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(tokens[a : a + k]), pa.array(g), none, pa.nulls(k, pa.binary())], schema=_post_schema())
+                yield _post_rows(k, token=tokens[at : at + k], a=g, x=n, y=places[here])
                 continue
             i, j = np.triu_indices(k, 1)
-            ni, nj = n[i], n[j]
-            fits = 100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)
-            fits &= (100 + percent) * (1 + np.minimum(ni - p[i], nj - p[j]) - 1) >= percent * (ni + nj)
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            fits = 100 * small >= percent * large
             if fits.any():
-                pairs.update(zip(g[i[fits]].tolist(), g[j[fits]].tolist()))
-                if len(pairs) >= 500_000:
-                    yield _pairs(pairs)
-                    pairs = set()
-        yield _pairs(pairs)
+                small, large = small[fits], large[fits]
+                needed = -(-percent * (small + large) // (100 + percent)) - -(-percent * large // 100) + 1
+                for a, b, c in zip(g[i[fits]].tolist(), g[j[fits]].tolist(), needed.tolist()):
+                    if (a, b) in met:
+                        met[a, b][0] += 1
+                    else:
+                        met[a, b] = [1, c]
+                if len(met) >= 500_000:
+                    yield pairs(met)
+                    met = {}
+        yield pairs(met)
 
     return run
 
 
-def _pairs(pairs):
-    import pyarrow as pa
-
-    a, b = zip(*pairs) if pairs else ((), ())
-    none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], schema=_post_schema())
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (u, v) of classes, those that link. texts: (cid, text)."""
 
@@ -335,11 +344,21 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     tokens = groups.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(_parts(spark), -(-tokens // PART_TOKENS))
     posted = groups.select("gid", "n", "prefix").mapInArrow(_post(parts, hot), POST).repartition(parts, "part")
-    met = written(posted.mapInArrow(_meet(percent, HOT_COUNT), POST).select("token", "a", "b"), "met")
-    near = written(met.where("b is not null").select("a", "b").distinct(), "pairs")
-    often = met.where("b is null").select("token", F.col("a").alias("gid"))
-    hubs = often.groupBy("token").agg(*[F.min(F.struct(F.xxhash64("gid", F.lit(k)), "gid"))["gid"].alias(f"h{k}") for k in range(HUBS)])
-    stars = often.join(hubs, "token").select("gid", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hub")).where("gid <> hub")
+    met = written(posted.mapInArrow(_meet(percent, HOT_COUNT), POST).drop("part", "blob"), "met")
+    often = met.where("b is null").select("token", F.col("a").alias("gid"), F.col("x").alias("n"), F.col("y").alias("place"))
+    uncounted = often.groupBy("gid").agg(F.count("*").alias("often"))
+    near = met.where("b is not null").groupBy("a", "b").agg(F.sum("x").alias("shared"), F.first("y").alias("needed"))
+    near = near.join(uncounted.withColumnsRenamed({"gid": "a", "often": "oa"}), "a", "left").join(uncounted.withColumnsRenamed({"gid": "b", "often": "ob"}), "b", "left")
+    near = written(near.where("shared + least(coalesce(oa, 0), coalesce(ob, 0)) >= needed").select("a", "b"), "pairs")
+    # Groups that meet on frequent tokens, told apart by size and place alone.
+    shapes = written(often.groupBy("token", "n", "place").agg(F.min("gid").alias("gid")), "shapes")
+    fit = _fit(percent)
+    hubs = often.groupBy("token").agg(
+        F.min(F.struct("place", "n", "gid")).alias("h0"), *[F.min(F.struct(F.xxhash64("gid", F.lit(k)), "place", "n", "gid")).alias(f"h{k}") for k in range(1, HUBS)]
+    )
+    hub = F.explode(F.array(*[F.struct(F.col(f"h{k}.gid").alias("gid"), F.col(f"h{k}.n").alias("n"), F.col(f"h{k}.place").alias("place")) for k in range(HUBS)]))
+    stars = often.join(hubs.select("token", hub.alias("hub")), "token").where(F.col("gid") != F.col("hub.gid"))
+    stars = stars.where(fit("n", "place", "hub.n", "hub.place")).select("gid", F.col("hub.gid").alias("hub")).distinct()
 
     def ordered(a: str, b: str):
         return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
@@ -356,12 +375,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     side = lambda x: marks.select(F.col("gid").alias(x), F.col("label").alias(f"l{x}"))
     inner = side("a").join(marks.select(F.col("gid").alias("b"), F.col("label").alias("lb")), F.col("a") == F.col("b")).where("la < lb")
     apart = near.join(side("a"), "a").join(side("b"), "b").where("la <> lb").select("a", "la", "b", "lb")
-    by_token = often.join(marks, "gid").select("token", "gid", "label")
+    other = shapes.select("token", F.col("n").alias("m"), F.col("place").alias("spot"))
+    fits = shapes.join(other, "token").where(fit("n", "place", "m", "spot")).where("n < m or n = m and place <= spot").select("token", "n", "place", "m", "spot")
+    by_token = often.join(marks, "gid")
     mixed = by_token.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    mixed = by_token.join(mixed, "token").select("token", "gid", "label")
-    shared = mixed.select("token", F.col("gid").alias("a"), F.col("label").alias("la")).join(
-        mixed.select("token", F.col("gid").alias("b"), F.col("label").alias("lb")), "token"
-    ).where("la < lb")
+    by_token = written(by_token.join(mixed, "token").select("token", "n", "place", "gid", "label"), "mixed")
+    one = by_token.select("token", "n", "place", F.col("gid").alias("a"), F.col("label").alias("la"))
+    two = by_token.select("token", F.col("n").alias("m"), F.col("place").alias("spot"), F.col("gid").alias("b"), F.col("label").alias("lb"))
+    shared = fits.join(one, ["token", "n", "place"]).join(two, ["token", "m", "spot"]).where("la <> lb")
     cross = apart.unionByName(inner.select("a", "la", "b", "lb")).unionByName(shared.select("a", "la", "b", "lb")).distinct()
     left = own.select(F.col("gid").alias("a"), F.col("label").alias("la"), F.col("cid").alias("ca"))
     right = own.select(F.col("gid").alias("b"), F.col("label").alias("lb"), F.col("cid").alias("cb"))
@@ -412,6 +433,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return kept.drop("__doc", "__print")
 
 
+def _fit(percent: int):
+    """The size and position filters as a condition on the names of sizes and places."""
+
+    def fit(n: str, i: str, m: str, j: str):
+        n, i, m, j = (F.col(x) for x in (n, i, m, j))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
+
+    return fit
+
+
 def _texts(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cid, text) of the classes in pairs."""
     needed = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()

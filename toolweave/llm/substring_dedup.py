@@ -1,10 +1,14 @@
 """Removal of word windows that a document with a smaller id holds too, by super-k-mer partitioning.
 
-A window is 13 consecutive words. Its minimiser is the smallest hash among its 3-word pieces, so equal windows have
+A window is 13 consecutive words. Its minimiser is the smallest hash among its 6-word pieces, so equal windows have
 equal minimisers. Consecutive windows with one minimiser travel as one packed string (a super-k-mer) to the bucket of
 that minimiser, where the windows are unpacked, sorted and compared exactly; hashes only choose the bucket.
 
-Skew. Within one batch of rows equal super-k-mers are settled on the spot: all but the smallest id's windows are
+A first exchange carries minimisers alone and finds those of two or more documents: only super-k-mers with one of
+them are packed and sent. What is found, a bit for each super-k-mer of a document, goes back to the documents by broadcast up to BROADCAST_BYTES, else by a join
+on the id; so do the spans in the end.
+
+Skew. In the first exchange a minimiser that occurs twice in a batch is settled there and costs the batch one entry. Within one batch of rows equal super-k-mers are settled on the spot: all but the smallest id's windows are
 removed there, and only that one travels, so a passage that a third of all documents share costs each batch one
 string. A minimiser with many different super-k-mers in a batch (the edges of such a passage) is hot: its windows go
 one by one to a second exchange by the window itself, and a notice tells the bucket to send what other batches hold of
@@ -23,15 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import space_words, table, utf8, without, written
+from toolweave.llm.common import BROADCAST_BYTES, fingerprint, space_words, table, utf8, without, written
 
 WINDOW = 13
-PIECE = 3
-BATCH_BYTES = 16 << 20  # text that one map step packs at once
-BUCKET_BYTES = 4 << 20  # text whose windows one bucket unpacks at once, on average
+PIECE = 6
+BATCH_BYTES = 32 << 20  # text that one map step packs at once
+BUCKET_BYTES = 16 << 20  # text behind the windows of one bucket, on average
 PARTITION_BYTES = 64 << 20
 HOT_STRINGS = 64  # different super-k-mers of one minimiser in a batch
-BROADCAST_BYTES = 32 << 20  # spans up to this size reach the documents by broadcast, else by a join on the id
 
 SENT = T.StructType(
     [
@@ -69,16 +72,22 @@ def minimisers(words: list[bytes], window: int = WINDOW, piece: int = PIECE):
     return low
 
 
-def super_kmers(words: list[bytes], window: int = WINDOW, piece: int = PIECE):
-    """Yield (minimiser, first window, packed string) for runs of windows with one minimiser."""
+def runs_of(words: list[bytes], window: int = WINDOW, piece: int = PIECE):
+    """Runs of windows with one minimiser: arrays of their minimisers, first windows and ends."""
     import numpy as np
 
     low = minimisers(words, window, piece)
-    cuts = (np.flatnonzero(low[1:] != low[:-1]) + 1).tolist()
-    first = 0
-    for minimiser, end in zip(low[[0, *cuts]].tolist(), [*cuts, len(low)]):
-        yield minimiser, first, b" ".join(words[first : end + window - 1])
-        first = end
+    first = np.r_[0, np.flatnonzero(low[1:] != low[:-1]) + 1]
+    return low[first], first, np.r_[first[1:], len(low)]
+
+
+def super_kmers(words: list[bytes], window: int = WINDOW, piece: int = PIECE, wanted=None):
+    """Yield (minimiser, first window, packed string) for the runs, or for those that a boolean array selects."""
+    low, first, end = runs_of(words, window, piece)
+    if wanted is not None:
+        low, first, end = low[wanted], first[wanted], end[wanted]
+    for minimiser, a, b in zip(low.tolist(), first.tolist(), end.tolist()):
+        yield minimiser, a, b" ".join(words[a : b + window - 1])
 
 
 def pack(entries: list[tuple], hot: list[int]) -> bytes:
@@ -90,7 +99,7 @@ def pack(entries: list[tuple], hot: list[int]) -> bytes:
     head = np.array([len(entries), len(hot)], np.int64)
     keys = np.array([e[0] for e in entries], np.uint64)
     parts = [head.tobytes(), np.array(hot, np.uint64).tobytes(), keys.tobytes(), numbers.tobytes(), b"\n".join(e[1] for e in entries)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> tuple[list[tuple], list[int]]:
@@ -176,7 +185,129 @@ def _arrow_schema():
     return pa.schema([pa.field(f.name, k) for f, k in zip(SENT.fields, kinds)])
 
 
+NUMBERS = T.StructType([T.StructField("part", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("print", T.LongType()), T.StructField("blob", T.BinaryType())])
+MARKED = T.StructType([T.StructField("doc", T.LongType()), T.StructField("print", T.LongType()), T.StructField("shared", T.ArrayType(T.IntegerType(), False))])
+SETTLED = -1  # print of an entry whose documents are marked already
+
+
+def _texts(batches):
+    """Batches of (doc, print, text) rows of about BATCH_BYTES of text, as lists."""
+    texts, size = [], 0
+    for batch in batches:
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), *(batch.column(i) for i in range(3, batch.num_columns))):
+            texts.append(row)
+            size += len(row[2])
+            if size >= BATCH_BYTES:
+                yield texts
+                texts, size = [], 0
+    if texts:
+        yield texts
+
+
+def _by_doc(numbers, docs, prints):
+    """(doc, print, numbers) for each document of three equally long arrays."""
+    import numpy as np
+
+    order = np.lexsort((prints, docs))
+    numbers, docs, prints = numbers[order], docs[order], prints[order]
+    cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (prints[1:] != prints[:-1])) + 1
+    starts = [0, *cuts.tolist()] if len(docs) else []
+    return docs[starts], prints[starts], np.split(numbers, cuts) if len(docs) else []
+
+
+@F.arrow_udf(T.BinaryType())
+def _bits(numbers):
+    """Lists of small numbers as strings of bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = []
+    for one in numbers:
+        x = one.values.to_numpy()
+        bits = np.zeros(int(x.max()) + 1 if len(x) else 0, bool)
+        bits[x] = True
+        out.append(np.packbits(bits).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _send_minimisers(parts: int, window: int, piece: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for texts in _texts(batches):
+            found, docs, prints = [], [], []
+            for doc, mark, data in texts:
+                words = space_words(data)
+                if len(words) >= window:
+                    found.append(runs_of(words, window, piece)[0])
+                    docs.append(doc)
+                    prints.append(mark)
+            if not found:
+                continue
+            lengths = [len(x) for x in found]
+            low, docs, prints = np.concatenate(found), np.repeat(np.array(docs, np.int64), lengths), np.repeat(np.array(prints, np.int64), lengths)
+            number = np.concatenate([np.arange(n, dtype=np.int64) for n in lengths])
+            _, first, back, counts = np.unique(low, return_index=True, return_inverse=True, return_counts=True)
+            here = counts[back] > 1
+            marked = _by_doc(number[here], docs[here], prints[here])
+            prints = np.where(here, SETTLED, prints)
+            sent = ~here
+            sent[first] = True
+            low, docs, prints, number = low[sent], docs[sent], prints[sent], number[sent]
+            part = low % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+            rows = [(int(part[o[0]]), zip_.compress(np.concatenate([low[o].view(np.int64), docs[o], prints[o], number[o]]).tobytes())) for o in groups]
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows] + [int(d) % parts for d in marked[0]], pa.int64()),
+                    pa.array([None] * n + marked[0].tolist(), pa.int64()),
+                    pa.array([None] * n + marked[1].tolist(), pa.int64()),
+                    pa.array([r[1] for r in rows] + [x.tobytes() for x in marked[2]], pa.binary()),
+                ],
+                ["part", "doc", "print", "blob"],
+            )
+
+    return run
+
+
+def _mark_shared():
+    """Of the minimisers of one partition, those of two entries or more, by document."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        def rows(docs, prints, lists):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(prints, pa.int64()), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["doc", "print", "shared"]
+            )
+
+        held, unzip = [], zstandard.ZstdDecompressor()
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (1, 2, 3)]
+            own = [(d, p, np.frombuffer(b, np.int64)) for d, p, b in zip(*columns) if d is not None]
+            if own:
+                yield rows(*zip(*own))
+            held += [np.frombuffer(unzip.decompress(b), np.int64).reshape(4, -1) for d, _, b in zip(*columns) if d is None]
+        if held:
+            low, docs, prints, number = np.concatenate(held, axis=1)
+            _, back, counts = np.unique(low, return_inverse=True, return_counts=True)
+            shared = (counts[back] > 1) & (prints != SETTLED)
+            yield rows(*_by_doc(number[shared], docs[shared], prints[shared]))
+
+    return run
+
+
 def _mapper(buckets: int, window: int, piece: int, hot_strings: int):
+    """Packs and sends the super-k-mers with a shared minimiser."""
+    import numpy as np
+
     def packed(texts: list[tuple], rows: _Rows) -> None:
         best: dict[tuple, list] = {}  # (minimiser, string) -> [doc, [(print, start)]]
         lost: list[tuple] = []
@@ -185,11 +316,9 @@ def _mapper(buckets: int, window: int, piece: int, hot_strings: int):
             count = string.count(b" ") + 2 - window
             lost.extend((doc, mark, start + i) for mark, start in places for i in range(count))
 
-        for doc, mark, data in texts:
-            words = space_words(data)
-            if len(words) < window:
-                continue
-            for minimiser, start, string in super_kmers(words, window, piece):
+        for doc, mark, data, shared in texts:
+            bits = np.unpackbits(np.frombuffer(shared.as_py(), np.uint8))
+            for minimiser, start, string in super_kmers(space_words(data), window, piece, np.flatnonzero(bits)):
                 held = best.get((minimiser, string))
                 if held is None:
                     best[minimiser, string] = [doc, [(mark, start)]]
@@ -217,16 +346,10 @@ def _mapper(buckets: int, window: int, piece: int, hot_strings: int):
             rows.add(bucket, bucket, pack(entries, hot), None, None, None, None)
 
     def run(batches):
-        rows, texts, size = _Rows(_arrow_schema()), [], 0
-        for batch in batches:
-            for doc, mark, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
-                texts.append((doc, mark, data))
-                size += len(data)
-                if size >= BATCH_BYTES:
-                    packed(texts, rows)
-                    yield from rows.take()
-                    texts, size = [], 0
-        packed(texts, rows)
+        rows = _Rows(_arrow_schema())
+        for texts in _texts(batches):
+            packed(texts, rows)
+            yield from rows.take()
         yield from rows.take(True)
 
     return run
@@ -293,16 +416,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
-    sent = texts.mapInArrow(_mapper(max(parts, -(-size // BUCKET_BYTES)), window, piece, hot_strings), SENT)
+    marked = texts.mapInArrow(_send_minimisers(parts, window, piece), NUMBERS).repartition(parts, "part").mapInArrow(_mark_shared(), MARKED)
+    marked = marked.groupBy("doc", "print").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    marked = written(marked.select("doc", "print", _bits("shared").alias("shared")), "shared")
+    texts = texts.join(_side(marked, 48 + F.length("shared")), ["doc", "print"])
+    sent = texts.select("doc", "print", "text", "shared").mapInArrow(_mapper(max(parts, -(-size // BUCKET_BYTES)), window, piece, hot_strings), SENT)
     met = written(sent.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(_bucket_reader(window), SENT), "repeats")
     single = met.where(F.col("blob").isNotNull()).repartition(parts, "blob").sortWithinPartitions("blob", "doc")
     spans = met.where(F.col("blob").isNull()).unionByName(single.mapInArrow(_window_reader(window), SENT))
-    return spans.groupBy("doc", "print").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).alias("spans"))
+    spans = spans.groupBy("doc", "print").agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))).alias("spans"))
+    return spans.withColumn("spans", united("spans"))
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
+
+
+@F.arrow_udf(SPANS)
+def united(spans):
+    """Sorted word ranges, with those that touch or overlap made one."""
+    import pyarrow as pa
+
+    out = []
+    for found in spans.to_pylist():
+        merged: list[list[int]] = []
+        for x in found:
+            if merged and merged[-1][1] >= x["start"]:
+                merged[-1][1] = max(merged[-1][1], x["stop"])
+            else:
+                merged.append([x["start"], x["stop"]])
+        out.append([{"start": a, "stop": b} for a, b in merged])
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
 
-def fingerprint(text_col: str) -> Column:
-    """Tells rows of one id and different texts apart."""
-    return F.crc32(F.col(text_col).cast("binary"))
+def _side(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A written table, marked for broadcast if its size allows it."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -314,8 +462,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = without(docs, *(n for n in OUTPUTS if n != text_col))
     spans = written(repeated_spans(docs, id_col, text_col, window, piece, hot_strings), "spans")
-    size = spans.agg(F.sum(48 + 16 * F.size("spans"))).first()[0] or 0
-    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans.hint("shuffle_merge")
+    spans = _side(spans, 48 + 16 * F.size("spans"))
 
     @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
     def cut(text, spans):

@@ -1,7 +1,7 @@
 """The library's queries by name, and their SQL."""
 
-from . import analytics, records
+from . import analytics, lines, records
 
-MODULES = (records, analytics)
+MODULES = (records, analytics, lines)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
