@@ -1,7 +1,7 @@
 """The library's queries by name, and their SQL."""
 
-from . import analytics, lines, records
+from . import analytics, detection, lines, records
 
-MODULES = (records, analytics, lines)
+MODULES = (records, analytics, lines, detection)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
