@@ -24,6 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     met = links.join(low, links.u == low.w)
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        return out.where("u <> v")  # the small star that follows drops what is repeated
     else:
         out = met.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("low").alias("v")))
     return out.where("u <> v").distinct()
