@@ -185,8 +185,10 @@ def _arrow_schema():
     return pa.schema([pa.field(f.name, k) for f, k in zip(SENT.fields, kinds)])
 
 
-NUMBERS = T.StructType([T.StructField("part", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("print", T.LongType()), T.StructField("blob", T.BinaryType())])
-MARKED = T.StructType([T.StructField("doc", T.LongType()), T.StructField("print", T.LongType()), T.StructField("shared", T.ArrayType(T.IntegerType(), False))])
+# kind 0: packed minimisers, documents, fingerprints and numbers within the document; kind 1: packed numbers of shared
+# super-k-mers, documents and fingerprints, sent by document.
+NUMBERS = T.StructType([T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+MARKED = T.StructType([T.StructField("doc", T.LongType()), T.StructField("print", T.LongType()), T.StructField("shared", T.BinaryType())])
 SETTLED = -1  # print of an entry whose documents are marked already
 
 
@@ -204,30 +206,35 @@ def _texts(batches):
         yield texts
 
 
-def _by_doc(numbers, docs, prints):
-    """(doc, print, numbers) for each document of three equally long arrays."""
+def _dealt(kind: int, part, columns: list):
+    """Rows of NUMBERS: the columns (int64), packed by part."""
     import numpy as np
+    import pyarrow as pa
+    import zstandard
 
-    order = np.lexsort((prints, docs))
-    numbers, docs, prints = numbers[order], docs[order], prints[order]
-    cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (prints[1:] != prints[:-1])) + 1
-    starts = [0, *cuts.tolist()] if len(docs) else []
-    return docs[starts], prints[starts], np.split(numbers, cuts) if len(docs) else []
+    order = np.argsort(part, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+    zip_ = zstandard.ZstdCompressor(level=1)
+    blobs = [zip_.compress(np.concatenate([c[o] for c in columns]).tobytes()) for o in groups]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(part[o[0]]) for o in groups], pa.int64()), pa.array([kind] * len(groups), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"]
+    )
 
 
-@F.arrow_udf(T.BinaryType())
-def _bits(numbers):
-    """Lists of small numbers as strings of bits."""
+def _gathered(batches, width: int, passed: int | None = None):
+    """The columns packed in a partition's rows, side by side; rows of the kind `passed` are yielded first."""
     import numpy as np
-    import pyarrow as pa
+    import pyarrow.compute as pc
+    import zstandard
 
-    out = []
-    for one in numbers:
-        x = one.values.to_numpy()
-        bits = np.zeros(int(x.max()) + 1 if len(x) else 0, bool)
-        bits[x] = True
-        out.append(np.packbits(bits).tobytes())
-    return pa.array(out, pa.binary())
+    held, unzip = [], zstandard.ZstdDecompressor()
+    for batch in batches:
+        if passed is not None:
+            through = pc.equal(batch.column(1), passed)
+            yield batch.filter(through)
+            batch = batch.filter(pc.invert(through))
+        held += [np.frombuffer(unzip.decompress(b), np.int64).reshape(width, -1) for b in batch.column(2).to_pylist()]
+    yield np.concatenate(held, axis=1) if held else np.empty((width, 0), np.int64)
 
 
 def _send_minimisers(parts: int, window: int, piece: int):
@@ -252,54 +259,52 @@ def _send_minimisers(parts: int, window: int, piece: int):
             number = np.concatenate([np.arange(n, dtype=np.int64) for n in lengths])
             _, first, back, counts = np.unique(low, return_index=True, return_inverse=True, return_counts=True)
             here = counts[back] > 1
-            marked = _by_doc(number[here], docs[here], prints[here])
+            yield _dealt(1, docs[here] % parts, [number[here], docs[here], prints[here]])
             prints = np.where(here, SETTLED, prints)
             sent = ~here
             sent[first] = True
-            low, docs, prints, number = low[sent], docs[sent], prints[sent], number[sent]
-            part = low % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-            rows = [(int(part[o[0]]), zip_.compress(np.concatenate([low[o].view(np.int64), docs[o], prints[o], number[o]]).tobytes())) for o in groups]
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows] + [int(d) % parts for d in marked[0]], pa.int64()),
-                    pa.array([None] * n + marked[0].tolist(), pa.int64()),
-                    pa.array([None] * n + marked[1].tolist(), pa.int64()),
-                    pa.array([r[1] for r in rows] + [x.tobytes() for x in marked[2]], pa.binary()),
-                ],
-                ["part", "doc", "print", "blob"],
-            )
+            low = low[sent]
+            yield _dealt(0, (low % np.uint64(parts)).astype(np.int64), [low.view(np.int64), docs[sent], prints[sent], number[sent]])
 
     return run
 
 
-def _mark_shared():
-    """Of the minimisers of one partition, those of two entries or more, by document."""
+def _mark_shared(parts: int):
+    """Of the minimisers of one partition, those of two entries or more, sent on by document."""
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
-        import zstandard
 
-        def rows(docs, prints, lists):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(prints, pa.int64()), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["doc", "print", "shared"]
-            )
-
-        held, unzip = [], zstandard.ZstdDecompressor()
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (1, 2, 3)]
-            own = [(d, p, np.frombuffer(b, np.int64)) for d, p, b in zip(*columns) if d is not None]
-            if own:
-                yield rows(*zip(*own))
-            held += [np.frombuffer(unzip.decompress(b), np.int64).reshape(4, -1) for d, _, b in zip(*columns) if d is None]
-        if held:
-            low, docs, prints, number = np.concatenate(held, axis=1)
+        for got in _gathered(batches, 4, passed=1):
+            if not isinstance(got, np.ndarray):
+                yield got
+                continue
+            low, docs, prints, number = got
             _, back, counts = np.unique(low, return_inverse=True, return_counts=True)
             shared = (counts[back] > 1) & (prints != SETTLED)
-            yield rows(*_by_doc(number[shared], docs[shared], prints[shared]))
+            yield _dealt(1, docs[shared] % parts, [number[shared], docs[shared], prints[shared]])
+
+    return run
+
+
+def _pack_bits():
+    """A string of bits for each document: which of its super-k-mers are shared."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for number, docs, prints in _gathered(batches, 3):
+            order = np.lexsort((prints, docs))
+            number, docs, prints = number[order], docs[order], prints[order]
+            cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (prints[1:] != prints[:-1])) + 1
+            first = np.r_[0, cuts].astype(np.int64) if len(docs) else np.empty(0, np.int64)
+            bits = []
+            for x in np.split(number, cuts) if len(docs) else []:
+                on = np.zeros(int(x.max()) + 1, bool)
+                on[x] = True
+                bits.append(np.packbits(on).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs[first]), pa.array(prints[first]), pa.array(bits, pa.binary())], ["doc", "print", "shared"])
 
     return run
 
@@ -416,9 +421,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
-    marked = texts.mapInArrow(_send_minimisers(parts, window, piece), NUMBERS).repartition(parts, "part").mapInArrow(_mark_shared(), MARKED)
-    marked = marked.groupBy("doc", "print").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-    marked = written(marked.select("doc", "print", _bits("shared").alias("shared")), "shared")
+    sent = texts.mapInArrow(_send_minimisers(parts, window, piece), NUMBERS).repartition(parts, "part")
+    sent = sent.mapInArrow(_mark_shared(parts), NUMBERS).repartition(parts, "part")
+    marked = written(sent.mapInArrow(_pack_bits(), MARKED), "shared")
     texts = texts.join(_side(marked, 48 + F.length("shared")), ["doc", "print"])
     sent = texts.select("doc", "print", "text", "shared").mapInArrow(_mapper(max(parts, -(-size // BUCKET_BYTES)), window, piece, hot_strings), SENT)
     met = written(sent.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(_bucket_reader(window), SENT), "repeats")
