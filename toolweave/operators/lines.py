@@ -17,7 +17,7 @@ from ..functions.maps import has_any, literal_array
 from ..functions.text import coerce_text, strip
 
 STRETCH = 10_000
-STARTS_BLOCK = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+STARTS_BLOCK = r"^(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})[T\s]\d{2}:\d{2}:\d{2}"  # one pattern for inference and segmentation
 BRACE = r"(?s)\{(.*)\}"
 LAYOUTS = ("syslog_host_facility_level", "bracket_tool_severity_event", "tool_severity_message", "tool_token_message")
 ENTRIES = "array<struct<key:string,value:string>>"
@@ -204,6 +204,17 @@ def segment_records(lines: DataFrame, boundary: str = "line", file_col: str = "f
     )
 
 
+def infer_boundary(lines: DataFrame, file_col: str = "file_id") -> DataFrame:
+    """(file, boundary): timestamp where two or more blank-separated blocks have several lines and half of all blocks
+    start with a time, blank where two or more have several lines, else line."""
+    blocks = segment_records(lines, "blank", file_col)
+    votes = blocks.groupBy(file_col).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").contains("\n")).alias("several"), F.count_if(strip(F.col("text")).rlike(STARTS_BLOCK)).alias("timed")
+    )
+    several = F.col("several") >= 2
+    return votes.select(file_col, F.when(several & (2 * F.col("timed") >= F.col("n")), "timestamp").when(several, "blank").otherwise("line").alias("boundary"))
+
+
 def file_votes(lines: DataFrame, file_col: str = "file_id", first_lines: int | None = None) -> DataFrame:
     """One row a file: how its non-blank lines look. first_lines limits the vote to a file's first lines.
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import lines as ln
 from .tables import table
 
-FIELDS = {"event_id": "k"}
-
-
 def log_lines(spark, d):
     """file_id, line_no, text: a file a user, its events in time order; the layout goes by the event."""
     k = F.col("event_id")
@@ -41,6 +38,15 @@ def segments(s, d):
     return ln.segment_records(rows, "timestamp", stretch=700)
 
 
+def layouts(s, d):
+    """Lines of files in three layouts by the user: timed blocks, blank-separated blocks, plain lines."""
+    kind = (F.col("user_id") % 30) % 3
+    timed = F.array(F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" start")), F.lit(" more"), F.lit(""))
+    parts = F.when(kind == 1, timed).when(kind == 2, F.array(F.lit("a"), F.lit("b"), F.lit(" "))).otherwise(F.array(F.lit("a")))
+    rows = table(s, d, "events").select((F.col("user_id") % 30).alias("file_id"), "event_id", F.posexplode(parts).alias("i", "text"))
+    return rows.select("file_id", (F.col("event_id") * 3 + F.col("i")).alias("line_no"), "text")
+
+
 def blocks(s, d):
     k = F.col("event_id").cast("string")
     text = F.concat(F.lit("2024-01-01T00:00:01 Machine:M"), k, F.lit(" (LOT a)\nSYSTEM WARNING: ER-"), k, F.lit(" HOT_PLATE\n>> temp=5 reason=x\n>> code="), k, F.lit("\nfree text"))
@@ -69,6 +75,8 @@ QUERIES = {
     "classify_record": kinds,
     "segment_records": lambda s, d: segments(s, d).select("file_id", "number", "first_line", "text", "source_reference"),
     "context_block": blocks,
+    "infer_boundary": lambda s, d: ln.infer_boundary(layouts(s, d)),
+    "infer_event_payload_styles": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.array_join("payload_styles", ",").alias("payload_styles")),
     "file_votes": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", "n", "syslog_hits", "kv_hits"),
     "infer_timestamp_styles": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.array_join("timestamp_styles", ",").alias("styles")),
     "rank_header_layouts": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.get("layouts", 0).alias("first_layout")),
@@ -94,6 +102,8 @@ ORACLES = {
         n AS (SELECT *, count(*) FILTER (WHERE s) OVER (PARTITION BY file_id ORDER BY line_no) AS number FROM l)
         SELECT file_id, number, min(line_no) AS first_line, string_agg(text, chr(10) ORDER BY line_no) AS text, 'block:' || CAST(number AS VARCHAR) AS source_reference FROM n WHERE number > 0 GROUP BY file_id, number""",
     "context_block": "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'M' || CAST(event_id AS VARCHAR) END AS tool_id, CASE WHEN event_id % 3 > 0 THEN 'SYSTEM WARNING' END AS event_prefix, CASE WHEN event_id % 3 > 0 THEN 'HOT_PLATE' END AS event_code, CASE WHEN event_id % 3 > 0 THEN CAST(event_id AS VARCHAR) END AS code FROM events",
+    "infer_boundary": "SELECT user_id % 30 AS file_id, CASE (user_id % 30) % 3 WHEN 1 THEN 'timestamp' WHEN 2 THEN 'blank' ELSE 'line' END AS boundary FROM events GROUP BY 1, 2",
+    "infer_event_payload_styles": f"SELECT file_id, concat_ws(',', CASE WHEN b > 0 THEN 'brace_kv' END, 'space_kv', CASE WHEN a + c > 0 THEN 'label_value_lines' END) AS payload_styles FROM ({SHARE})",
     "file_votes": f"SELECT file_id, n, a + b + c AS syslog_hits, n AS kv_hits FROM ({SHARE})",
     "infer_timestamp_styles": f"SELECT file_id, concat_ws(',', CASE WHEN b > 0 THEN 'syslog_mmm_dd_hh_mm_ss' END, CASE WHEN a + c > 0 THEN 'iso8601' END) AS styles FROM ({SHARE})",
     "rank_header_layouts": f"""SELECT file_id, CASE WHEN 3 * b >= greatest(4 * c, 2 * a, a + b + c) AND b > 0 THEN 'syslog_host_facility_level' WHEN 4 * c >= greatest(2 * a, a + b + c) AND c > 0 THEN 'bracket_tool_severity_event'

@@ -3,12 +3,16 @@ canonicalize, standardize, normalize, validate, route and project; the SQL start
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import to_int, to_number
 from ..functions.units import measurement_family, unit_symbol
 from ..operators import sinks
+from ..operators.analytics import table_counts
 from ..operators.canonical import canonicalize
 from ..operators.normalize import coerce_scalars, convert_units, harmonize_fields, normalize
 from ..operators.standardize import expand_param_name, standardize
@@ -124,7 +128,29 @@ def _upsert(s, d):
     return sinks.upsert_files(full, incoming).select("file_id", "source_format", "ingestion_time")
 
 
+def _folder(s):
+    """A new folder beside the checkpoints; a local session without a checkpoint folder takes a temporary one."""
+    shared = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/toolweave-tables"
+    return f"{shared.rstrip('/')}/load-{uuid.uuid4().hex}"
+
+
+def _written_tables(s, d):
+    """Loads the events and counts what the tables hold."""
+    base = _folder(s)
+    sinks.write_tables(validated(s, d), f"{base}/tables", f"{base}/staging", "load-1")
+    filled = ("equipment_states", "sensor_readings", "fault_events", "wafer_processing_sequences", sinks.REJECTED)
+    return table_counts({t: s.read.parquet(f"{base}/tables/{t}") for t in filled})
+
+
+def _written_results(s, d):
+    path = f"{_folder(s)}/results"
+    sinks.write_results(validated(s, d).select("filename", "record_type", "validation_reason", "normalized_fields"), path, "load-1")
+    return s.read.schema("filename string, record_type string").json(path).groupBy("filename", "record_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "write_tables": _written_tables,
+    "write_results": _written_results,
     "canonicalize": _canonicalize,
     "standardize_fields": _standardize,
     "explode_embedded_units": _embedded,
@@ -161,6 +187,9 @@ judged AS (
 BY = lambda n, *values: f"CASE event_id % {n} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 ORACLES = {
+    "write_tables": f"""{ROWS} SELECT CASE WHEN reason <> 'ok' THEN 'rejected_records' WHEN record_type = 'sensor_reading' THEN 'sensor_readings' WHEN record_type = 'equipment_state' THEN 'equipment_states'
+        WHEN record_type = 'fault_event' THEN 'fault_events' ELSE 'wafer_processing_sequences' END AS table_name, count(*) AS n FROM judged GROUP BY 1""",
+    "write_results": f"{ROWS} SELECT 'tool_' || CAST(user_id % 50 AS VARCHAR) || '.log' AS filename, record_type, count(*) AS n FROM judged GROUP BY 1, 2",
     "canonicalize": f"""SELECT event_id AS seq, {TYPE} AS record_type, {SOURCE} AS source_record_type, 'record:' || CAST(event_id AS VARCHAR) AS source_reference,
         CASE WHEN event_id % 13 = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS confidence,
         CASE event_type WHEN 'view' THEN 5 WHEN 'purchase' THEN CASE WHEN event_id % 10 = 0 THEN 2 ELSE 4 END ELSE 4 END AS n_fields FROM events""",
