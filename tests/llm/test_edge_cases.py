@@ -262,6 +262,7 @@ def test_html(spark):
     assert html_text.main_text(PAGE) == "A & B\n\nOne two three four\n\nfive six seven\n\ni\n\nii"
     assert html_text.main_text(None) == "" == html_text.main_text("") == html_text.main_text("<nav>x</nav>")
     assert html_text.main_text("<div><p>plain page text here</p><div class=sidebar>no</div></div>") == "plain page text here"
+    assert html_text.main_text('<article><p>a <span class="ad">Buy</span> b<article class="comment">c</article></article><p>d') == "a b"
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumn("TEXT", F.lit(1))
     assert [r.n_chars for r in html_text.extract(df).orderBy("page_id").collect()] == [48, 0]
     for has in (0, 1):

@@ -93,7 +93,7 @@ def is_furniture(name: str, attributes: str) -> bool:
     """Whether an element holds page furniture, by its name or by the words of its class, id and role."""
     if name in FURNITURE:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     for kind, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
@@ -118,7 +118,7 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, article of each open element
     parts: list[str] = []
     linked = 0
-    state = [0, 0, 0]  # how many open elements are links, furniture, articles
+    state = [0, 0, 0, 0]  # how many open elements are links, furniture, articles, inline furniture
     has_article = False
 
     def close_block() -> None:
@@ -135,10 +135,11 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
         state[0] -= name == "a"
         state[1] -= furniture
         state[2] -= article
+        state[3] -= furniture and name in INLINE
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not state[3]:  # furniture within a line goes without breaking the line
             parts.append(text)
             if state[0]:
                 linked += len(text.split())
@@ -171,6 +172,7 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
                                     state[0] += x[0] == "a"
                                     state[1] += x[1]
                                     state[2] += x[2]
+                                    state[3] += x[1]
                             break
                 else:
                     while stack[-1][0] != name:
@@ -212,6 +214,7 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
         state[0] += name == "a"
         state[1] += furniture
         state[2] += article
+        state[3] += furniture and inline
     add(page[at:])
     close_block()
     return blocks, has_article
