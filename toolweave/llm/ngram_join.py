@@ -6,7 +6,8 @@ agree form a group. Groups meet on the tokens of their prefixes, pairs of groups
 and then members are expanded and verified on their whole texts.
 
 Order. The prefix filter holds under any order of tokens; here frequent tokens come last, the rest by hash. To find
-them, the tokens that may enter a prefix are counted over all documents; the list that is broadcast holds at most
+them, the tokens that may enter a prefix are counted over all documents, and all tokens of texts that turn out to
+consist of frequent ones (near copies in large groups); the list that is broadcast holds at most
 HOT_TOKENS of the most frequent (8 bytes each). A shorter list would cost time, not results.
 
 Whole links without all pairs. What the caller gets are components, so a pair inside one component needs no check.
@@ -64,8 +65,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1 if n else 0  # n - ceil(percent n / 100) + 1
 
 
-def _count_tokens(words: int, percent: int, parts: int):
-    """Sends the tokens that may enter a prefix, with their counts in the batch, as one packed row for each part."""
+def _count_tokens(words: int, percent: int, parts: int, hot=None):
+    """Sends the tokens that may enter a prefix, with their counts in the batch, as one packed row for each part.
+
+    With hot, the frequent tokens found so far: sends all tokens of the texts that have more of those among the tokens
+    that may enter than a prefix leaves room for, since their prefixes reach further.
+    """
 
     def run(batches):
         import numpy as np
@@ -75,7 +80,11 @@ def _count_tokens(words: int, percent: int, parts: int):
             zones = []
             for data in utf8(batch.column(0)):
                 h = shingle_hashes(data, words)
-                zones.append(h[: 2 * prefix_length(len(h), percent)])
+                zone = h[: 2 * prefix_length(len(h), percent)]
+                if hot is None:
+                    zones.append(zone)
+                elif 2 * _among(zone, hot.value).sum() > len(zone):
+                    zones.append(h)
             tokens, counts = np.unique(np.concatenate(zones or [np.empty(0, np.uint64)]), return_counts=True)
             part = tokens % np.uint64(parts)
             order = np.argsort(part, kind="stable")
@@ -128,16 +137,31 @@ def _sum_tokens(least: int):
     return run
 
 
+def _among(tokens, often):
+    """Which tokens are in a sorted array."""
+    import numpy as np
+
+    if not len(often):
+        return np.zeros(len(tokens), bool)
+    return often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens
+
+
 def hot_tokens(docs: DataFrame, text_col: str, words: int, percent: int, least: int = HOT_COUNT, most: int = HOT_TOKENS):
     """The frequent tokens, as a sorted uint64 array of at most `most`."""
     import numpy as np
 
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(_parts(docs.sparkSession), -(-size // PART_TEXT))
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_tokens(words, percent, parts), "part long, tokens binary, counts binary")
-    often = sent.repartition(parts, "part").mapInArrow(_sum_tokens(least), "token long, count long")
-    found = often.orderBy(F.desc("count"), "token").limit(most).select("token").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64))
+    texts, found = docs.select(F.col(text_col).alias("text")), np.empty(0, np.uint64)
+    for again in (False, True):
+        hot = docs.sparkSession.sparkContext.broadcast(found) if again else None
+        sent = texts.mapInArrow(_count_tokens(words, percent, parts, hot), "part long, tokens binary, counts binary")
+        often = sent.repartition(parts, "part").mapInArrow(_sum_tokens(least), "token long, count long")
+        more = often.orderBy(F.desc("count"), "token").limit(most - len(found)).select("token").toArrow()
+        found = np.union1d(found, more.column(0).to_numpy().view(np.uint64))
+        if not len(found) or len(found) >= most:
+            break
+    return found
 
 
 def _parts(spark: SparkSession) -> int:
@@ -168,12 +192,8 @@ def _sets(words: int, percent: int, hot):
         for data in utf8(text):
             h = shingle_hashes(data, words)
             n = len(h)
-            if n and len(often):
-                at = np.searchsorted(often, h)
-                is_hot = often[np.minimum(at, len(often) - 1)] == h
-                ordered = np.concatenate([h[~is_hot], h[is_hot]]) if is_hot.any() else h
-            else:
-                ordered = h
+            is_hot = _among(h, often)
+            ordered = np.concatenate([h[~is_hot], h[is_hot]]) if is_hot.any() else h
             prefix = ordered[: prefix_length(n, percent)]
             sizes.append(n)
             digests.append(xxhash.xxh3_128_digest(h.tobytes()) if n else None)
@@ -218,11 +238,7 @@ def _post(parts: int, hot):
             groups = np.repeat(batch.column(0).to_numpy(), lengths)
             sizes = np.repeat(batch.column(1).to_numpy(), lengths)
             places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            if len(often):
-                at = np.searchsorted(often, tokens)
-                is_hot = often[np.minimum(at, len(often) - 1)] == tokens
-            else:
-                is_hot = np.zeros(len(tokens), bool)
+            is_hot = _among(tokens, often)
             if is_hot.any():
                 t, g = tokens[is_hot].view(np.int64), groups[is_hot]
                 yield _post_rows(len(t), part=(t ^ g) & 0x7FFFFFFF, token=t, a=g, x=sizes[is_hot], y=places[is_hot])
@@ -367,7 +383,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     round1 = written(round1.distinct(), "round1")
     texts = lambda pairs: _texts(keyed, classes, pairs)
     links = written(_verified(round1, texts(round1), words, percent), "links1")
-    labels = components(links)
+    labels = written(components(links), "labels")
 
     # Round 2: members of groups that met, or of one group, in different components.
     own = written(members.join(labels, members.cid == labels.node, "left").select("cid", "gid", F.coalesce("root", "cid").alias("label")), "labelled")
@@ -391,8 +407,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     round2 = round2.join(size.select(F.col("cid").alias("u"), F.col("n").alias("nu")), "u").join(size.select(F.col("cid").alias("v"), F.col("n").alias("nv")), "v")
     round2 = round2.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v")
     round2 = written(round2.join(round1, ["u", "v"], "left_anti"), "round2")
-    more = written(_verified(round2, texts(round2), words, percent), "links2")
-    roots = components(links.unionByName(more))
+    roots = labels
+    if round2.limit(1).count():
+        more = written(_verified(round2, texts(round2), words, percent), "links2")
+        if more.limit(1).count():
+            roots = components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
     placed = classes.select("cid", "digest", "doc").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
