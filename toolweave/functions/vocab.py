@@ -308,14 +308,8 @@ DEFAULT_NOTE = "generic observation"
 # --------------------------------------------------------------------------------------
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_DELIMITERS = [",", "\t", ";", "|"]
-SNIFF_BYTES = 65536
 SYSLOG_LINE = r"^\w{3}\s+\d{1,2}\s\d{2}:\d{2}:\d{2}|^\d{4}-\d{2}-\d{2}"
 KV_LINE = r"\b[A-Za-z_][A-Za-z0-9_]*\s*=\s*[^=\s]+"
-KNOWN_TEXT_EXTENSIONS = {
-    ".json": "json", ".csv": "csv", ".xml": "xml", ".syslog": "syslog", ".log": "log",
-    ".kv": "kv", ".txt": "txt",
-}
-KNOWN_BINARY_EXTENSIONS = {".bin": "bin", ".hex": "hex", ".parquet": "parquet_like_binary"}
 
 # format -> (parser family, support status)
 FORMAT_SUPPORT = {
@@ -495,7 +489,6 @@ EVENT_CSV_ALIASES = {
     "ExpectedValue": "expected_value", "MeasureUnit": "unit", "LotNumber": "lot",
     "WaferNumber": "wafer", "AutoResponse": "action",
 }
-STEP_CSV_COLUMNS = ["tool_id", "lot_id", "wafer_id", "step_name", "step_status"]
 STEP_CSV_ALIASES = {
     "tool_id": "tool_id", "lot_id": "lot", "wafer_id": "wafer", "slot_no": "slot",
     "recipe_name": "recipe", "step_name": "step", "step_status": "status",
@@ -631,7 +624,5 @@ TLV_FILL_INS = {
 FACET_FIELDS = ["filename", "tool_id", "lot", "wafer", "step", "severity", "status",
                 "parameter", "fault_code"]
 DASHBOARD_SEVERE = ["WARN", "ERROR", "CRITICAL", "ALARM"]
-DASHBOARD_ROWS = 1000
-DASHBOARD_TABLE_ROWS = 300
 DASHBOARD_SAMPLE_ROWS = 50
 DASHBOARD_RECENT_FILES = 20

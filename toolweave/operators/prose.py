@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +97,101 @@ def promote_generic(observations: DataFrame) -> DataFrame:
     ])
     added = F.map_from_entries(F.filter(fills, lambda e: e["value"].isNotNull()))
     return observations.withColumns({"data": F.when(to.isNotNull(), F.map_concat(data, added)).otherwise(data), "final_type": F.coalesce(to, F.col("final_type"))})
+
+
+def overlap(a: dict, b: dict, groups=vocab.MERGE_IDENTITIES) -> int:
+    """In how many identity groups two observations name the same thing."""
+    said = lambda d, keys: next((d[k] for k in keys if d.get(k) not in (None, "", "[]", "{}")), None)
+    return sum(said(a, keys) is not None and said(a, keys) == said(b, keys) for keys in groups)
+
+
+def joined_evidence(a: str | None, b: str | None) -> str:
+    a, b = (a or "").strip(), (b or "").strip()
+    return a if b in a else b if a in b else f"{a} | {b}"
+
+
+def _take_in(host: dict, guest: dict) -> None:
+    """The host keeps its own values and gains what only the guest says."""
+    host["data"] = {**dict(guest["data"] or {}), **dict(host["data"] or {})}
+    host["evidence_text"] = joined_evidence(host["evidence_text"], guest["evidence_text"])
+    host["confidence"] = max(host["confidence"], guest["confidence"])
+
+
+def _by_chunk(observations: DataFrame, keys: list[str], order: str, fold) -> DataFrame:
+    """fold(rows in order) for each group; a group is what one chunk of at most a few sentences gave."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = pdf.sort_values(order).to_dict("records")
+        return pd.DataFrame(fold(rows), columns=list(pdf.columns)) if rows else pdf
+
+    return observations.groupBy(*keys).applyInPandas(run, observations.schema)
+
+
+def merge_same_chunk(observations: DataFrame, order: str, reference: str = "source_reference") -> DataFrame:
+    """Within a chunk, coarse and final type, observations that share an identity become one: each joins the first one
+    before it that it overlaps with. The order is a column, so reruns agree."""
+
+    def fold(rows: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for row in rows:
+            host = next((k for k in kept if overlap(dict(k["data"] or {}), dict(row["data"] or {}))), None)
+            if host is None:
+                kept.append(row)
+            else:
+                _take_in(host, row)
+                host["extra"] = {**dict(row["extra"] or {}), **dict(host["extra"] or {})}
+        return kept
+
+    return _by_chunk(observations, [reference, "coarse_type", "final_type"], order, fold)
+
+
+# The final type that an observation of a coarse type may be absorbed by; generic ones fit all of them.
+ABSORBED_BY = {k: v for k, v in vocab.FINAL_OF_COARSE.items() if v}
+
+
+def _absorb(observations: DataFrame, order: str, reference: str, least: int, groups, generic_fits: bool, boost: int, leave_out: bool) -> DataFrame:
+    def score(anchor: dict, row: dict) -> int:
+        coarse = row["coarse_type"]
+        family = ABSORBED_BY.get(coarse) == anchor["final_type"]
+        if not family and not (generic_fits and coarse == "generic_operational_observation" and anchor["final_type"] in vocab.OBSERVATION_MINIMUMS):
+            return -1
+        shared = overlap(dict(anchor["data"] or {}), dict(row["data"] or {}), groups)
+        return shared + 2 * family + boost * (shared >= 1)
+
+    def fold(rows: list[dict]) -> list[dict]:
+        concrete = [r for r in rows if r["final_type"]]
+        rest = []
+        for row in rows:
+            if row["final_type"]:
+                continue
+            alone = leave_out and any(w in (row["subtype"] or "") for w in vocab.NEVER_ABSORBED)
+            best = max(concrete, key=lambda a: score(a, row), default=None)  # the first of equals
+            if alone or best is None or score(best, row) < least:
+                rest.append(row)
+                continue
+            extra = dict(best["extra"] or {})
+            taken = json.loads(extra.get("absorbed_observations") or "[]")
+            taken.append({k: row[k] for k in ("coarse_type", "subtype", "confidence", "evidence_text")} | {"data": dict(row["data"] or {}), "uncertain": bool(row["uncertain"])})
+            best["extra"] = {**extra, "absorbed_observations": json.dumps(taken)}
+            _take_in(best, row)
+        return concrete + rest
+
+    return _by_chunk(observations, [reference], order, fold)
+
+
+def absorb_generic(observations: DataFrame, order: str, reference: str = "source_reference") -> DataFrame:
+    """Observations without a final type go into the best fitting one of their chunk (score 3 or more)."""
+    return _absorb(observations, order, reference, 3, vocab.MERGE_IDENTITIES, True, 1, True)
+
+
+def condense(observations: DataFrame, order: str, reference: str = "source_reference") -> DataFrame:
+    """The same among finalized observations (score 2 or more); of what is left over only headers, summaries and strong
+    statements stay."""
+    generic = "generic_operational_observation"
+    opened = observations.withColumn("final_type", F.when(F.col("final_type") != generic, F.col("final_type")))
+    folded = finalize_type(_absorb(opened, order, reference, 2, vocab.CONDENSE_IDENTITIES, False, 0, False))
+    n, c, sub = F.size("data"), F.col("confidence"), F.coalesce("subtype", F.lit(""))
+    strong = (c >= 0.95) & (n >= 3) | (c >= 0.97) & (n >= 4) | sub.contains("header") | sub.contains("summary")
+    return folded.where((F.col("final_type") != generic) | strong)

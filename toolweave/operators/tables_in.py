@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.text import coerce_text, non_blank_lines, present, strip
 from .detect import delimiter_score
+from .lines import unique
 
 
 def read_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,3 +142,12 @@ def tlv_records(content: Column) -> Column:
     found = F.aggregate(numbers, start, step, lambda acc: acc["found"])
     kinds = F.create_map(*[F.lit(x) for kv in vocab.TLV_TYPES.items() for x in kv])
     return F.transform(found, lambda r: F.struct(r["record_no"].alias("record_no"), F.coalesce(kinds[r["kind"]], F.lit("unknown")).alias("record_type"), F.str_to_map(r["payload"], F.lit(";"), F.lit("=")).alias("fields")))
+
+
+def tlv_fill_in(record_type: Column, fields: Column) -> Column:
+    """fields of a tagged record with absent standard names copied from its type's own keys, in order."""
+    rules = [(kind, target, source) for kind, pairs in vocab.TLV_FILL_INS.items() for target, source in pairs]
+    wanted = F.array(*[
+        F.struct(F.lit(t).alias("key"), F.when((record_type == kind) & ~F.map_contains_key(fields, F.lit(t)), fields[s]).alias("value")) for kind, t, s in rules
+    ])
+    return F.map_concat(fields, unique(F.filter(wanted, lambda e: e["value"].isNotNull())))

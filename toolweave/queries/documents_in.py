@@ -55,6 +55,22 @@ def checked(s, d):
     return pr.validate_observations(observations(s, d))
 
 
+def chunked(s, d):
+    """Observations of chunks of a few events: a lot by the event, every fifth one generic."""
+    k = F.col(K)
+    generic = k % 5 == 4
+    data = ordered_bag([("lot", F.concat(F.lit("L"), (k % 2).cast("string"))), ("n", k), ("step", F.lit("s"))])
+    return events(s, d).select(
+        K, F.concat(F.lit("chunk:"), F.floor(k / 10).cast("string")).alias("source_reference"), F.when(generic, "measurement_observation").otherwise("fault_or_warning").alias("coarse_type"),
+        F.when(k % 5 == 0, "sensor_reading").when(generic, None).otherwise("fault_event").alias("final_type"), F.lit("note").alias("subtype"), (k % 7 / 10).alias("confidence"),
+        F.concat(F.lit("e"), k.cast("string")).alias("evidence_text"), F.lit(False).alias("uncertain"), data.alias("data"), F.create_map().cast("map<string,string>").alias("extra"))
+
+
+def apart(s, d):
+    """chunked() with identities that only a lot gives."""
+    return chunked(s, d).withColumn("data", F.map_filter("data", lambda k, v: k != "step"))
+
+
 def csv_files(s, d):
     """A table a user: its events as rows, one of them too wide."""
     row = F.concat_ws(";", F.date_format("ts", "yyyy-MM-dd"), F.col(K).cast("string"), F.col("event_type"), F.when(F.col(K) % 4 == 0, "").otherwise(F.round("value", 2).cast("string")), F.lit("Pa"))
@@ -99,6 +115,10 @@ QUERIES = {
     "dedupe_observations": lambda s, d: pr.dedupe_observations(checked(s, d).withColumn("data", F.map_filter("data", lambda k, v: k != "value")), K).select(K),
     "finalize_type": lambda s, d: pr.finalize_type(checked(s, d)).groupBy("final_type").agg(F.count(F.lit(1)).alias("n")),
     "promote_generic": lambda s, d: pr.promote_generic(pr.finalize_type(checked(s, d).withColumn("final_type", F.lit(None).cast("string")))).select(K, "final_type"),
+    "merge_same_chunk": lambda s, d: pr.merge_same_chunk(apart(s, d), K).select(K, "source_reference", "confidence", "evidence_text"),
+    "absorb_generic": lambda s, d: pr.absorb_generic(chunked(s, d), K).select(K, "final_type", F.col("extra")["absorbed_observations"].isNotNull().alias("absorbed")),
+    "condense": lambda s, d: pr.condense(chunked(s, d).withColumn("confidence", F.lit(0.5)), K).select(K, "final_type"),
+    "tlv_fill_in": lambda s, d: tlv(s, d).select(K, F.inline(ti.tlv_records(F.col("content")))).select(K, "record_no", ti.tlv_fill_in(F.col("record_type"), F.col("fields"))["parameter"].alias("parameter")),
     "read_lines": lambda s, d: ti.read_lines(csv_files(s, d)).groupBy("user_id").agg(F.max("line_no").alias("lines")),
     "read_csv_diag": lambda s, d: csv_rows(s, d).select("user_id", "row_no", "n_cells", "expected", "malformed", F.col("fields")["sensor_id"].alias("sensor_id"), F.col("fields")["value"].alias("value")),
     "where_equals": lambda s, d: ti.where_equals(good_rows(s, d), "event_type", "error").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")),
@@ -137,6 +157,13 @@ ORACLES = {
     "dedupe_observations": f"SELECT min(event_id) AS event_id FROM ({VALID}) GROUP BY event_id % 50, {FINAL}, CASE WHEN sub = 0 THEN 0 ELSE 1 END, g",
     "finalize_type": f"SELECT coalesce({FINAL}, 'generic_operational_observation') AS final_type, count(*) AS n FROM ({VALID}) GROUP BY 1",
     "promote_generic": f"""SELECT event_id, CASE WHEN c = 0 AND g = 0 THEN 'equipment_state' WHEN c = 1 AND g = 1 THEN 'sensor_reading' ELSE 'generic_operational_observation' END AS final_type FROM ({VALID})""",
+    "merge_same_chunk": """WITH e AS (SELECT event_id, event_id // 10 AS c, event_id % 2 AS lot, CASE WHEN event_id % 5 = 4 THEN 1 ELSE 0 END AS g, CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 5 = 4 THEN 2 ELSE 3 END AS f FROM events)
+        SELECT min(event_id) AS event_id, 'chunk:' || CAST(c AS VARCHAR) AS source_reference, max(event_id % 7) / 10 AS confidence, string_agg('e' || CAST(event_id AS VARCHAR), ' | ' ORDER BY event_id) AS evidence_text
+        FROM e GROUP BY c, lot, g, f""",
+    "absorb_generic": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'sensor_reading' ELSE 'fault_event' END AS final_type,
+        event_id % 5 = 0 AND EXISTS (SELECT 1 FROM events g WHERE g.event_id // 10 = e.event_id // 10 AND g.event_id % 5 = 4 AND g.event_id % 2 = e.event_id % 2) AS absorbed FROM events e WHERE event_id % 5 <> 4""",
+    "condense": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'sensor_reading' ELSE 'fault_event' END AS final_type FROM events WHERE event_id % 5 <> 4",
+    "tlv_fill_in": """SELECT event_id, i AS record_no, CASE i WHEN 1 THEN 'p' END AS parameter FROM events, (VALUES (1), (2)) AS v(i) WHERE i = 1 OR event_id % 3 <> 0""",
     "read_lines": "SELECT user_id, CAST(count(*) + 1 AS INTEGER) AS lines FROM events GROUP BY 1",
     "read_csv_diag": """SELECT user_id, CAST(1 + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS row_no, CASE WHEN event_id % 10 = 0 THEN 6 ELSE 5 END AS n_cells, 5 AS expected,
         event_id % 10 = 0 AS malformed, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id AS VARCHAR) END AS sensor_id,
