@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import table
+from toolweave.llm.common import small_batches, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed pattern of this public vocabulary: how text is cut before merges.
@@ -99,6 +99,7 @@ def encode_turns(turns: DataFrame, tokenizer: str = TOKENIZER, conv_col: str = "
                  role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, turn, role, ids, text_from, text_to, loss) for each row: token ids, the text's place among them, and
     whether it counts for the loss. The vocabulary is read by the driver and broadcast (50,000 entries)."""
+    small_batches(turns.sparkSession)
     ranks = turns.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text_from", T.IntegerType()), T.StructField("text_to", T.IntegerType())])
 

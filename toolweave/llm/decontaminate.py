@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import alnum_words, table, utf8, without
+from toolweave.llm.common import alnum_words, small_batches, table, utf8, without
 
 WINDOW = 13
 PER_MILLE_LIMIT = 50  # contaminated from 5 % of a document's words
@@ -131,6 +131,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int
     neither dropped nor merged; input columns named like an output are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = without(docs, *(n for n in OUTPUTS if n != text_col))
     kept = docs.columns
     found = []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import table, without
+from toolweave.llm.common import small_batches, table, without
 
 # Fixed names of elements and of class, id and role words.
 RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title", "head")
@@ -278,6 +278,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
         return pa.array([main_text(page.as_py()) for page in column], pa.string())
 
+    small_batches(pages.sparkSession)
     pages = without(pages, *(n for n in ("text", "n_chars") if n != html_col))
     names = pages.columns
     made = pages.withColumn("__text", text_of(F.col(html_col)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import table, utf8, written
+from toolweave.llm.common import small_batches, table, utf8, written
 
 SAMPLE = 1000
 MOST_LANGUAGES = 200
@@ -122,6 +122,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
              sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
     """(doc, print, language, confidence, text_language, declared, kept) for each row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     languages = languages_of(docs, declared_col)
     print_ = F.crc32(F.col(text_col).cast("binary")).alias("print")
     base = docs.select(

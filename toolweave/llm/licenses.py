@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import alnum_words, table, utf8, without
+from toolweave.llm.common import alnum_words, small_batches, table, utf8, without
 
 # Fixed phrases (words joined by spaces) and labels.
 BASE = {
@@ -190,6 +190,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         columns = list(zip(*map(scan_text, utf8(text)))) or [()] * len(OUTPUTS)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(OUTPUTS))
 
+    small_batches(docs.sparkSession)
     docs = without(docs, *(n for n in OUTPUTS if n != text_col))
     names = docs.columns
     return docs.withColumn("__scan", each(F.col(text_col))).select(*[F.col(f"`{c}`") for c in names], "__scan.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import UPPER, LOWER, space_words, table, utf8, without, written
+from toolweave.llm.common import LOWER, UPPER, small_batches, space_words, table, utf8, without, written
 from toolweave.llm.components import components
 
 HOT_COUNT = 48  # a token of more documents is frequent
@@ -342,6 +342,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     component_id.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     hot = spark.sparkContext.broadcast(hot_tokens(docs, text_col, words, percent))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(F.col(text_col).cast("binary")).alias("print"), F.col(text_col).alias("text"))
     sets = keyed.withColumn("s", _sets(words, percent, hot)("text")).select("doc", "print", "s.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import BROADCAST_BYTES, fingerprint, space_words, table, utf8, without, written
+from toolweave.llm.common import BROADCAST_BYTES, fingerprint, small_batches, space_words, table, utf8, without, written
 
 WINDOW = 13
 PIECE = 6
@@ -416,6 +416,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    piece: int = PIECE, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(doc, print, spans): word ranges [start, stop) to remove from the document of this id and text fingerprint."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), fingerprint(text_col).alias("print"), F.col(text_col).alias("text")).where(
         F.col("doc").isNotNull() & (F.length("text") >= 2 * window - 1)
     )
