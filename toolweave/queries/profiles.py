@@ -61,7 +61,7 @@ ORACLES = {
     "schema_family": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'events' ELSE 'control_job' END AS schema_family FROM events WHERE event_id % 5 <> 0",
     "schema_fingerprint": """SELECT left(sha256(CASE WHEN event_id % 2 = 0 THEN '{"paths":["events[].Value","events[].sub[].u","events[].t","id","tool.ToolID","tool.x"],"repeated":["events[]","events[].sub[]"]}'
         ELSE '{"paths":["ControlJob.LotID","Value"],"repeated":[]}' END), 16) AS fingerprint, count(*) AS n FROM events WHERE event_id % 5 <> 0 GROUP BY 1""",
-    "suggest_mappings": f"""SELECT * FROM (VALUES ('one', 'equipment_id', 'tool.ToolID', 0.9), ('one', 'value', 'events[].Value', 0.9), ('other', 'lot_id', 'ControlJob.LotID', 0.9), ('other', 'value', 'Value', 0.9)) AS v(family, field, paths, confidence)
+    "suggest_mappings": f"""SELECT family, field, paths, confidence::DOUBLE AS confidence FROM (VALUES ('one', 'equipment_id', 'tool.ToolID', 0.9), ('one', 'value', 'events[].Value', 0.9), ('other', 'lot_id', 'ControlJob.LotID', 0.9), ('other', 'value', 'Value', 0.9)) AS v(family, field, paths, confidence)
         WHERE (SELECT count(*) FROM events) > 0""",
     "prune_structure": "SELECT event_id, 'tool.ToolID' AS path FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0",
     "uncovered_paths": f"SELECT event_id, 'events[].sub[]' AS path FROM events WHERE {ONE} AND event_id % 4 <> 0",
