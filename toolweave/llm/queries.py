@@ -20,5 +20,6 @@ ORACLES = {
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op4_quality": quality.ORACLE_SQL,
     "op5_chat": chat.ORACLE_SQL,
+    "op8_url_filter": url_filter.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }

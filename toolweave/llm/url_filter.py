@@ -118,3 +118,39 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(key: str, above: str) -> str:
+    """SQL of one level: its counts, its strength and its posterior p over the keys of all hosts."""
+    return f"""
+{key}_counts AS (SELECT {key}, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k FROM counted GROUP BY {key}),
+{key}_sums AS (SELECT sum(n) AS n, sum(k) AS k, count(*) AS m, sum(k * k / n) AS kk FROM {key}_counts),
+{key}_fit AS (
+  SELECT CASE WHEN n IS NULL OR n = 0 OR m < 2 THEN 1.0 WHEN spread <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, noise / spread - 1)) END AS s
+  FROM (SELECT n, m, k / n * (1 - k / n) AS noise, (kk - n * (k / n) * (k / n) - (m - 1) * (k / n) * (1 - k / n)) / greatest(1.0, n - m) AS spread FROM {key}_sums)),
+{key}_level AS (
+  SELECT h.*, (coalesce(c.k, 0) + f.s * {above}) / (coalesce(c.n, 0) + f.s) AS p_{key}, coalesce(c.n, 0) + f.s AS size_{key}
+  FROM {"hosts" if key == "suffix" else "suffix_level" if key == "domain" else "domain_level"} h LEFT JOIN {key}_counts c USING ({key}) CROSS JOIN {key}_fit f)"""
+
+
+ORACLE_SQL = rf"""
+WITH placed AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+named AS (SELECT *, regexp_extract(host, '([^.]+\.[^.]+)$|([^.]+)$', 0) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix FROM placed),
+hosts AS (SELECT DISTINCT host, domain, suffix FROM named),
+counted AS (
+  SELECT host, domain, suffix, count(*)::DOUBLE AS n, count(*) FILTER (WHERE quality = 0 OR toxic = 1)::DOUBLE AS k
+  FROM named JOIN labels ON doc_id = page_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY ALL),
+every AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS prior FROM counted),{_level_sql("suffix", "(SELECT prior FROM every)")},{_level_sql("domain", "h.p_suffix")},{_level_sql("host", "h.p_domain")},
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM placed)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN round(greatest(0, p_host - 1.645 * sqrt(p_host * (1 - p_host) / (size_host + 1))), 6) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r JOIN host_level USING (host)
+"""
