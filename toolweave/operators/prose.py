@@ -72,11 +72,11 @@ def keep_filter(observations: DataFrame) -> DataFrame:
     return observations.where((F.col("confidence") >= 0.80) & (n > 0) & ~weak)
 
 
-def dedupe_observations(observations: DataFrame, order: str) -> DataFrame:
-    """One of the rows with equal reference, type, subtype and data: the one of the smallest order."""
-    rest = [c for c in observations.columns if c not in ("source_reference", "final_type", "subtype")]
+def dedupe_observations(observations: DataFrame, order: str, file_col: str = "file_id") -> DataFrame:
+    """One of the rows with equal file, reference, type, subtype and data: the one of the smallest order."""
+    rest = [c for c in observations.columns if c not in (file_col, "source_reference", "final_type", "subtype")]
     same = observations.withColumn("__d", F.to_json(F.array_sort(F.map_entries("data"))))
-    first = same.groupBy("source_reference", "final_type", "subtype", "__d").agg(F.min_by(F.struct(*rest), order).alias("r"))
+    first = same.groupBy(file_col, "source_reference", "final_type", "subtype", "__d").agg(F.min_by(F.struct(*rest), order).alias("r"))
     return first.select(*[F.col(c) if c not in rest else F.col(f"r.{c}").alias(c) for c in observations.columns])
 
 
@@ -118,7 +118,7 @@ def _take_in(host: dict, guest: dict) -> None:
 
 
 def _by_chunk(observations: DataFrame, keys: list[str], order: str, fold) -> DataFrame:
-    """fold(rows in order) for each group; a group is what one chunk of at most a few sentences gave."""
+    """fold(rows in order) for each group; a group is what one chunk, of at most a few sentences, of one file gave."""
 
     def run(pdf):
         import pandas as pd
@@ -129,8 +129,8 @@ def _by_chunk(observations: DataFrame, keys: list[str], order: str, fold) -> Dat
     return observations.groupBy(*keys).applyInPandas(run, observations.schema)
 
 
-def merge_same_chunk(observations: DataFrame, order: str, reference: str = "source_reference") -> DataFrame:
-    """Within a chunk, coarse and final type, observations that share an identity become one: each joins the first one
+def merge_same_chunk(observations: DataFrame, order: str, reference: str = "source_reference", file_col: str = "file_id") -> DataFrame:
+    """Within a file's chunk, coarse and final type, observations that share an identity become one: each joins the first one
     before it that it overlaps with. The order is a column, so reruns agree."""
 
     def fold(rows: list[dict]) -> list[dict]:
@@ -144,14 +144,14 @@ def merge_same_chunk(observations: DataFrame, order: str, reference: str = "sour
                 host["extra"] = {**dict(row["extra"] or {}), **dict(host["extra"] or {})}
         return kept
 
-    return _by_chunk(observations, [reference, "coarse_type", "final_type"], order, fold)
+    return _by_chunk(observations, [file_col, reference, "coarse_type", "final_type"], order, fold)
 
 
 # The final type that an observation of a coarse type may be absorbed by; generic ones fit all of them.
 ABSORBED_BY = {k: v for k, v in vocab.FINAL_OF_COARSE.items() if v}
 
 
-def _absorb(observations: DataFrame, order: str, reference: str, least: int, groups, generic_fits: bool, boost: int, leave_out: bool) -> DataFrame:
+def _absorb(observations: DataFrame, order: str, file_col: str, reference: str, least: int, groups, generic_fits: bool, boost: int, leave_out: bool) -> DataFrame:
     def score(anchor: dict, row: dict) -> int:
         coarse = row["coarse_type"]
         family = ABSORBED_BY.get(coarse) == anchor["final_type"]
@@ -178,20 +178,20 @@ def _absorb(observations: DataFrame, order: str, reference: str, least: int, gro
             _take_in(best, row)
         return concrete + rest
 
-    return _by_chunk(observations, [reference], order, fold)
+    return _by_chunk(observations, [file_col, reference], order, fold)
 
 
-def absorb_generic(observations: DataFrame, order: str, reference: str = "source_reference") -> DataFrame:
-    """Observations without a final type go into the best fitting one of their chunk (score 3 or more)."""
-    return _absorb(observations, order, reference, 3, vocab.MERGE_IDENTITIES, True, 1, True)
+def absorb_generic(observations: DataFrame, order: str, reference: str = "source_reference", file_col: str = "file_id") -> DataFrame:
+    """Observations without a final type go into the best fitting one of their file's chunk (score 3 or more)."""
+    return _absorb(observations, order, file_col, reference, 3, vocab.MERGE_IDENTITIES, True, 1, True)
 
 
-def condense(observations: DataFrame, order: str, reference: str = "source_reference") -> DataFrame:
+def condense(observations: DataFrame, order: str, reference: str = "source_reference", file_col: str = "file_id") -> DataFrame:
     """The same among finalized observations (score 2 or more); of what is left over only headers, summaries and strong
     statements stay."""
     generic = "generic_operational_observation"
     opened = observations.withColumn("final_type", F.when(F.col("final_type") != generic, F.col("final_type")))
-    folded = finalize_type(_absorb(opened, order, reference, 2, vocab.CONDENSE_IDENTITIES, False, 0, False))
+    folded = finalize_type(_absorb(opened, order, file_col, reference, 2, vocab.CONDENSE_IDENTITIES, False, 0, False))
     n, c, sub = F.size("data"), F.col("confidence"), F.coalesce("subtype", F.lit(""))
     strong = (c >= 0.95) & (n >= 3) | (c >= 0.97) & (n >= 4) | sub.contains("header") | sub.contains("summary")
     return folded.where((F.col("final_type") != generic) | strong)

@@ -47,7 +47,7 @@ def observations(s, d):
     return events(s, d).select(
         K, pick(4, "state_change", "measurement_observation", "generic_operational_observation", "nonsense").alias("coarse_type"), pick(5, "log_header_metadata", "note", "note", "note", "note").alias("subtype"),
         (F.col("value") / 10).alias("confidence"), F.when(k % 17 == 0, " ").otherwise(" seen ").alias("evidence_text"), F.lit(False).alias("uncertain"), data.alias("data"),
-        F.concat(F.lit("chunk:"), (k % 50).cast("string")).alias("source_reference"),
+        F.floor(k % 50 / 10).alias("file_id"), F.concat(F.lit("chunk:"), (k % 10).cast("string")).alias("source_reference"),
     )
 
 
@@ -56,19 +56,20 @@ def checked(s, d):
 
 
 def chunked(s, d):
-    """Observations of chunks of a few events: a lot by the event, every fifth one generic."""
+    """Observations of files of ten chunks of a few events: a lot by the event, every fifth one generic."""
     k = F.col(K)
     generic = k % 5 == 4
     data = ordered_bag([("lot", F.concat(F.lit("L"), (k % 2).cast("string"))), ("n", k), ("step", F.lit("s"))])
     return events(s, d).select(
-        K, F.concat(F.lit("chunk:"), F.floor(k / 10).cast("string")).alias("source_reference"), F.when(generic, "measurement_observation").otherwise("fault_or_warning").alias("coarse_type"),
+        K, F.floor(k / 100).alias("file_id"), F.concat(F.lit("chunk:"), (F.floor(k / 10) % 10).cast("string")).alias("source_reference"), F.when(generic, "measurement_observation").otherwise("fault_or_warning").alias("coarse_type"),
         F.when(k % 5 == 0, "sensor_reading").when(generic, None).otherwise("fault_event").alias("final_type"), F.lit("note").alias("subtype"), (k % 7 / 10).alias("confidence"),
         F.concat(F.lit("e"), k.cast("string")).alias("evidence_text"), F.lit(False).alias("uncertain"), data.alias("data"), F.create_map().cast("map<string,string>").alias("extra"))
 
 
 def apart(s, d):
-    """chunked() with identities that only a lot gives."""
-    return chunked(s, d).withColumn("data", F.map_filter("data", lambda k, v: k != "step"))
+    """chunked() with identities that only a lot gives, under references that count on over all files."""
+    made = chunked(s, d).withColumn("data", F.map_filter("data", lambda k, v: k != "step"))
+    return made.withColumn("source_reference", F.concat(F.lit("chunk:"), F.floor(F.col(K) / 10).cast("string")))
 
 
 def csv_files(s, d):
