@@ -1,19 +1,23 @@
 """Language identification by Bayesian evidence fusion.
 
 Text: a naive Bayes model over hashed 3-byte pieces of the letters of a text gives a log-likelihood for each language.
-It is trained on labelled rows, about SAMPLE per language, chosen by a hash of the id (the bound is a parameter).
+It is trained on labelled rows, about SAMPLE per language, chosen by a hash of the id (the bound is a parameter). A
+fixed share of each model is even over all slots, so an unseen piece says the same under every language, however much
+text the language was trained on.
 Declared language: how often each declared value goes with each language, counted over all rows.
 Host and address suffix: how often each language occurs on a host, shrunk towards its suffix, shrunk towards all rows;
 also counted over all rows. The log evidences are added and normalised.
 
-A row is rejected (kept = false, language 'und') when its text has no letters, when its letters are closer to random
-bytes than to any known language, or when no language reaches LEAST of the posterior. Without any labelled row there
+A row is rejected (kept = false, language 'und') when its text has no letters, when its letters are closer to an even
+distribution of pieces than to any known language, or when no language reaches LEAST of the posterior. Without any labelled row there
 is no model: rows with letters are kept as 'und'. Null texts have no letters; a null declared value is no evidence;
 rows without a host share one. Repeated rows are judged alike and all count in the priors.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +27,9 @@ from toolweave.llm.common import small_batches, table, utf8, written
 SAMPLE = 1000
 MOST_LANGUAGES = 200
 SLOTS = 1 << 16
-SMOOTH = 0.5  # added to each slot's count
+UNIFORM = 0.1  # share of the even distribution over slots in each model
 TEMPER = 0.25  # pieces overlap, so their evidence is not independent
-FLOOR = -12.0  # mean log-likelihood of a piece; random bytes lie near -15
+FLOOR = -math.log(SLOTS)  # mean log-likelihood of a piece under the even distribution
 LEAST = 0.5
 PRIOR_ROWS = 20.0  # weight of the level above, in rows
 CHUNK = 4 << 20
@@ -72,8 +76,8 @@ def train(docs: DataFrame, languages: list[tuple[str, int]], id_col: str, text_c
     sums = np.zeros((len(names), SLOTS), np.int64)
     for row in rows.repartition(4).mapInArrow(count, "counts binary").collect():
         sums += np.frombuffer(row["counts"], np.int64).reshape(sums.shape)
-    smooth = sums + SMOOTH
-    return np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    seen = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1)
+    return np.log((1 - UNIFORM) * seen + UNIFORM / SLOTS).astype(np.float32)
 
 
 def likelihoods(spark: SparkSession, model) -> "object":
