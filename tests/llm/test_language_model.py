@@ -28,3 +28,21 @@ def test_one_row_label_does_not_take_junk(spark):
     assert got[-1].language == "fi" and not any(got[-2 - k].kept for k in range(len(junk)))
     small = docs.limit(20).unionByName(made.where("doc_id < 0"))
     assert not any(r.kept for r in language.identify(small).where("doc < -1").collect())
+
+
+def test_variants_are_one_language(spark):
+    texts = {"en": "the old house stood by the sea and the wind blew hard", "de": "das alte haus stand am meer und der wind wehte stark"}
+    variants = [("en", v) for v in ("en", "EN", "en-US", "en_us", " en_US.UTF-8 ")] + [("de", v) for v in ("de", "de-AT", "DE")] + [("en", "")]
+    got = {r.doc: (r.language, r.declared) for r in language.identify(_docs(spark, [(texts[t], v) for t, v in variants])).collect()}
+    assert got == dict(enumerate(variants))
+    assert language.languages_of(_docs(spark, [("x", "i-klingon"), ("x", "I-Klingon"), ("x", None), ("x", " ")]), "lang") == [("i-klingon", 2)]
+
+
+def test_more_languages_than_are_held_at_once(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in range(language.AT_ONCE + 5):
+        letters = [chr(0x4E00 + 60 * n + k) for k in range(20)]
+        rows += [(" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(30)), f"{chr(97 + n // 26)}{chr(97 + n % 26)}") for _ in range(2 if n < language.AT_ONCE else 1)]
+    got = language.identify(_docs(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.language == r.declared for r in got)

@@ -4,13 +4,14 @@ Text: a naive Bayes model over hashed 3-byte pieces of the letters of a text giv
 It is trained on labelled rows, about SAMPLE per language, chosen by a hash of the id (the bound is a parameter). A
 fixed share of each model is even over all slots, so an unseen piece says the same under every language, however much
 text the language was trained on.
-Declared language: how often each declared value goes with each language, counted over all rows.
+Declared language: how often each declared value, cut to its primary tag, goes with each language, counted over all
+rows. Every tag declared is a language with a model of its own.
 Host and address suffix: how often each language occurs on a host, shrunk towards its suffix, shrunk towards all rows;
 also counted over all rows. The log evidences are added and normalised.
 
 A row is rejected (kept = false, language 'und') when its text has no letters, when its letters are closer to an even
 distribution of pieces than to any known language, or when no language reaches LEAST of the posterior. Without any labelled row there
-is no model: rows with letters are kept as 'und'. Null texts have no letters; a null declared value is no evidence;
+is no model: rows with letters are kept as 'und'. Null texts have no letters; a null or blank declared value is no evidence;
 rows without a host share one. Repeated rows are judged alike and all count in the priors.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from toolweave.llm.common import small_batches, table, utf8, written
 
 SAMPLE = 1000
-MOST_LANGUAGES = 200
+AT_ONCE = 200  # models held at a time
 SLOTS = 1 << 16
 UNIFORM = 0.1  # share of the even distribution over slots in each model
 TEMPER = 0.25  # pieces overlap, so their evidence is not independent
@@ -47,9 +48,16 @@ def pieces(data: bytes):
     return (((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(2654435761)) >> np.uint32(16)
 
 
-def languages_of(docs: DataFrame, label_col: str, most: int = MOST_LANGUAGES) -> list[tuple[str, int]]:
-    """The most frequent labels and their counts, by name."""
-    found = docs.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(most).collect()
+def primary_tag(declared: Column) -> Column:
+    """The language of a declared value: en for EN, en-US, en_us and en_US.UTF-8. Values of another form stay whole, in
+    lower case (i-klingon); blank ones are null."""
+    low = F.lower(F.regexp_replace(declared, r"^\s+|\s+$", ""))
+    return F.nullif(F.regexp_replace(low, r"(?s)^([a-z]{2,8})[-_.@].*$", "$1"), F.lit(""))
+
+
+def languages_of(docs: DataFrame, label_col: str) -> list[tuple[str, int]]:
+    """All languages declared and their counts, by name."""
+    found = docs.groupBy(primary_tag(F.col(label_col)).alias("l")).count().where("l is not null").collect()
     return sorted((r["l"], r["count"]) for r in found)
 
 
@@ -58,9 +66,10 @@ def train(docs: DataFrame, languages: list[tuple[str, int]], id_col: str, text_c
     import numpy as np
 
     names = [n for n, _ in languages]
-    share = F.element_at(F.create_map(*[F.lit(x) for n, c in languages for x in (n, min(1.0, sample / c))]), F.col(label_col))
+    share = F.element_at(F.create_map(*[F.lit(x) for n, c in languages for x in (n, min(1.0, sample / c))]), F.col("l"))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) / 1_000_000
-    rows = docs.where(F.col(label_col).isin(names)).where(chance < share).select(F.col(label_col).alias("l"), F.col(text_col).alias("t"))
+    tagged = docs.select(primary_tag(F.col(label_col)).alias("l"), F.col(text_col).alias("t"), chance.alias("c"))
+    rows = tagged.where(F.col("l").isin(names)).where(F.col("c") < share).select("l", "t")
 
     def count(batches):
         import pyarrow as pa
@@ -107,6 +116,20 @@ def likelihoods(spark: SparkSession, model) -> "object":
     return score
 
 
+def scored_by_all(base: DataFrame, docs: DataFrame, languages: list[tuple[str, int]], id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """base (text) with pieces and lls instead of the text. More than AT_ONCE languages are trained and scored in blocks,
+    and texts are written once more between two blocks."""
+    spark = base.sparkSession
+    made = base.withColumn("lls", F.array().cast("array<double>"))
+    for at in range(0, len(languages), AT_ONCE):
+        if at:
+            made = written(made.drop("pieces"), f"likelihoods_{at}")
+        score = likelihoods(spark, train(docs, languages[at : at + AT_ONCE], id_col, text_col, label_col, sample))
+        kept = [c for c in base.columns if c != "text" or at + AT_ONCE < len(languages)]
+        made = made.withColumn("s", score("text")).select(*kept, F.col("s.pieces").alias("pieces"), F.concat("lls", "s.lls").alias("lls"))
+    return made
+
+
 def suffix_of(host: Column) -> Column:
     """The part of a host after its last dot, or empty."""
     return F.regexp_extract(host, r"\.([^.]+)$", 1)
@@ -131,7 +154,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     print_ = F.crc32(F.col(text_col).cast("binary")).alias("print")
     base = docs.select(
         F.col(id_col).cast("long").alias("doc"), print_, F.col(text_col).alias("text"),
-        F.col(declared_col).alias("declared"), F.lower(F.coalesce(F.col(host_col), F.lit(""))).alias("host"),
+        F.col(declared_col).alias("declared"), primary_tag(F.col(declared_col)).alias("tag"), F.lower(F.coalesce(F.col(host_col), F.lit(""))).alias("host"),
     )
     if not languages:
         letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -140,26 +163,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     names = [n for n, _ in languages]
     size = len(names)
     known = F.array(*[F.lit(n) for n in names])
-    score = likelihoods(spark, train(docs, languages, id_col, text_col, declared_col, sample))
-    scored = base.withColumn("s", score("text")).select("doc", "print", "declared", "host", suffix_of(F.col("host")).alias("suffix"), "s.*")
+    scored = scored_by_all(base, docs, languages, id_col, text_col, declared_col, sample).withColumn("suffix", suffix_of(F.col("host")))
     scored = scored.withColumn("guess", F.when(F.col("pieces") > 0, F.array_position("lls", F.array_max("lls")).cast("int") - 1))
     scored = written(scored, "likelihoods")
 
     seen = scored.where("guess is not null")
-    totals = seen.groupBy("guess").count().collect()  # a row a language at most
-    counts = [float(next((r["count"] for r in totals if r["guess"] == k), 0)) for k in range(size)]
+    totals = dict(map(tuple, seen.groupBy("guess").count().collect()))  # a row a language at most
+    counts = [float(totals.get(k, 0)) for k in range(size)]
     overall = F.array(*[F.lit((c + 1) / (sum(counts) + size)) for c in counts])
     by_language = F.array(*[F.lit(c) for c in counts])
     hosts = _counted(seen, "host", size).withColumn("suffix", suffix_of(F.col("host")))
     hosts = hosts.join(_counted(seen, "suffix", size), "suffix").select(
         "host", _shrunk(F.col("host_counts"), _shrunk(F.col("suffix_counts"), overall)).alias("host_prior")
     )
-    declared = _counted(seen.where("declared is not null"), "declared", size)
-    share = F.aggregate("declared_counts", F.lit(0.0), lambda a, x: a + x) / max(1.0, sum(counts))
+    declared = _counted(seen.where("tag is not null"), "tag", size)
+    share = F.aggregate("tag_counts", F.lit(0.0), lambda a, x: a + x) / max(1.0, sum(counts))
     declared = declared.select(
-        "declared", F.zip_with("declared_counts", by_language, lambda c, n: (c + PRIOR_ROWS * share) / (n + PRIOR_ROWS)).alias("declared_given")
+        "tag", F.zip_with("tag_counts", by_language, lambda c, n: (c + PRIOR_ROWS * share) / (n + PRIOR_ROWS)).alias("declared_given")
     )
-    met = scored.join(hosts, "host", "left").join(declared, "declared", "left")
+    met = scored.join(hosts, "host", "left").join(declared, "tag", "left")
     prior = F.coalesce("host_prior", overall)
     given = F.coalesce("declared_given", F.array(*[F.lit(1.0)] * size))
     logs = F.zip_with(F.zip_with(F.transform("lls", lambda x: x * TEMPER), prior, lambda x, p: x + F.log(p)), given, lambda x, p: x + F.log(p))
