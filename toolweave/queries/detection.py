@@ -40,6 +40,7 @@ QUERIES = {
     "is_json_is_xml": lambda s, d: bodies(s, d).select("event_id", dt.is_json(F.col("text")).alias("json"), dt.is_xml(F.col("text")).alias("xml")),
     "is_delimited": lambda s, d: bodies(s, d).select("event_id", dt.is_delimited(F.col("text")).alias("delimited")),
     "delimiter_score": lambda s, d: bodies(s, d).where("event_id % 8 = 2").select("event_id", dt.delimiter_score(dt.non_blank_lines(F.col("text"))).alias("b")).select("event_id", "b.*"),
+    "delimiter_score_all": lambda s, d: bodies(s, d).select("event_id", dt.delimiter_score(dt.non_blank_lines(F.col("text"))).alias("b")).select("event_id", "b.*"),
     "syslog_kv_hits": lambda s, d: bodies(s, d).select("event_id", dt.line_hits(F.col("text"), dt.vocab.SYSLOG_LINE).alias("syslog"), dt.line_hits(F.col("text"), dt.vocab.KV_LINE).alias("kv")),
     "hex_dump_ratio": lambda s, d: bodies(s, d).select("event_id", (dt.hex_dump_ratio(F.col("text")) > 0.95).alias("hex")),
     "detect_format": lambda s, d: dt.detect_format(bodies(s, d)).select("event_id", "format_guess", "content_class", "confidence"),
@@ -64,6 +65,7 @@ ORACLES = {
     "is_json_is_xml": "SELECT event_id, event_id % 8 = 0 AS json, event_id % 8 = 1 AS xml FROM events",
     "is_delimited": "SELECT event_id, event_id % 8 = 2 AS delimited FROM events",
     "delimiter_score": "SELECT event_id, 2 AS score, 3 AS width, ';' AS delimiter FROM events WHERE event_id % 8 = 2",
+    "delimiter_score_all": f"SELECT event_id, {case(-1, -1, 2, -1, -1, -1, -1, -1)} AS score, {case(-1, -1, 3, -1, -1, -1, -1, -1)} AS width, {case(*q(',', ',', ';', ',', ',', ',', ',', ','))} AS delimiter FROM events",
     "syslog_kv_hits": f"SELECT event_id, {case(0, 0, 0, 3, 0, 0, 0, 0)} AS syslog, {case(0, 1, 0, 0, 4, 0, 0, 0)} AS kv FROM events",
     "hex_dump_ratio": "SELECT event_id, event_id % 8 = 5 AS hex FROM events",
     "detect_format": f"""SELECT event_id, {FORMATS} AS format_guess, {case(*q('structured_text', 'structured_text', 'structured_text', 'semi_structured_text', 'semi_structured_text', 'unstructured_text', 'unstructured_text', 'binary'))} AS content_class,
