@@ -197,8 +197,15 @@ def segment_records(lines: DataFrame, boundary: str = "line", file_col: str = "f
     numbered = rows.withColumn("__n", F.sum("__s").over(within)).join(sums, [file_col, "__k"]).withColumn("__block", F.col("__n") + F.col("__before"))
     numbered = numbered.where(F.col("__block") > 0) if boundary == "timestamp" else numbered.where(F.col("__s") == 0)
     blocks = numbered.groupBy(file_col, "__block").agg(F.min("line_no").alias("first_line"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-    order = Window.partitionBy(file_col).orderBy("__block")
-    return blocks.withColumn("number", F.row_number().over(order)).select(
+    if boundary == "timestamp":  # the starts have numbered the blocks without a gap
+        blocks = blocks.withColumn("number", F.col("__block"))
+    else:
+        blocks = blocks.withColumn("__k", F.floor(F.col("first_line") / stretch))
+        sums = blocks.groupBy(file_col, "__k").agg(F.count(F.lit(1)).alias("n"))
+        sums = sums.select(file_col, "__k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+        order = Window.partitionBy(file_col, "__k").orderBy("__block")
+        blocks = blocks.withColumn("__n", F.row_number().over(order)).join(sums, [file_col, "__k"]).withColumn("number", F.col("__n") + F.col("__before"))
+    return blocks.select(
         file_col, F.col("number").cast("long").alias("number"), "first_line", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"),
         F.concat(F.lit("block:"), F.col("number").cast("string")).alias("source_reference"),
     )

@@ -56,18 +56,25 @@ def leaf_rows(docs: DataFrame, text_col: str = "text", items: int | None = None)
     return docs.select(*names, F.inline(walk(F.col(text_col))))
 
 
-def path_profile(rows: DataFrame, by: str, samples: int | None = None) -> DataFrame:
-    """(by, path, type, n, samples): types of a path collapsed to one name, filled leaves, and distinct samples cut at
-    80 characters, in order; `samples` limits them."""
+def _cut() -> Column:
+    return F.when(F.length("value") > 80, F.concat(F.left("value", F.lit(77)), F.lit("..."))).otherwise(F.col("value"))
+
+
+def path_samples(rows: DataFrame, by: str) -> DataFrame:
+    """(by, path, sample): every distinct value of a path, cut at 80 characters, as a row."""
+    return rows.where("kind <> 'objects' and value is not null").select(by, "path", _cut().alias("sample")).distinct()
+
+
+def path_profile(rows: DataFrame, by: str) -> DataFrame:
+    """(by, path, type, n, first_sample): types of a path collapsed to one name, filled leaves, and the first of
+    path_samples. A group is a few numbers however many values a path has."""
     is_leaf = rows.where("kind <> 'objects'")
-    cut = F.when(F.length("value") > 80, F.concat(F.left("value", F.lit(77)), F.lit("..."))).otherwise(F.col("value"))
     made = is_leaf.groupBy(by, "path").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"), F.count_if(F.col("kind") != "null").alias("n"), F.array_sort(F.collect_set(cut)).alias("samples")
+        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"), F.count_if(F.col("kind") != "null").alias("n"), F.min(_cut()).alias("first_sample")
     )
     kinds = F.col("kinds")
     name = F.when(F.size(kinds) == 0, "null").when(F.size(kinds) == 1, F.get(kinds, 0)).when((F.size(kinds) == 2) & F.array_contains(kinds, "int") & F.array_contains(kinds, "float"), "float").otherwise("mixed")
-    out = F.col("samples") if samples is None else F.slice("samples", 1, samples)
-    return made.select(by, "path", name.alias("type"), "n", out.alias("samples"))
+    return made.select(by, "path", name.alias("type"), "n", "first_sample")
 
 
 def record_boundaries(rows: DataFrame, by: str) -> DataFrame:

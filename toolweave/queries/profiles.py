@@ -35,7 +35,7 @@ def groups(s, d):
 
 
 QUERIES = {
-    "path_profile": lambda s, d: profiled(s, d).select("family", "path", "type", "n", F.get("samples", 0).alias("first_sample")),
+    "path_profile": lambda s, d: profiled(s, d).select("family", "path", "type", "n", "first_sample"),
     "record_boundaries": lambda s, d: p.record_boundaries(rows(s, d), "family").select("family", "path", "n", F.array_join("keys", ",").alias("keys")),
     "structure_summary": lambda s, d: whole(s, d).select(K, F.array_join("paths", ",").alias("paths"), F.array_join("repeated", ",").alias("repeated")),
     "schema_family": lambda s, d: whole(s, d).select(K, p.schema_family(F.col("paths")).alias("schema_family")),
