@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from toolweave.llm.common import small_batches, table, without
 
 # Fixed names of elements and of class, id and role words.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title", "head")
+RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title")
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -32,6 +32,11 @@ FURNITURE_WORDS = frozenset(
     skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
 )
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+# Words that make an article that lies in no other one a comment, a notice or an advertisement, if a class starts with one.
+ASIDES = frozenset(
+    """ad ads adv advert adverts advertisement advertising advertorial comment commentlist comments discussion disqus promo promoted promotion related
+    replies reply respond sponsor sponsored widget widgets""".split()
+)
 ARTICLE = frozenset(("article", "main"))
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES_P = frozenset(
@@ -80,7 +85,7 @@ LABELLED = (
 )
 
 COMMENT = r"<!--.*?(?:-->|\Z)"
-RAW_ELEMENT = r"<(%s)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*[^>]*>|\Z)" % "|".join(RAW)
+RAW_ELEMENT = r"<(%s)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?:[\s/][^>]*)?>|\Z)" % "|".join(RAW)
 TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
 LOOSE_TAG = r"</?[a-zA-Z][^<>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
 MARKUP = re.compile(f"{COMMENT}|{RAW_ELEMENT}|{TAG}|{LOOSE_TAG}", re.DOTALL | re.IGNORECASE)
@@ -89,37 +94,58 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LEADING = ("has", "with", "no", "is", "without")
 
 
-def is_furniture(name: str, attributes: str) -> bool:
-    """Whether an element holds page furniture, by its name or by the words of its class, id and role."""
+FIRM, LOOSE, LAYOUT = 1, 2, 3
+
+
+def furniture_of(name: str, attributes: str, outer_article: bool = False) -> int:
+    """How an element is marked as page furniture, or 0: FIRM by its name, its role or the first word of a class or id;
+    LOOSE by another of its words, LAYOUT where that is none of ASIDES. An article in no other one (outer_article) is
+    furniture only by its role or where a class starts with one of ASIDES."""
     if name in FURNITURE:
-        return True
+        return FIRM
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return 0
+    found = 0
     for kind, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         if kind.lower() == "role":
             if value.strip().lower() in FURNITURE_ROLES:
-                return True
+                return FIRM
             continue
         for one in value.split():
             words = [w.lower() for w in WORD.findall(one)]
-            if words and not any(w in LEADING for w in words) and any(w in FURNITURE_WORDS for w in words):
-                return True
-    return False
+            if not words or any(w in LEADING for w in words) or not any(w in FURNITURE_WORDS for w in words):
+                continue
+            if words[0] in (ASIDES if outer_article else FURNITURE_WORDS):
+                return FIRM
+            if not outer_article:
+                found = LOOSE if found == LOOSE or any(w in ASIDES for w in words) else LAYOUT
+    return found
 
 
-def is_article(name: str, attributes: str) -> bool:
-    return name in ARTICLE or bool(attributes) and any(k.lower() == "role" and (v or w or x).strip().lower() in ARTICLE for k, v, w, x in ATTRIBUTE.findall(attributes))
+def article_of(name: str, attributes: str) -> str:
+    """article or main, by an element's name or role, or empty."""
+    if name in ARTICLE:
+        return name
+    roles = [(v or w or x).strip().lower() for k, v, w, x in ATTRIBUTE.findall(attributes) if k.lower() == "role"] if attributes else []
+    return next((x for x in roles if x in ARTICLE), "")
 
 
 def blocks_of(page: str) -> tuple[list[list], bool]:
-    """Flat blocks [text, words, linked words, in_article, furniture] of a page, and whether it has an article."""
+    """Flat blocks [text, words, linked words, in_article, furniture] of a page, and whether it has an article.
+
+    An element marked LOOSE or LAYOUT is no furniture when it holds more than half of the words outside firm furniture,
+    and, if LOOSE, the first article or a main heading too.
+    """
     blocks: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article of each open element
+    stack: list[tuple[str, bool, str, bool]] = []  # name, firm furniture, article, loose furniture of each open element
+    loose: list[list] = []  # whether it may hold the article, and words, of each loose element
+    opened: list[int] = []  # the open ones
+    within: list[tuple[int, ...]] = []  # the ones around each block
     parts: list[str] = []
     linked = 0
     state = [0, 0, 0, 0]  # how many open elements are links, furniture, articles, inline furniture
-    has_article = False
+    has_article = met = False
 
     def close_block() -> None:
         nonlocal linked
@@ -127,14 +153,20 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
             words = html.unescape("".join(parts)).split()
             if words:
                 blocks.append([" ".join(words), len(words), min(linked, len(words)), int(state[2] > 0), int(state[1] > 0)])
+                within.append(tuple(opened))
+                if not state[1]:
+                    for k in opened:
+                        loose[k][1] += len(words)
             parts.clear()
         linked = 0
 
     def pop() -> None:
-        name, furniture, article = stack.pop()
+        name, furniture, article, is_loose = stack.pop()
         state[0] -= name == "a"
         state[1] -= furniture
-        state[2] -= article
+        state[2] -= article != ""
+        if is_loose:
+            opened.pop()
         state[3] -= furniture and name in INLINE
 
     def add(text: str) -> None:
@@ -171,7 +203,7 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
                                     stack.append(x)
                                     state[0] += x[0] == "a"
                                     state[1] += x[1]
-                                    state[2] += x[2]
+                                    state[2] += x[2] != ""
                                     state[3] += x[1]
                             break
                 else:
@@ -185,7 +217,7 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
             continue
         if not inline:
             close_block()
-        if name in VOID:
+        if name in VOID or name == "head":  # what a head may hold gives no text; anything else ends it
             continue
         if name in CLOSES_P and any(x[0] == "p" for x in stack):
             k = max(i for i, x in enumerate(stack) if x[0] == "p")
@@ -208,15 +240,30 @@ def blocks_of(page: str) -> tuple[list[list], bool]:
                     while len(stack) > k:
                         pop()
                     break
-        furniture, article = is_furniture(name, attributes), is_article(name, attributes)
-        has_article = has_article or article
-        stack.append((name, furniture, article))
+        article = article_of(name, attributes)
+        marked = furniture_of(name, attributes, article == "article" and not any(x[2] == "article" for x in stack))
+        furniture = marked == FIRM or marked > 0 and (inline or article != "")
+        has_article = has_article or article != ""
+        if not state[1] and not furniture and (name == "h1" or article == "article" and not met):
+            met = met or article == "article"
+            for k in opened:
+                loose[k][0] = True
+        is_loose = marked > 0 and not furniture
+        if is_loose:
+            opened.append(len(loose))
+            loose.append([marked == LAYOUT, 0])
+        stack.append((name, furniture, article, is_loose))
         state[0] += name == "a"
         state[1] += furniture
-        state[2] += article
+        state[2] += article != ""
         state[3] += furniture and inline
     add(page[at:])
     close_block()
+    total = sum(b[1] for b in blocks if not b[4])
+    dropped = {k for k, (holds, words) in enumerate(loose) if not holds or 2 * words <= total}
+    for b, around in zip(blocks, within):
+        if not dropped.isdisjoint(around):
+            b[4] = 1
     return blocks, has_article
 
 
