@@ -40,3 +40,17 @@ def test_kept(page):
 def test_still_dropped(rest):
     assert main_text(f"<body><article>{TEXT}</article>{rest}") == WORDS
     assert main_text(f"<body><article>{TEXT}{rest}</article>") == WORDS
+
+
+LONG = " ".join(f"w{k}" for k in range(60))
+
+
+def test_length_and_neighbours_decide_without_tags():
+    links = "".join(f"<div><a href=/{k}>link {k}</a></div>" for k in range(4))
+    linked = " ".join(f"<a href=/{k}>l{k} m{k}</a> x{k}" for k in range(12))
+    flat = " ".join(f"l{k} m{k} x{k}" for k in range(12))
+    page = f"<body>{links}<div>Share this</div>{links}<h1>Head line</h1><div>{LONG}</div><div>{linked}</div><div>{LONG}</div>{links}<div>Made by us</div>{links}"
+    assert main_text(page) == f"Head line\n\n{LONG}\n\n{flat}\n\n{LONG}"
+    assert main_text(f"<div>{LONG}</div><div><a href=/>see also this</a></div><div>{LONG}</div>") == f"{LONG}\n\n{LONG}"
+    short = "Read <a href=/>this</a> with care and then go on to the rest"
+    assert main_text(f"<div>{LONG}</div><div>{short}</div><div>{LONG}</div>").count("Read this with care") == 1

@@ -82,6 +82,65 @@ LABELLED = (
     (12, 0.90, 40, 0.0, 3, 1.0, 0, 0, 0, False),
     (30, 0.80, 1, 1.0, 60, 0.0, 0, 0, 0, False),
     (5, 0.60, 90, 0.0, 30, 0.0, 0, 0, 0, False),
+    # Pages without article or main: short text beside links, and linked paragraphs between long ones.
+    (6, 0.00, 2, 1.0, 0, 0.0, 0, 0, 0, False),
+    (3, 0.00, 1, 1.0, 1, 1.0, 0, 0, 0, False),
+    (4, 0.00, 0, 0.0, 2, 1.0, 0, 0, 0, False),
+    (9, 0.00, 4, 0.9, 3, 1.0, 0, 0, 0, False),
+    (12, 0.60, 90, 0.0, 30, 0.0, 0, 0, 0, False),
+    (9, 0.50, 40, 0.0, 0, 0.0, 0, 0, 0, False),
+    (15, 0.70, 70, 0.0, 60, 0.0, 0, 0, 0, False),
+    (7, 0.75, 0, 0.0, 40, 0.0, 0, 0, 0, False),
+    (10, 0.45, 6, 0.0, 8, 0.0, 0, 0, 0, False),
+    (10, 0.80, 100, 0.0, 120, 0.0, 0, 0, 0, False),
+    (14, 0.90, 55, 0.0, 52, 0.0, 0, 0, 0, False),
+    (6, 1.00, 80, 0.0, 75, 0.0, 0, 0, 0, False),
+    (12, 0.65, 45, 0.0, 56, 0.0, 0, 0, 0, False),
+    (20, 0.60, 1, 1.0, 4, 1.0, 0, 0, 0, False),
+    (18, 0.55, 3, 1.0, 2, 0.9, 0, 0, 0, False),
+    (30, 0.50, 2, 1.0, 3, 1.0, 0, 0, 0, False),
+    (10, 0.10, 60, 0.0, 45, 0.0, 0, 0, 0, True),
+    (14, 0.20, 30, 0.0, 80, 0.0, 0, 0, 0, True),
+    (12, 0.25, 40, 0.0, 70, 0.0, 0, 0, 0, True),
+    (8, 0.15, 90, 0.0, 0, 0.0, 0, 0, 0, True),
+    (15, 0.30, 9, 0.0, 12, 0.0, 0, 0, 0, True),
+    (36, 0.67, 60, 0.0, 60, 0.0, 0, 0, 0, True),
+    (50, 0.60, 80, 0.0, 40, 0.0, 0, 0, 0, True),
+    (33, 0.70, 110, 0.0, 120, 0.0, 0, 0, 0, True),
+    (80, 0.65, 48, 0.0, 90, 0.0, 0, 0, 0, True),
+    (8, 0.00, 9, 0.8, 2, 1.0, 0, 0, 0, False),
+    (2, 0.00, 5, 1.0, 4, 0.7, 0, 0, 0, False),
+    (10, 0.10, 1, 1.0, 2, 1.0, 0, 0, 0, False),
+    (7, 0.00, 6, 0.0, 1, 1.0, 0, 0, 0, False),
+    (26, 0.70, 2, 1.0, 30, 0.8, 0, 0, 0, False),
+    (40, 0.90, 6, 1.0, 8, 0.0, 0, 0, 0, False),
+    (24, 0.80, 60, 0.0, 2, 1.0, 0, 0, 0, False),
+    (40, 0.50, 90, 0.0, 80, 0.0, 0, 0, 0, True),
+    (60, 0.45, 120, 0.0, 45, 0.05, 0, 0, 0, True),
+    (35, 0.60, 50, 0.0, 70, 0.0, 0, 0, 0, True),
+    (22, 0.40, 64, 0.0, 38, 0.0, 0, 0, 0, True),
+    (28, 0.75, 45, 0.1, 55, 0.0, 0, 0, 0, True),
+    (6, 0.00, 2, 1.0, 75, 0.0, 0, 0, 0, True),
+    (45, 0.00, 3, 1.0, 2, 1.0, 0, 0, 0, True),
+    (90, 0.05, 2, 1.0, 0, 0.0, 0, 0, 0, True),
+    (60, 0.00, 2, 1.0, 0, 0.0, 0, 0, 0, True),
+    (20, 0.00, 2, 1.0, 0, 0.0, 0, 0, 0, True),
+    (60, 1.00, 2, 1.0, 40, 1.0, 0, 0, 0, False),
+    (60, 0.10, 50, 0.0, 2, 1.0, 0, 0, 0, True),
+    (45, 0.20, 80, 0.0, 3, 1.0, 0, 0, 0, True),
+    (50, 0.30, 2, 1.0, 3, 1.0, 0, 0, 0, True),
+    (120, 0.95, 60, 0.0, 30, 1.0, 0, 0, 0, False),
+    (25, 0.00, 3, 1.0, 5, 0.0, 0, 0, 0, True),
+    (40, 0.00, 4, 1.0, 12, 0.0, 0, 0, 0, True),
+    (8, 0.00, 0, 0.0, 2, 0.0, 0, 0, 0, True),
+    (5, 0.00, 4, 0.0, 3, 0.0, 0, 0, 0, True),
+    (25, 0.00, 60, 0.0, 2, 1.0, 0, 0, 0, True),
+    (30, 0.00, 1, 1.0, 25, 0.0, 0, 0, 0, True),
+    (8, 0.00, 30, 0.0, 2, 1.0, 0, 0, 0, True),
+    (4, 0.00, 30, 0.0, 25, 0.0, 0, 0, 0, True),
+    (5, 0.00, 6, 0.0, 7, 0.0, 0, 0, 0, True),
+    (8, 0.00, 5, 0.0, 0, 0.0, 0, 0, 0, True),
+    (4, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, True),
 )
 
 COMMENT = r"<!--.*?(?:-->|\Z)"
@@ -283,8 +342,9 @@ def train(rows=LABELLED):
         for low, high in zip(values, values[1:]):
             limit = (low + high) / 2
             left, right = [r for r in rows if r[f] <= limit], [r for r in rows if r[f] > limit]
-            # Ties go to the enclosing element, then to link density.
-            score = (round(impurity(left) + impurity(right), 9), f < 6, f not in (1, 6, 7, 8), -f)
+            gain = round(impurity(left) + impurity(right), 9)
+            # The enclosing element is asked first, while that tells labels apart; ties go to link density.
+            score = (f < 6 or gain >= round(impurity(rows), 9), gain, f not in (1, 6, 7, 8), -f)
             if best is None or score < best[0]:
                 best = (score, f, limit, left, right)
     if best is None:
