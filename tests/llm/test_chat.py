@@ -1,7 +1,9 @@
 """Chat formatting: exact round trips."""
 
 import hashlib
+import random
 
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -30,3 +32,19 @@ def test_long_words_and_nulls(spark):
     assert by[1].n_turns == 3 and by[1].loss_chars == 120_000 and by[None].n_turns == 1 and by[2].loss_chars == 0
     assert by[1].loss_sha256 == hashlib.sha256(b"x" * 120_000).hexdigest()
     assert chat.digests(chat.encode_turns(df.limit(0))).count() == 0
+
+
+def test_ids_are_those_of_the_whole_text():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b", " ", "  ", "\n", "é", "1", "<|", "語", "'s"]) for _ in range(20_000)), "x" * 20_000, "a  \n\n" + " " * 3000 + "b" * 30]
+    for text in texts:
+        whole = ENCODER.plain.encode_ordinary(text)
+        assert ENCODER.encode(text) == whole
+        spaced = [i for m in regex.finditer(chat.PATTERN, text) for i in ENCODER.plain._encode_single_piece(m[0])]
+        assert spaced == whole  # the way of texts with very long white space
+
+
+def test_very_long_white_space():
+    text = "a" + " " * 1_000_000 + "b\n" + "\n" * 300_000
+    ids = ENCODER.encode(text)
+    assert ENCODER.bytes_of(ids).decode() == text and ids[-1] != ids[0]
