@@ -1,6 +1,7 @@
 """The driver's contract: queries and their SQL agree on names and rows."""
 
 import os
+import sys
 
 import duckdb
 import pytest
@@ -29,6 +30,25 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("hidden", [("toolweave.llm",), ("corpus_pipeline",), ("toolweave.llm", "corpus_pipeline")])
+def test_the_rest_works_without_the_text_queries(monkeypatch, hidden):
+    """As if the folder, the pipeline or both were deleted."""
+    for name in [m for m in sys.modules if m.startswith(hidden)]:
+        monkeypatch.delitem(sys.modules, name)
+    real = entry.find_spec
+    monkeypatch.setattr(entry, "find_spec", lambda name: None if name in hidden else real(name))
+
+    class Hide:
+        @staticmethod
+        def find_spec(name, path=None, target=None):
+            if name.startswith(hidden):
+                raise ModuleNotFoundError(name)
+
+    monkeypatch.setattr(sys, "meta_path", [Hide, *sys.meta_path])
+    assert set(own.QUERIES) <= set(entry.queries()) and set(own.ORACLES) <= set(entry.oracle_sql())
+    assert "pipeline" not in entry.queries()
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
