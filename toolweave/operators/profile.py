@@ -1,59 +1,21 @@
-"""Structure of JSON documents: leaf paths, their types and samples, repeated parts, fingerprints and mapping hints.
+"""Structure of nested documents: leaf paths, their types and samples, repeated parts, fingerprints and mapping hints.
 
-A small helper walks one document; everything across documents is grouped by Spark. Whole documents and all items of a
-list count by default; limits are parameters.
+Documents are walked on the JVM (nested.py); everything across documents is grouped by Spark. Whole documents and all items
+of a list count by default; limits are parameters.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vocab
-
-LEAF = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "kind", "value")]))
-
-
-def leaves(text: str | None, items: int | None = None) -> list[dict]:
-    """(path, kind, value) of every leaf, list and object-list of one document; [] for what is no JSON."""
-    try:
-        top = json.loads(text) if text is not None else None
-    except ValueError:
-        return []
-    out: list[dict] = []
-    stack = [("", top)]
-    while stack:
-        path, x = stack.pop()
-        if isinstance(x, dict):
-            for k, v in reversed(list(x.items())):
-                stack.append((f"{path}.{k}" if path else k, v))
-        elif isinstance(x, list):
-            if any(isinstance(v, dict) for v in x):
-                keys = sorted({k for v in x if isinstance(v, dict) for k in v})
-                out.append({"path": f"{path}[]", "kind": "objects", "value": json.dumps([len(x), keys])})
-            for v in reversed(x if items is None else x[:items]):
-                stack.append((f"{path}[]", v))
-        else:
-            kind = "null" if x is None else "bool" if isinstance(x, bool) else "int" if isinstance(x, int) else "float" if isinstance(x, float) else "str"
-            out.append({"path": path, "kind": kind, "value": None if x is None else x if isinstance(x, str) else json.dumps(x)})
-    return out
+from . import nested
 
 
 def leaf_rows(docs: DataFrame, text_col: str = "text", items: int | None = None) -> DataFrame:
-    """docs with a row (path, kind, value) for each leaf and each list of objects (kind objects)."""
-
-    @F.arrow_udf(LEAF)
-    def walk(text):
-        import pyarrow as pa
-
-        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("path", "kind", "value")]))
-        return pa.array([leaves(x, items) for x in text.to_pylist()], kind)
-
-    names = [c for c in docs.columns if c != text_col]
-    return docs.select(*names, F.inline(walk(F.col(text_col))))
+    """docs with a row (path, kind, value, n, keys) for each leaf and each list of objects (kind objects) of its JSON text."""
+    return nested.leaf_rows(nested.read_json_docs(docs, text_col).drop("top_type", "top_keys"), "doc", items)
 
 
 def _cut() -> Column:
@@ -65,24 +27,28 @@ def path_samples(rows: DataFrame, by: str) -> DataFrame:
     return rows.where("kind <> 'objects' and value is not null").select(by, "path", _cut().alias("sample")).distinct()
 
 
-def path_profile(rows: DataFrame, by: str) -> DataFrame:
-    """(by, path, type, n, first_sample): types of a path collapsed to one name, filled leaves, and the first of
-    path_samples. A group is a few numbers however many values a path has."""
+def path_profile(rows: DataFrame, by: str, samples: int = 5) -> DataFrame:
+    """(by, path, type, n, samples): types of a path collapsed to one name, filled leaves, and the smallest distinct values.
+
+    A group is a few numbers however many values a path has: each task sends on no more than the samples asked for.
+    """
     is_leaf = rows.where("kind <> 'objects'")
-    made = is_leaf.groupBy(by, "path").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"), F.count_if(F.col("kind") != "null").alias("n"), F.min(_cut()).alias("first_sample")
-    )
+    made = is_leaf.groupBy(by, "path").agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"), F.count_if(F.col("kind") != "null").alias("n"))
     kinds = F.col("kinds")
-    name = F.when(F.size(kinds) == 0, "null").when(F.size(kinds) == 1, F.get(kinds, 0)).when((F.size(kinds) == 2) & F.array_contains(kinds, "int") & F.array_contains(kinds, "float"), "float").otherwise("mixed")
-    return made.select(by, "path", name.alias("type"), "n", "first_sample")
+    name = F.when(F.size(kinds) == 0, "null").when(F.size(kinds) == 1, F.get(kinds, 0)).when((F.size(kinds) == 2) & F.array_contains(kinds, "int") & F.array_contains(kinds, "float"), "float").otherwise(
+        F.concat(F.lit("mixed:"), F.array_join(kinds, ",")))
+    order = F.row_number().over(Window.partitionBy(by, "path").orderBy("sample"))
+    few = path_samples(rows, by).withColumn("__k", order).where(F.col("__k") <= samples)
+    listed = few.groupBy(F.col(by).alias("__by"), F.col("path").alias("__path")).agg(F.array_sort(F.collect_list("sample")).alias("samples"))
+    joined = made.join(listed, made[by].eqNullSafe(listed["__by"]) & (made["path"] == listed["__path"]), "left")
+    return joined.select(by, "path", name.alias("type"), "n", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def record_boundaries(rows: DataFrame, by: str) -> DataFrame:
     """(by, path, n, keys): lists of objects, how many items they have in all, and the items' keys."""
-    lists = rows.where("kind = 'objects'").withColumn("o", F.from_json(F.col("value"), "array<string>"))
-    keys = F.from_json(F.get("o", 1), "array<string>")
-    counted = lists.groupBy(by, "path").agg(F.sum(F.get("o", 0).cast("long")).alias("n"))
-    named = lists.select(by, "path", F.explode_outer(keys).alias("k")).distinct().groupBy(by, "path").agg(F.array_sort(F.collect_list("k")).alias("keys"))
+    lists = rows.where("kind = 'objects'")
+    counted = lists.groupBy(by, "path").agg(F.sum("n").alias("n"))
+    named = lists.select(by, "path", F.explode_outer("keys").alias("k")).distinct().groupBy(by, "path").agg(F.array_sort(F.collect_list("k")).alias("keys"))
     return counted.join(named, [by, "path"])
 
 
@@ -133,11 +99,6 @@ def uncovered_paths(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     return lists.join(inner, [by, "path"], "left_anti").join(groups.select(by, "path"), [by, "path"], "left_anti")
 
 
-def adapter_specs_scan(documents: DataFrame, specs: DataFrame) -> DataFrame:
-    """documents (fingerprint) with the stored rules of their fingerprint; none gives nulls."""
-    return documents.join(specs, "fingerprint", "left")
-
-
 def parse_observations(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with record_no and record (JSON text) of {"records": [...]} or a bare list; only objects count."""
     text = F.col(text_col)
