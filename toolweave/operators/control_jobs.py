@@ -50,11 +50,12 @@ def _schema(fields: dict, **more: str) -> str:
     return "struct<" + ",".join(f"{k}:{v}" for k, v in plain.items()) + ">"
 
 
+FLAT = "array<map<string,string>>"  # by exact name: Timestamp and TimeStamp differ in case alone
 MODULE = "struct<" + ",".join([
     "Keys:" + _schema(REPORT_KEYS),
     "Attributes:struct<SlotID:string,RecipeName:string,Recipe:struct<RecipeID:string>,RecipeStepName:string,Events:struct<"
-    f"ControlStateEvents:array<{_schema(STATE)}>,Alarms:array<{_schema(ALARM)}>,Errors:array<{_schema(ERROR)}>>>",
-    f"SensorData:array<{_schema(SENSOR, Measurements=f'array<{_schema(MEASUREMENT)}>')}>",
+    f"ControlStateEvents:{FLAT},Alarms:{FLAT},Errors:{FLAT}>>",
+    f"SensorData:array<{_schema(SENSOR, Measurements=FLAT)}>",
 ]) + ">"
 SCHEMA = "ControlJob " + _schema(JOB, ProcessJobs=f"array<{_schema(PROCESS, ModuleProcessReports=f'array<{MODULE}>')}>")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import staged, without
+from ..functions.maps import literal_map
 
 CHAIN = 12  # levels walked in one plan
 OBJECT, LIST = "map<string,variant>", "array<variant>"
@@ -24,18 +25,20 @@ def read_json_docs(files: DataFrame, text_col: str = "text") -> DataFrame:
     """files with doc (VARIANT), top_type and top_keys (of an object, sorted) instead of the text; one row for each valid file."""
     text = F.regexp_replace(F.col(text_col), "^﻿", "")
     kept = without(files, text_col, "doc", "top_type", "top_keys")
-    rows = files.select(*[files[f"`{c}`"] for c in kept.columns], F.try_parse_json(text).alias("doc")).where("doc is not null")
+    # A generator of one row: the filter and what follows use one parse.
+    rows = files.select(*[files[f"`{c}`"] for c in kept.columns], F.inline(F.array(F.struct(F.try_parse_json(text).alias("doc"))))).where("doc is not null")
     return rows.select("*", kind_of(F.col("doc")).alias("top_type"), F.array_sort(F.map_keys(F.col("doc").try_cast(OBJECT))).alias("top_keys"))
 
 
+KINDS = {"STRING": "str", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool", "VOID": "null", "DATE": "str", "TIMESTAMP": "str"}
+
+
 def kind_of(v: Column) -> Column:
     """object, list, null, bool, int, float or str. A number written with a point or an exponent is a float."""
     t = F.schema_of_variant(v)
-    digits = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1)
-    return (
-        F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "list").when(t == "VOID", "null").when(t == "BOOLEAN", "bool")
-        .when(t == "BIGINT", "int").when((digits != "") & (F.try_to_number(digits, F.lit("99")) > 18), "int").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "float").otherwise("str")
-    )
+    whole = t.rlike(r"^DECIMAL\((19|[23]\d),0\)$")  # whole numbers that 64 bits can't hold
+    rest = F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "list").when(whole, "int").when(t.startswith("DECIMAL"), "float").otherwise("str")
+    return F.coalesce(literal_map(KINDS)[t], rest)
 
 
 def depth(v: Column) -> Column:
