@@ -56,3 +56,22 @@ def bag_of_present(pairs: dict) -> Column:
 
 def has_any(m: Column, keys) -> Column:
     return F.arrays_overlap(F.map_keys(m), literal_array(keys))
+
+
+def _one_of_each(entries: Column, last: bool) -> Column:
+    """Entries with one of each key, by one sort on key and place; entries without a key go."""
+    placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), (-i if last else i).alias("at"), e["value"].alias("value")))
+    ordered = F.array(F.array_sort(F.filter(placed, lambda e: e["key"].isNotNull())))
+    heads = F.get(F.transform(ordered, lambda s: F.filter(s, lambda e, i: (i == 0) | (e["key"] != F.get(s, i - 1)["key"]))), 0)
+    back = F.array_sort(F.transform(heads, lambda e: F.struct((-e["at"] if last else e["at"]).alias("at"), e["key"].alias("key"), e["value"].alias("value"))))
+    return F.map_from_entries(F.transform(back, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+
+def first_of(entries: Column) -> Column:
+    """A bag of ordered entries; of a repeated key the first stays."""
+    return _one_of_each(entries, False)
+
+
+def last_of(entries: Column) -> Column:
+    """A bag of ordered entries; of a repeated key the last stays."""
+    return _one_of_each(entries, True)

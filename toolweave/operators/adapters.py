@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.maps import literal_map
+from ..functions.maps import first_of, literal_map
 from ..functions.text import canonical_key, present
-from .lines import unique
 
 def lookup(fields: Column, wanted: str) -> Column:
     """Value of the first entry whose key spells the wanted one, ignoring case and punctuation."""
@@ -26,7 +25,7 @@ def alias_inject(fields: Column, aliases: dict[str, str]) -> Column:
         F.array(*[F.struct(F.lit(target).alias("key"), lookup(fields, source).alias("value")) for source, target in aliases.items()]),
         lambda e: e["value"].isNotNull(),
     )
-    made = unique(F.filter(found, lambda e: ~present(fields[e["key"]])))
+    made = first_of(F.filter(found, lambda e: ~present(fields[e["key"]])))
     return F.map_concat(F.map_filter(fields, lambda k, v: ~F.map_contains_key(made, k)), made)
 
 
@@ -42,7 +41,7 @@ def fallback_fill(fields: Column, record_type: Column, rules=tuple(vocab.DEFAULT
     wanted = F.array(*[
         F.struct(F.lit(t).alias("key"), F.when((record_type == kind) & ~present(fields[t]) & present(fields[s]), fields[s]).alias("value")) for kind, t, s in rules
     ])
-    made = unique(F.filter(wanted, lambda e: e["value"].isNotNull()))
+    made = first_of(F.filter(wanted, lambda e: e["value"].isNotNull()))
     return F.map_concat(F.map_filter(fields, lambda k, v: ~F.map_contains_key(made, k)), made)
 
 

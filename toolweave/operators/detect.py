@@ -1,7 +1,7 @@
 """Format detection and routing of whole file bodies: narrow column expressions, one pass over the text.
 
-A body comes as a text column (bytes decoded as Latin-1 where a byte ratio is asked for). Votes over lines take the
-first lines of a file as the format rules say; the bound is part of the rule and a parameter.
+A body comes as a text column (bytes decoded as Latin-1 where a byte ratio is asked for). Votes are over all lines of a
+file; bounds that take its beginning alone are parameters.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.fence import fence
+from ..functions.frames import without
 from ..functions.maps import literal_map
 from ..functions.text import non_blank_lines, strip, stripped_lines
+from .markup import one_root
 
-VOTE_LINES = 20
-TABLE_LINES = 10
 PRINTABLE = 0.90
 
 
@@ -30,8 +31,7 @@ def is_json(text: Column) -> Column:
 
 def is_xml(text: Column) -> Column:
     """Well-formed markup with one root."""
-    made = F.from_xml(text, "_corrupt_record string", {"mode": "PERMISSIVE"})
-    return F.coalesce(text.startswith("<") & made["_corrupt_record"].isNull(), F.lit(False))
+    return F.coalesce(one_root(text), F.lit(False))
 
 
 def _widths(lines: Column, delimiter: str) -> Column:
@@ -43,9 +43,13 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def delimiter_score(lines: Column) -> Column:
-    """struct(score, width, delimiter) of the best delimiter over the first lines: how many lines agree with the first,
-    then the first line's width, then the order of the delimiters."""
+def _first(lines: Column, n: int | None) -> Column:
+    return lines if n is None else F.slice(lines, 1, n)
+
+
+def delimiter_score(lines: Column, first_lines: int | None = None) -> Column:
+    """struct(score, width, delimiter) of the best delimiter over the lines: how many agree with the first, then the first
+    line's width, then the order of the delimiters."""
 
     def score(counts: Column, k: int) -> Column:
         first = F.get(counts, 0)
@@ -57,56 +61,71 @@ def delimiter_score(lines: Column) -> Column:
     def best(head: Column) -> Column:
         return F.array_max(F.array(*[_bound(_widths(head, d), (lambda k: lambda c: score(c, k))(k)) for k, d in enumerate(vocab.DELIMITERS)]))
 
-    return _bound(_bound(F.slice(lines, 1, TABLE_LINES), best), lambda x: F.struct(x["score"].alias("score"), x["width"].alias("width"), x["delimiter"].alias("delimiter")))
+    return _bound(_bound(_first(lines, first_lines), best), lambda x: F.struct(x["score"].alias("score"), x["width"].alias("width"), x["delimiter"].alias("delimiter")))
 
 
-def is_delimited(text: Column) -> Column:
-    """Two lines or more, the first of three cells or more, the first six of one width."""
+def is_delimited(text: Column, score_lines: int | None = None, width_lines: int | None = None) -> Column:
+    """Two lines or more, the first of three cells or more, all of one width."""
 
     def check(lines: Column) -> Column:
-        cells = lambda d: F.transform(F.slice(lines, 1, 6), lambda x: F.size(F.split(x, F.concat(F.lit("\\Q"), d, F.lit("\\E")))))
-        counts = _bound(delimiter_score(lines)["delimiter"], cells)
+        cells = lambda d: F.transform(_first(lines, width_lines), lambda x: F.size(F.split(x, F.concat(F.lit("\\Q"), d, F.lit("\\E")))))
+        counts = _bound(delimiter_score(lines, score_lines)["delimiter"], cells)
         return (F.size(lines) >= 2) & _bound(counts, lambda c: (F.get(c, 0) >= 3) & (F.array_min(c) == F.get(c, 0)) & (F.array_max(c) == F.get(c, 0)))
 
     return F.coalesce(_bound(non_blank_lines(text), check), F.lit(False))
 
 
-def line_hits(text: Column, pattern: str, first_lines: int = VOTE_LINES) -> Column:
-    return F.size(F.filter(F.slice(stripped_lines(text), 1, first_lines), lambda x: x.rlike(pattern)))
+def line_hits(text: Column, pattern: str, first_lines: int | None = None) -> Column:
+    return F.size(F.filter(_first(stripped_lines(text), first_lines), lambda x: x.rlike(pattern)))
 
 
-def _enough(text: Column, pattern: str) -> Column:
-    n = F.least(F.size(stripped_lines(text)), F.lit(VOTE_LINES))
-    return line_hits(text, pattern) >= F.greatest(F.lit(3), F.floor(n / 3))
+def _enough(lines: Column, pattern: str) -> Column:
+    return F.size(F.filter(lines, lambda x: x.rlike(pattern))) >= F.greatest(F.lit(3), F.floor(F.size(lines) / 3))
 
 
-def hex_dump_ratio(text: Column) -> Column:
-    """Share of hex digits, white space and colons in the first thousand characters; 0 where these are blank."""
-    head = F.left(text, F.lit(1000))
+def hex_dump_ratio(text: Column, first_chars: int | None = None) -> Column:
+    """Share of hex digits, white space and colons among the characters; 0 for a blank text."""
+    head = text if first_chars is None else F.left(text, F.lit(first_chars))
     rest = F.length(F.regexp_replace(head, r"[0-9a-fA-F \n\r\t:]+", ""))
     return F.when(strip(head) != "", 1 - rest / F.length(head)).otherwise(0.0)
 
 
-def detect_format(files: DataFrame, text_col: str = "text", extension_col: str = "extension") -> DataFrame:
-    """files with format_guess, content_class and confidence. The test that is due first decides."""
-    text, ext = strip(F.coalesce(F.col(text_col), F.lit(""))), F.lower(F.col(extension_col))
+#: How much of a file the votes take where only its beginning counts: lines voted, lines scored for a delimiter, lines of one
+#: width, characters of a hex dump.
+BEGINNING = {"vote_lines": 20, "score_lines": 10, "width_lines": 6, "hex_chars": 1000}
+
+
+def detect_format(files: DataFrame, text_col: str = "text", extension_col: str = "extension", vote_lines: int | None = None,
+                  score_lines: int | None = None, width_lines: int | None = None, hex_chars: int | None = None) -> DataFrame:
+    """files with format_guess, content_class and confidence. The test that is due first decides.
+
+    Whole files are judged; the bounds (BEGINNING) judge them by their beginning. Each parse runs once, and markup is parsed
+    only where the text starts with <. A null text is empty, a null extension is none.
+    """
+    kept = without(files, "format_guess", "content_class", "confidence")
+    text = strip(F.coalesce(files[text_col], F.lit("")))
+    opened = fence(kept.withColumn("__text", text).withColumn("__ext", F.lower(F.coalesce(files[extension_col], F.lit("")))), {
+        "__json": is_json(text), "__xml": is_xml(text), "__csv": is_delimited(text, score_lines, width_lines), "__ratio": printable_ratio(F.coalesce(files[text_col], F.lit(""))),
+        "__lines": _first(stripped_lines(text), vote_lines), "__hex": hex_dump_ratio(text, hex_chars),
+    })
+    ext, json, xml, csv, lines = (F.col(f"__{c}") for c in ("ext", "json", "xml", "csv", "lines"))
     steps = [
         (ext == ".parquet", "parquet", "structured_binary", 0.95),
-        ((ext == ".json") & is_json(text), "json", "structured_text", 0.99),
-        ((ext == ".xml") & is_xml(text), "xml", "structured_text", 0.99),
-        (ext.isin(".csv", ".tsv") & is_delimited(text), "csv", "structured_text", 0.95),
-        (printable_ratio(F.col(text_col)) < PRINTABLE, "opaque_binary", "binary", 0.90),
-        (is_json(text), "json", "structured_text", 0.98),
-        (is_xml(text), "xml", "structured_text", 0.98),
-        (is_delimited(text), "csv", "structured_text", 0.95),
-        (text == "", "empty_text", "unstructured_text", 0.60),
-        (_enough(text, vocab.SYSLOG_LINE), "syslog_like_text", "semi_structured_text", 0.88),
-        (_enough(text, vocab.KV_LINE), "key_value_text", "semi_structured_text", 0.86),
-        (hex_dump_ratio(text) > 0.95, "hex_dump_text", "unstructured_text", 0.78),
+        ((ext == ".json") & json, "json", "structured_text", 0.99),
+        ((ext == ".xml") & xml, "xml", "structured_text", 0.99),
+        (ext.isin(".csv", ".tsv") & csv, "csv", "structured_text", 0.95),
+        (F.col("__ratio") < PRINTABLE, "opaque_binary", "binary", 0.90),
+        (json, "json", "structured_text", 0.98),
+        (xml, "xml", "structured_text", 0.98),
+        (csv, "csv", "structured_text", 0.95),
+        (F.col("__text") == "", "empty_text", "unstructured_text", 0.60),
+        (_enough(lines, vocab.SYSLOG_LINE), "syslog_like_text", "semi_structured_text", 0.88),
+        (_enough(lines, vocab.KV_LINE), "key_value_text", "semi_structured_text", 0.86),
+        (F.col("__hex") > 0.95, "hex_dump_text", "unstructured_text", 0.78),
     ]
     made = [F.when(c, F.struct(F.lit(a).alias("format_guess"), F.lit(b).alias("content_class"), F.lit(p).alias("confidence"))) for c, a, b, p in steps]
     other = F.struct(F.lit("free_text_log").alias("format_guess"), F.lit("unstructured_text").alias("content_class"), F.lit(0.70).alias("confidence"))
-    return files.withColumn("__d", F.coalesce(*made, other)).select(*files.columns, "__d.*")
+    return opened.withColumn("__d", F.coalesce(*made, other)).select(*[F.col(f"`{c}`") for c in kept.columns], "__d.*")
 
 
 def support_lookup(detected: DataFrame) -> DataFrame:
@@ -150,11 +169,11 @@ def route_file(supported: DataFrame) -> DataFrame:
     return made.select(*supported.columns, "__r.*", (F.col("__r.next_route") != "unsupported_handler").alias("should_attempt_parse"))
 
 
-def sniff_unknown(body: Column, first: int | None = None) -> Column:
-    """Format of a file of unknown extension, from its whole body or the first characters."""
+def sniff_unknown(body: Column, first: int | None = None, first_lines: int | None = None) -> Column:
+    """Format of a file of unknown extension, from its whole body, or from its first characters and lines."""
     raw = body if first is None else F.left(body, F.lit(first))
     lines = non_blank_lines(raw)
-    head = F.slice(lines, 1, TABLE_LINES)
+    head = _first(lines, first_lines)
     n = F.size(head)
     text = strip(raw)
 

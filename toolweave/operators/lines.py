@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.maps import has_any, literal_array
-from ..functions.text import coerce_text, strip
+from ..functions.maps import first_of, has_any
+from ..functions.text import LINE_BREAK, coerce_text, strip
 
 STRETCH = 10_000
 STARTS_BLOCK = r"^(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})[T\s]\d{2}:\d{2}:\d{2}"  # one pattern for inference and segmentation
@@ -79,9 +79,15 @@ def _value(v: Column) -> Column:
     return F.when(inner != "", coerce_text(inner))
 
 
+def _labelled(rest: Column) -> Column:
+    """Entries of the lines `label: value` of what pairs leave of a text."""
+    lines = F.filter(F.split(rest, LINE_BREAK), lambda x: x.rlike(vocab.LABEL_VALUE))
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, vocab.LABEL_VALUE, 1).alias("key"), _value(F.regexp_extract(x, vocab.LABEL_VALUE, 2)).alias("value")))
+
+
 def extract_kv(text: Column) -> Column:
-    """Fields of `{a=b, c=d}` and of `a=b c="d e"` as an ordered bag; of a repeated key the first of a kind counts, and
-    a pair outside braces counts over one inside."""
+    """Fields of `{a=b, c=d}`, of `a=b c="d e"` and of lines `label: value` as an ordered bag. A label counts over a pair
+    outside braces, and that over one inside; of repeated ones the last label, the first pair, the last one in braces."""
     inner = F.regexp_extract(text, BRACE, 1)
     outside = F.when(text.rlike(BRACE), F.regexp_replace(text, BRACE, "  ")).otherwise(text)
     braced = F.filter(
@@ -90,21 +96,14 @@ def extract_kv(text: Column) -> Column:
     )
     keys, values = F.regexp_extract_all(outside, F.lit(vocab.KV_PAIR), F.lit(1)), F.regexp_extract_all(outside, F.lit(vocab.KV_PAIR), F.lit(2))
     spaced = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), _value(v).alias("value")))
-    return unique(F.concat(spaced, F.reverse(braced)))
-
-
-def unique(entries: Column) -> Column:
-    """A bag of ordered entries; of a repeated key the first stays."""
-
-    def add(out: Column, e: Column) -> Column:
-        return F.when(F.map_contains_key(out, e["key"]), out).otherwise(F.map_concat(out, F.map_from_entries(F.array(e))))
-
-    return F.aggregate(entries, F.create_map().cast("map<string,string>"), add)
+    labels = F.when(text.contains(":"), _labelled(F.regexp_replace(outside, vocab.KV_PAIR, " "))).otherwise(F.slice(spaced, 1, 0))
+    return first_of(F.concat(F.reverse(labels), spaced, F.reverse(braced)))
 
 
 def message_of(text: Column) -> Column:
-    """What is left of a text without its pairs, in one line."""
+    """What is left of a text without its pairs and labelled lines, in one line."""
     rest = F.regexp_replace(F.regexp_replace(text, BRACE, "  "), vocab.KV_PAIR, " ")
+    rest = F.when(rest.contains(":"), F.array_join(F.filter(F.split(rest, LINE_BREAK), lambda x: ~x.rlike(vocab.LABEL_VALUE)), "\n")).otherwise(rest)
     return F.btrim(F.regexp_replace(rest, r"\s+", " "), F.lit(" -:;"))
 
 
@@ -225,41 +224,52 @@ def infer_boundary(lines: DataFrame, file_col: str = "file_id") -> DataFrame:
 def file_votes(lines: DataFrame, file_col: str = "file_id", first_lines: int | None = None) -> DataFrame:
     """One row a file: how its non-blank lines look. first_lines limits the vote to a file's first lines.
 
-    n, syslog_hits, kv_hits, timestamp styles, layout ranking, event and payload styles, line family.
+    n, syslog_hits, kv_hits, timestamp styles, layout ranking, event and payload styles (none where nothing is found), and
+    the line family with its three scores.
     """
     rows = lines.where(strip(F.col("text")) != "")
     if first_lines is not None:
         rows = rows.where(F.col("line_no") <= first_lines)
     text = strip(F.col("text"))
     rest = extract_timestamp(text)["rest"]
+    parts = F.split(strip(rest), r"\s+", 3)
+    flat = F.coalesce(F.contains(F.get(parts, 0), F.lit("=")) & F.contains(F.get(parts, 1), F.lit("=")), F.lit(False))
+    facility, bracket, severity = rest.rlike(vocab.HOST_FACILITY), rest.rlike(vocab.BRACKET_TOOL), rest.rlike(vocab.TOOL_SEVERITY)
     matched = {
-        "syslog_host_facility_level": rest.rlike(vocab.HOST_FACILITY), "bracket_tool_severity_event": rest.rlike(vocab.BRACKET_TOOL),
-        "tool_severity_message": rest.rlike(vocab.TOOL_SEVERITY),
-        "tool_token_message": extract_header(rest, ("tool_token_message",))["tool_id"].isNotNull(),
+        "syslog_host_facility_level": facility, "bracket_tool_severity_event": bracket, "tool_severity_message": severity,
+        "tool_token_message": F.get(parts, 1).isNotNull() & ~flat, "none": flat,
+    }
+    body = F.coalesce(*[F.when(fits, F.regexp_extract(rest, p, k)) for fits, p, k in ((facility, vocab.HOST_FACILITY, 4), (bracket, vocab.BRACKET_TOOL, 4), (severity, vocab.TOOL_SEVERITY, 3))], rest)
+    events = {
+        "header_event_field": bracket & ~facility, "leading_bracket_token": body.rlike(vocab.BRACKET_EVENT),
+        "token_before_gt": body.rlike(vocab.GT_EVENT), "leading_upper_token": body.rlike(vocab.UPPER_EVENT),
     }
-    kv, stamped = text.rlike(vocab.FAMILY_KV), text.rlike(vocab.FAMILY_TS_PREFIX)
-    marked = stamped & (text.rlike(vocab.FAMILY_FACILITY) | text.rlike(vocab.FAMILY_TAG) | text.rlike(rf"\b({vocab.FAMILY_LEVELS})\b"))
+    kv, stamped, level = F.regexp_count(text, F.lit(vocab.FAMILY_KV)) >= 2, text.rlike(vocab.FAMILY_TS_PREFIX), text.rlike(vocab.FAMILY_LEVELS)
+    marked = stamped & (text.rlike(vocab.FAMILY_FACILITY) | text.rlike(vocab.FAMILY_TAG) | level) | level & (F.size(F.split(text, r"\s+")) >= 4)
+    labelled = text.rlike(r"(?s)^[^:]*[^:\s][^:]*:.*\S")
     votes = rows.groupBy(file_col).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(text.rlike(vocab.SYSLOG_LINE)).alias("syslog_hits"), F.count_if(text.rlike(vocab.KV_LINE)).alias("kv_hits"),
         F.count_if(text.rlike(vocab.SYSLOG_TS)).alias("syslog_times"), F.count_if(text.rlike(vocab.ISO_TS)).alias("iso_times"),
-        *[F.count_if(c).alias(f"__{n}") for n, c in matched.items()],
+        *[F.count_if(c).alias(f"__{n}") for n, c in (matched | events).items()],
         F.count_if(text.rlike(BRACE) & text.contains("=")).alias("brace_kv"), F.count_if(kv).alias("space_kv"), F.count_if(text.rlike(vocab.LABEL_VALUE)).alias("label_value_lines"),
-        F.avg(kv.cast("int")).alias("kv_score"), F.avg(marked.cast("int")).alias("syslog_score"),
+        F.avg(kv.cast("int")).alias("kv_score"), F.avg(marked.cast("int")).alias("syslog_score"), F.avg(labelled.cast("int")).alias("label_score"),
     )
     ranked = F.filter(
-        F.array_sort(F.array(*[F.struct((-vocab.LAYOUT_WEIGHTS[n] * F.col(f"__{n}")).alias("votes"), F.lit(k).alias("k"), F.lit(n).alias("layout")) for k, n in enumerate(LAYOUTS)])),
+        F.array_sort(F.array(*[F.struct((-vocab.LAYOUT_WEIGHTS[n] * F.col(f"__{n}")).alias("votes"), F.lit(k).alias("k"), F.lit(n).alias("layout")) for k, n in enumerate(matched)])),
         lambda x: x["votes"] < 0,
     )
-    family = F.when((F.col("syslog_score") >= 0.6) & (F.col("syslog_score") >= F.col("kv_score")), "syslog").when(
-        F.greatest("kv_score", "syslog_score") < 0.4, "unknown").when(F.col("kv_score") >= F.col("syslog_score"), "key_value").otherwise("syslog")
-    styles = lambda **c: F.array_compact(F.array(*[F.when(v, n) for n, v in c.items()]))
+    k, y, b = F.col("kv_score"), F.col("syslog_score"), F.col("label_score")
+    family = F.when((y >= 0.6) & (y >= k), "syslog_like_log").when(F.greatest(k, y, b) < 0.4, "unknown_text").when((k >= y) & (k >= b), "kv_line_log").when(y >= b, "syslog_like_log").otherwise("labeled_text_block")
+    some = lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))
+    styles = lambda **c: some(F.array_compact(F.array(*[F.when(v, n) for n, v in c.items()])))
     return votes.select(
         file_col, "n", "syslog_hits", "kv_hits",
         styles(syslog_mmm_dd_hh_mm_ss=F.col("syslog_times") > 0, iso8601=F.col("iso_times") > 0).alias("timestamp_styles"),
-        F.transform(ranked, lambda x: x["layout"]).alias("layouts"),
+        some(F.transform(ranked, lambda x: x["layout"])).alias("layouts"),
+        styles(**{n: F.col(f"__{n}") > 0 for n in events}).alias("event_styles"),
         styles(brace_kv=F.col("brace_kv") > 0, space_kv=F.col("space_kv") > 0, label_value_lines=F.col("label_value_lines") > 0).alias("payload_styles"),
-        F.round("kv_score", 6).alias("kv_score"), F.round("syslog_score", 6).alias("syslog_score"), family.alias("family"),
+        *[F.round(c, 6).alias(c) for c in ("kv_score", "syslog_score", "label_score")], family.alias("family"),
     )
 
 

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.maps import has_any, literal_map
+from ..functions.maps import first_of, has_any, literal_map
 from ..functions.text import strip
-from .lines import unique
 
 
 def chunk_text(docs: DataFrame, text_col: str = "text", most: int = vocab.CHUNK_CHARS) -> DataFrame:
@@ -40,7 +39,7 @@ def chunk_text(docs: DataFrame, text_col: str = "text", most: int = vocab.CHUNK_
 def rename_fields(data: Column) -> Column:
     """data under the standard names; of two keys that become one the first stays."""
     names = literal_map(vocab.OBSERVATION_RENAMES)
-    return unique(F.transform(F.map_entries(data), lambda e: F.struct(F.coalesce(names[e["key"]], e["key"]).alias("key"), e["value"].alias("value"))))
+    return first_of(F.transform(F.map_entries(data), lambda e: F.struct(F.coalesce(names[e["key"]], e["key"]).alias("key"), e["value"].alias("value"))))
 
 
 def validate_observations(observations: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.frames import without
+from ..functions.maps import first_of, last_of
 from ..functions.text import coerce_text, non_blank_lines, present, strip
 from .detect import delimiter_score
-from .lines import unique
 
 
 def read_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -18,22 +19,48 @@ def read_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(*names, F.posexplode(F.split(text, "\n")).alias("__p", "line")).select(*names, (F.col("__p") + 1).alias("line_no"), "line")
 
 
-def read_csv_diag(files: DataFrame, text_col: str = "text") -> DataFrame:
+# A cell starts with a quote (which doubled quotes within don't end) or has none at its start. Possessive: no stepping back.
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+(?:"|$)'
+RECORD_TAIL = r"(?:\n|$)"
+
+
+def _csv_cells(record: Column, delimiter: Column) -> Column:
+    """The cells of one record, unquoted and trimmed."""
+    cell = F.concat(F.lit("[" ), delimiter, F.lit("]((?:" + QUOTED + "[^"), delimiter, F.lit("]*+)|[^"), delimiter, F.lit("]*+)"))
+    raw = F.regexp_extract_all(F.concat(delimiter, record), cell, F.lit(1))
+    inside = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
+    open_ = lambda c: F.concat(F.replace(F.regexp_extract(c, inside, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, inside, 2))
+    return F.transform(raw, lambda c: strip(F.when(c.startswith('"'), open_(c)).otherwise(c)))
+
+
+def csv_records(text: Column, delimiter: Column) -> Column:
+    """The records of a delimited text: line breaks and delimiters within quotes don't end a cell."""
+    plain = F.concat(F.lit("[^"), delimiter, F.lit("\n]*+"))
+    cell = F.concat(F.lit("(?:" + QUOTED), plain, F.lit("|"), plain, F.lit(")"))
+    return F.regexp_extract_all(text, F.concat(F.lit("("), cell, F.lit("(?:["), delimiter, F.lit("]"), cell, F.lit(")*+)" + RECORD_TAIL)), F.lit(1))
+
+
+def read_csv_diag(files: DataFrame, text_col: str = "text", first_lines: int | None = None) -> DataFrame:
     """A row for each data row of each delimited file: row_no, fields (bag), n_cells, expected, malformed.
 
-    Cells are trimmed and coerced, blank rows and rows without any value go, rows of another width than the header
-    have null fields and malformed true. Quoted delimiters are not told apart. The file is one row, so its rows need
-    no shuffle.
+    Cells may be quoted: then they hold delimiters, line breaks and doubled quotes; a quote elsewhere is a character. Cells
+    are trimmed and coerced, blank rows and rows without any value go, rows of another width than the header have null
+    fields and malformed true. A header name that comes twice gives its last cell. first_lines limits the lines that the
+    delimiter is judged by. The file is one row, so its rows need no shuffle; null and empty files give none.
     """
-    names = [c for c in files.columns if c != text_col]
-    cut = files.withColumn("__l", non_blank_lines(F.col(text_col)))
-    cut = cut.withColumn("__d", F.concat(F.lit("\\Q"), delimiter_score(F.col("__l"))["delimiter"], F.lit("\\E")))
-    cells = lambda line: F.transform(F.split(line, F.col("__d")), strip)
-    rows = cut.withColumn("__h", cells(F.get("__l", 0))).select(*names, "__h", "__d", F.posexplode(F.slice("__l", F.lit(2), F.greatest(F.size("__l") - 1, F.lit(0)))).alias("__p", "__line"))
-    rows = rows.withColumn("__c", cells(F.col("__line"))).where(F.exists("__c", lambda x: x != ""))
+    kept = without(files, text_col, "row_no", "fields", "n_cells", "expected", "malformed")
+    names = [f"`{c}`" for c in kept.columns]
+    text = F.regexp_replace(F.regexp_replace(files[text_col], "^﻿", ""), "\r\n?", "\n")
+    cut = files.select(*[files[c] for c in names], text.alias("__text")).withColumn("__d", delimiter_score(non_blank_lines(F.col("__text")), first_lines)["delimiter"])
+    rows = F.filter(F.transform(csv_records(F.col("__text"), F.col("__d")), lambda r: _csv_cells(r, F.col("__d"))), lambda c: F.exists(c, lambda x: x != ""))
+    cut = cut.select(*names, F.inline(F.array(F.struct(rows.alias("__rows")))))
+    header = F.get("__rows", 0)
+    last = F.transform(header, lambda h, i: ~F.array_contains(F.slice(header, i + 2, F.size(header)), h))
+    cut = cut.select(*names, header.alias("__h"), last.alias("__last"), F.posexplode(F.slice("__rows", F.lit(2), F.greatest(F.size("__rows") - 1, F.lit(0)))).alias("__p", "__c"))
     fits = F.size("__c") == F.size("__h")
-    made = F.when(fits, F.map_from_arrays("__h", F.transform("__c", lambda v: F.when(v != "", coerce_text(v)))))
-    return rows.select(*names, (F.col("__p") + 2).alias("row_no"), made.alias("fields"), F.size("__c").alias("n_cells"), F.size("__h").alias("expected"), (~fits).alias("malformed"))
+    only = lambda cells: F.filter(cells, lambda x, i: F.get("__last", i))
+    made = F.when(fits, F.map_from_arrays(only(F.col("__h")), F.transform(only(F.col("__c")), lambda v: F.when(v != "", coerce_text(v)))))
+    return cut.select(*names, (F.col("__p") + 2).alias("row_no"), made.alias("fields"), F.size("__c").alias("n_cells"), F.size("__h").alias("expected"), (~fits).alias("malformed"))
 
 
 def where_equals(rows: DataFrame, field: str, value: str, bag: str = "fields") -> DataFrame:
@@ -117,11 +144,17 @@ def binary_preview(content: Column, n: int = 64) -> Column:
     return F.struct(F.octet_length(content).alias("n_bytes"), F.lower(F.hex(head)).alias("hex"), F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[^\x20-\x7E]", ".").alias("text"))
 
 
+def _pairs(payload: Column) -> Column:
+    """The bag of k=v;k=v; of a repeated key the last counts, a part without = has a null value."""
+    parts = F.filter(F.split(payload, ";"), lambda p: p != "")
+    return last_of(F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.when(p.contains("="), F.regexp_extract(p, "(?s)=(.*)$", 1)).alias("value"))))
+
+
 def tlv_records(content: Column) -> Column:
     """Records of a tagged container as an array of struct(record_no, record_type, fields); null without the magic.
 
     Header: magic, version, flags, count (16-bit, low byte first). Record: type, length (16-bit), pairs k=v;k=v.
-    A truncated record ends the list.
+    A truncated record ends the list; of a key that a record repeats the last value counts.
     """
     digits = F.hex(content)
     number = lambda at, n: F.conv(F.substr(digits, 2 * at + 1, F.lit(2 * n)), 16, 10).cast("int")
@@ -141,7 +174,7 @@ def tlv_records(content: Column) -> Column:
     numbers = F.when(count > 0, F.sequence(F.lit(1), count)).when(count == 0, F.array().cast("array<int>"))
     found = F.aggregate(numbers, start, step, lambda acc: acc["found"])
     kinds = F.create_map(*[F.lit(x) for kv in vocab.TLV_TYPES.items() for x in kv])
-    return F.transform(found, lambda r: F.struct(r["record_no"].alias("record_no"), F.coalesce(kinds[r["kind"]], F.lit("unknown")).alias("record_type"), F.str_to_map(r["payload"], F.lit(";"), F.lit("=")).alias("fields")))
+    return F.transform(found, lambda r: F.struct(r["record_no"].alias("record_no"), F.coalesce(kinds[r["kind"]], F.lit("unknown")).alias("record_type"), _pairs(r["payload"]).alias("fields")))
 
 
 def tlv_fill_in(record_type: Column, fields: Column) -> Column:
@@ -150,4 +183,4 @@ def tlv_fill_in(record_type: Column, fields: Column) -> Column:
     wanted = F.array(*[
         F.struct(F.lit(t).alias("key"), F.when((record_type == kind) & ~F.map_contains_key(fields, F.lit(t)), fields[s]).alias("value")) for kind, t, s in rules
     ])
-    return F.map_concat(fields, unique(F.filter(wanted, lambda e: e["value"].isNotNull())))
+    return F.map_concat(fields, first_of(F.filter(wanted, lambda e: e["value"].isNotNull())))

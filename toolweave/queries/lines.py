@@ -54,6 +54,19 @@ def blocks(s, d):
     return table(s, d, "events").select("event_id", b["tool_id"].alias("tool_id"), b["event_prefix"].alias("event_prefix"), b["event_code"].alias("event_code"), b["payload"]["code"].alias("code"))
 
 
+def kinds_of_files(s, d):
+    """Lines of files of one kind each: pairs, labels, plain words."""
+    kind = F.col("user_id") % 3
+    text = F.when(kind == 0, F.concat(F.lit("a=1 b="), F.col("event_id").cast("string"))).when(kind == 1, F.concat(F.lit("label: "), F.col("event_type"))).otherwise("nothing to see")
+    return table(s, d, "events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("line_no"), text.alias("text"))
+
+
+def labelled(s, d):
+    """A record of labelled lines with a pair and a word between; a label that comes twice counts last."""
+    text = F.concat(F.lit("tool: T"), F.col("user_id").cast("string"), F.lit("\nstatus : "), F.col("event_type"), F.lit("\nfree words k=7\nvalue: 1\nvalue: \""), F.round("value", 2).cast("string"), F.lit("\""))
+    return table(s, d, "events").select("event_id", ln.extract_kv(text).alias("f"), ln.message_of(text).alias("message"))
+
+
 def coverage(s, d):
     rows = log_lines(s, d).withColumn("text", F.when((F.col("file_id") % 2 == 0) & (F.col("event_id") % 3 > 0), F.lit("; comment")).otherwise(F.col("text")))
     return ln.spec_coverage(ln.parse_records(rows), rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")))
@@ -76,11 +89,13 @@ QUERIES = {
     "segment_records": lambda s, d: segments(s, d).select("file_id", "number", "first_line", "text", "source_reference"),
     "context_block": blocks,
     "infer_boundary": lambda s, d: ln.infer_boundary(layouts(s, d)),
-    "infer_event_payload_styles": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.array_join("payload_styles", ",").alias("payload_styles")),
+    "infer_event_payload_styles": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.array_join("payload_styles", ",").alias("payload_styles"), F.array_join("event_styles", ",").alias("event_styles")),
     "file_votes": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", "n", "syslog_hits", "kv_hits"),
     "infer_timestamp_styles": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.array_join("timestamp_styles", ",").alias("styles")),
-    "rank_header_layouts": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.get("layouts", 0).alias("first_layout")),
-    "line_family": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", "kv_score", "family"),
+    "rank_header_layouts": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", F.array_join("layouts", ",").alias("layouts")),
+    "line_family": lambda s, d: ln.file_votes(log_lines(s, d)).select("file_id", "kv_score", "syslog_score", "label_score", "family"),
+    "line_family_kinds": lambda s, d: ln.file_votes(kinds_of_files(s, d)).select("file_id", "label_score", "family", F.array_join("layouts", ",").alias("layouts")),
+    "extract_labels": lambda s, d: labelled(s, d).select("event_id", *[F.col("f")[c].alias(c) for c in ("tool", "status", "value", "k")], "message"),
     "spec_coverage": coverage,
     "free_form_fallback": lambda s, d: ln.free_form_fallback(log_lines(s, d).select("file_id").distinct(), coverage(s, d)),
 }
@@ -103,12 +118,18 @@ ORACLES = {
         SELECT file_id, number, min(line_no) AS first_line, string_agg(text, chr(10) ORDER BY line_no) AS text, 'block:' || CAST(number AS VARCHAR) AS source_reference FROM n WHERE number > 0 GROUP BY file_id, number""",
     "context_block": "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'M' || CAST(event_id AS VARCHAR) END AS tool_id, CASE WHEN event_id % 3 > 0 THEN 'SYSTEM WARNING' END AS event_prefix, CASE WHEN event_id % 3 > 0 THEN 'HOT_PLATE' END AS event_code, CASE WHEN event_id % 3 > 0 THEN CAST(event_id AS VARCHAR) END AS code FROM events",
     "infer_boundary": "SELECT user_id % 30 AS file_id, CASE (user_id % 30) % 3 WHEN 1 THEN 'timestamp' WHEN 2 THEN 'blank' ELSE 'line' END AS boundary FROM events GROUP BY 1, 2",
-    "infer_event_payload_styles": f"SELECT file_id, concat_ws(',', CASE WHEN b > 0 THEN 'brace_kv' END, 'space_kv', CASE WHEN a + c > 0 THEN 'label_value_lines' END) AS payload_styles FROM ({SHARE})",
+    "infer_event_payload_styles": f"""SELECT file_id, concat_ws(',', CASE WHEN b > 0 THEN 'brace_kv' END, 'space_kv', CASE WHEN a + c > 0 THEN 'label_value_lines' END) AS payload_styles,
+        coalesce(nullif(concat_ws(',', CASE WHEN c > 0 THEN 'header_event_field' END, CASE WHEN b > 0 THEN 'leading_bracket_token' END), ''), 'none') AS event_styles FROM ({SHARE})""",
     "file_votes": f"SELECT file_id, n, a + b + c AS syslog_hits, n AS kv_hits FROM ({SHARE})",
-    "infer_timestamp_styles": f"SELECT file_id, concat_ws(',', CASE WHEN b > 0 THEN 'syslog_mmm_dd_hh_mm_ss' END, CASE WHEN a + c > 0 THEN 'iso8601' END) AS styles FROM ({SHARE})",
-    "rank_header_layouts": f"""SELECT file_id, CASE WHEN 3 * b >= greatest(4 * c, 2 * a, a + b + c) AND b > 0 THEN 'syslog_host_facility_level' WHEN 4 * c >= greatest(2 * a, a + b + c) AND c > 0 THEN 'bracket_tool_severity_event'
-        WHEN 2 * a >= a + b + c AND a > 0 THEN 'tool_severity_message' WHEN a + b + c > 0 THEN 'tool_token_message' END AS first_layout FROM ({SHARE})""",
-    "line_family": f"SELECT file_id, 1.0::DOUBLE AS kv_score, CASE WHEN round((a + b + c) / n, 9) >= 1 THEN 'syslog' ELSE 'key_value' END AS family FROM ({SHARE})",
+    "infer_timestamp_styles": f"SELECT file_id, coalesce(nullif(concat_ws(',', CASE WHEN b > 0 THEN 'syslog_mmm_dd_hh_mm_ss' END, CASE WHEN a + c > 0 THEN 'iso8601' END), ''), 'none') AS styles FROM ({SHARE})",
+    "rank_header_layouts": f"""SELECT file_id, string_agg(layout, ',' ORDER BY votes DESC, k) AS layouts FROM (SELECT file_id, unnest([
+          {{'k': 0, 'layout': 'syslog_host_facility_level', 'votes': 3 * b}}, {{'k': 1, 'layout': 'bracket_tool_severity_event', 'votes': 4 * c}}, {{'k': 2, 'layout': 'tool_severity_message', 'votes': 2 * a}},
+          {{'k': 3, 'layout': 'tool_token_message', 'votes': a + b + c}}, {{'k': 4, 'layout': 'none', 'votes': 4 * (n - a - b - c)}}], recursive := true) FROM ({SHARE})) WHERE votes > 0 GROUP BY 1""",
+    "line_family": f"""SELECT file_id, 1.0::DOUBLE AS kv_score, round((a + b + c + e) / n, 6) AS syslog_score, round((a + b + c) / n, 6) AS label_score, CASE WHEN round((a + b + c + e) / n, 9) >= 1 THEN 'syslog_like_log' ELSE 'kv_line_log' END AS family
+        FROM ({SHARE}) JOIN (SELECT user_id % 40 AS file_id, count(*) FILTER (WHERE event_id % 4 = 3 AND event_type = 'error') AS e FROM events GROUP BY 1) USING (file_id)""",
+    "line_family_kinds": """SELECT DISTINCT user_id AS file_id, CASE user_id % 3 WHEN 1 THEN 1 ELSE 0 END::DOUBLE AS label_score, CASE user_id % 3 WHEN 0 THEN 'kv_line_log' WHEN 1 THEN 'labeled_text_block' ELSE 'unknown_text' END AS family,
+        CASE user_id % 3 WHEN 0 THEN 'none' ELSE 'tool_token_message' END AS layouts FROM events""",
+    "extract_labels": f"SELECT event_id, 'T' || CAST(user_id AS VARCHAR) AS tool, event_type AS status, {VALUE} AS value, '7' AS k, 'free words' AS message FROM events",
     "spec_coverage": f"""SELECT file_id, round(hits / n, 6) AS coverage, round(times / n, 6) AS timestamp_ratio, round(hits / n, 6) AS structure_ratio,
         round(hits / n, 6) >= 0.6 AND (round(times / n, 6) >= 0.3 OR round(hits / n, 6) >= 0.4) AS accepted FROM ({COVERED})""",
     "free_form_fallback": f"SELECT file_id FROM ({COVERED}) WHERE NOT (round(hits / n, 6) >= 0.6 AND (round(times / n, 6) >= 0.3 OR round(hits / n, 6) >= 0.4))",
