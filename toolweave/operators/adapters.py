@@ -6,10 +6,11 @@ Column functions take one spec's rules as literals, which ride in the expression
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.frames import exists, without
 from ..functions.maps import first_of, literal_map
 from ..functions.text import canonical_key, present
 
@@ -77,7 +78,49 @@ def spec_defaults(specs: DataFrame, source_format: str) -> DataFrame:
     return specs.unionByName(met.select(*specs.columns))
 
 
-def sample_by_type(records: DataFrame, key: str, n: int = 3) -> DataFrame:
-    """The n records of the smallest keys for each source type; every task keeps its own n first."""
+SPEC = ["fingerprint", "kind", "n", "source", "field", "key", "target"]
+SPEC_BUCKETS = 64
+
+
+def spec_upsert(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """Stored rules (SPEC and version) after saving specs: one that comes in replaces all rules of its fingerprint and has
+    the next version. Rules without a fingerprint go; repeated ones stay once."""
+    new = incoming.where("fingerprint <> ''").select(*SPEC).distinct()
+    if existing is None:
+        return new.withColumn("version", F.lit(1))
+    held = existing.groupBy("fingerprint").agg(F.max("version").alias("__v"))
+    new = new.join(held, "fingerprint", "left").select(*SPEC, (F.coalesce("__v", F.lit(0)) + 1).alias("version"))
+    return existing.select(*SPEC, "version").join(new.select("fingerprint").distinct(), "fingerprint", "left_anti").unionByName(new)
+
+
+def save_specs(incoming: DataFrame, path: str) -> None:
+    """spec_upsert() into the store at path, which lies in hash buckets of the fingerprint; only touched ones are replaced."""
+    spark = incoming.sparkSession
+    bucket = F.pmod(F.xxhash64("fingerprint"), F.lit(SPEC_BUCKETS)).cast("int")
+    existing = None
+    if exists(spark, path):
+        touched = [r[0] for r in incoming.select(bucket).distinct().collect()]  # SPEC_BUCKETS at most
+        existing = read_specs(spark, path).where(F.col("bucket").isin(touched))
+    merged = spec_upsert(existing, incoming).withColumn("bucket", bucket)
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_specs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("fingerprint string, kind string, n int, source string, field string, key string, target string, version int, bucket int").parquet(path)
+
+
+def adapter_specs_scan(documents: DataFrame, specs: DataFrame) -> DataFrame:
+    """documents (fingerprint) with version and rules (an array in their order) of the stored spec of their fingerprint;
+    without one both are null. A spec is one row, so documents don't multiply."""
+    order = F.array_sort(F.collect_list(F.struct("kind", "n", "source", "field", "key", "target")))
+    stored = specs.groupBy("fingerprint").agg(F.max("version").alias("version"), order.alias("rules"))
+    return without(documents, "version", "rules").join(stored, "fingerprint", "left")
+
+
+def sample_by_type(records: DataFrame, key: str, n: int = 3, bag: str | None = None, most_keys: int | None = None) -> DataFrame:
+    """The n records of the smallest keys for each source type; every task keeps its own n first. most_keys bounds the
+    entries of a sampled bag."""
+    if bag and most_keys is not None:
+        records = records.withColumn(bag, F.map_from_entries(F.slice(F.map_entries(bag), 1, most_keys)))
     best = Window.partitionBy("source_record_type").orderBy(key)
     return records.withColumn("sample_no", F.row_number().over(best)).where(F.col("sample_no") <= n)

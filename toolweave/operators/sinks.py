@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import exists
 from ..functions import vocab
 from ..functions.text import first_present, present, to_int, to_plain_number
 from .validate import rejected_of, route, sink_event_ts, sink_tool_id, target_table
@@ -137,11 +138,6 @@ def upsert_files(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     return latest.select("file_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def save_files(spark: SparkSession, incoming: DataFrame, path: str) -> None:
     """Upsert into the catalog table at ``path``, which lies in hash buckets of the file.
 
@@ -150,7 +146,7 @@ def save_files(spark: SparkSession, incoming: DataFrame, path: str) -> None:
     """
     bucket = F.pmod(F.xxhash64("file_id"), F.lit(CATALOG_BUCKETS))
     existing = None
-    if _exists(spark, path):
+    if exists(spark, path):
         touched = [r["b"] for r in incoming.select(bucket.alias("b")).distinct().collect()]  # CATALOG_BUCKETS at most
         existing = spark.read.parquet(path).where(F.col("bucket").isin(touched))
     merged = upsert_files(existing, incoming).withColumn("bucket", bucket)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import new_path
 from ..operators import adapters as ad
+from ..operators import ingest as ig
 from ..operators import prose as pr
 from ..operators import tables_in as ti
 from .records import ordered_bag
@@ -39,6 +41,27 @@ def specs(s, d):
     return table(s, d, "customer").select(F.concat(F.lit("f"), k.cast("string")).alias("fingerprint"), F.inline(rows))
 
 
+def stored_specs(s, d):
+    """A store that all customers' specs went into, and then other ones of every third customer."""
+    path = new_path(s, "specs")
+    first = specs(s, d)
+    ad.save_specs(first, path)
+    third = first.where((F.substring("fingerprint", 2, 20).cast("long") % 3 == 0) & (F.col("kind") == "alias")).withColumn("target", F.lit("lot"))
+    ad.save_specs(third, path)
+    return ad.read_specs(s, path)
+
+
+def ingested(s, d):
+    """The events as a file a user, written and catalogued."""
+    path = new_path(s, "landing")
+    line = F.concat_ws(" ", F.col(K).cast("string"), "event_type", "props").alias("value")
+    rows = events(s, d).repartition("user_id").sortWithinPartitions("user_id", K).select("user_id", line)
+    rows.write.partitionBy("user_id").text(path)
+    made = ig.ingest_files(s, f"{path}/user_id=*")
+    again = ig.ingest_files(s, f"{path}/user_id=*").select("file_id", F.lit(True).alias("same"))
+    return made.join(again, "file_id", "left").select(F.regexp_extract("raw_path", r"user_id=(\d+)/", 1).cast("long").alias("user_id"), "extension", "size_bytes", "sha256", F.col("same").isNotNull().alias("same_id_again"))
+
+
 def observations(s, d):
     k = F.col(K)
     pick = lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), (k % n).cast("int"))
@@ -107,6 +130,10 @@ QUERIES = {
     "fallback_fill": lambda s, d: bag(s, d).select(K, ad.fallback_fill(F.col("m"), F.when(F.col(K) % 3 == 0, "other").otherwise("sensor_reading"))["parameter"].alias("parameter")),
     "spec_sanitize": lambda s, d: ad.spec_sanitize(specs(s, d)).select("fingerprint", "kind", "key", "target"),
     "spec_defaults": lambda s, d: ad.spec_defaults(specs(s, d), "json").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("key") == "wafer").alias("wafer_rules")),
+    "ingest_files": ingested,
+    "spec_upsert": lambda s, d: stored_specs(s, d).select("fingerprint", "version", "kind", "key", "target"),
+    "adapter_specs_scan": lambda s, d: ad.adapter_specs_scan(table(s, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 5 == 0, "none").otherwise(F.concat(F.lit("f"), F.col("o_custkey").cast("string"))).alias("fingerprint")), stored_specs(s, d)).select(
+        "o_orderkey", "version", F.array_join(F.transform("rules", lambda r: F.concat_ws(">", r["key"], r["target"])), ",").alias("rules")),
     "sample_by_type": lambda s, d: ad.sample_by_type(events(s, d).withColumnRenamed("event_type", "source_record_type"), K).select("source_record_type", "sample_no", K),
     "chunk_text": lambda s, d: pr.chunk_text(table(s, d, "documents").select("doc_id", F.concat("text", F.lit("\n \nShort. One."), F.repeat(F.lit(" Sentence here."), 200)).alias("text"))).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("chunk_id").alias("last"), F.count_if(F.col("chunk").startswith("Short. One.")).alias("shorts")).select("doc_id", (F.col("n") == F.col("last")).alias("numbered"), "shorts"),
@@ -150,6 +177,13 @@ ORACLES = {
     "spec_sanitize": """SELECT 'f' || CAST(c_custkey AS VARCHAR) AS fingerprint, 'alias' AS kind, 'v' || CAST(c_custkey AS VARCHAR) AS key, 'tool_id' AS target FROM customer WHERE c_custkey % 2 = 0
         UNION ALL SELECT 'f' || CAST(c_custkey AS VARCHAR), 'type', 'wafer', 'fault_event' FROM customer""",
     "spec_defaults": "SELECT 'f' || CAST(c_custkey AS VARCHAR) AS fingerprint, CAST(2 + 11 + 20 + 2 AS BIGINT) AS n, CAST(1 AS BIGINT) AS wafer_rules FROM customer",
+    "ingest_files": """SELECT user_id, '.txt' AS extension, CAST(sum(strlen(line) + 1) AS BIGINT) AS size_bytes, sha256(string_agg(line || chr(10), '' ORDER BY event_id)) AS sha256, true AS same_id_again
+        FROM (SELECT *, CAST(event_id AS VARCHAR) || ' ' || event_type || ' ' || props AS line FROM events) GROUP BY 1""",
+    "spec_upsert": """SELECT 'f' || CAST(c_custkey AS VARCHAR) AS fingerprint, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS version, 'alias' AS kind, 'v' || CAST(c_custkey AS VARCHAR) AS key,
+        CASE WHEN c_custkey % 3 = 0 THEN 'lot' WHEN c_custkey % 2 = 0 THEN 'tool_id' ELSE 'no_such' END AS target FROM customer
+        UNION ALL SELECT 'f' || CAST(c_custkey AS VARCHAR), 1, 'type', 'wafer', 'fault_event' FROM customer WHERE c_custkey % 3 <> 0""",
+    "adapter_specs_scan": """SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END END AS version,
+        CASE WHEN o_custkey % 5 <> 0 THEN 'v' || CAST(o_custkey AS VARCHAR) || '>' || CASE WHEN o_custkey % 3 = 0 THEN 'lot' WHEN o_custkey % 2 = 0 THEN 'tool_id,wafer>fault_event' ELSE 'no_such,wafer>fault_event' END END AS rules FROM orders""",
     "sample_by_type": "SELECT event_type AS source_record_type, CAST(n AS INTEGER) AS sample_no, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 3",
     "chunk_text": "SELECT doc_id, true AS numbered, CAST(1 AS BIGINT) AS shorts FROM documents WHERE text IS NOT NULL",
     "rename_fields": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'B' END AS curr_state, CASE event_id % 3 WHEN 0 THEN 'A' END AS prev_state, CASE event_id % 3 WHEN 1 THEN 'p' END AS parameter FROM events",

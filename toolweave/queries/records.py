@@ -3,12 +3,11 @@ canonicalize, standardize, normalize, validate, route and project; the SQL start
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import new_path
 from ..functions.text import to_int, to_number
 from ..functions.units import measurement_family, unit_symbol
 from ..operators import sinks
@@ -128,22 +127,16 @@ def _upsert(s, d):
     return sinks.upsert_files(full, incoming).select("file_id", "source_format", "ingestion_time")
 
 
-def _folder(s):
-    """A new folder beside the checkpoints; a local session without a checkpoint folder takes a temporary one."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/toolweave-tables"
-    return f"{shared.rstrip('/')}/load-{uuid.uuid4().hex}"
-
-
 def _written_tables(s, d):
     """Loads the events and counts what the tables hold."""
-    base = _folder(s)
+    base = new_path(s, "load")
     sinks.write_tables(validated(s, d), f"{base}/tables", f"{base}/staging", "load-1")
     filled = ("equipment_states", "sensor_readings", "fault_events", "wafer_processing_sequences", sinks.REJECTED)
     return table_counts({t: s.read.parquet(f"{base}/tables/{t}") for t in filled})
 
 
 def _written_results(s, d):
-    path = f"{_folder(s)}/results"
+    path = f"{new_path(s, 'load')}/results"
     sinks.write_results(validated(s, d).select("filename", "record_type", "validation_reason", "normalized_fields"), path, "load-1")
     return s.read.schema("filename string, record_type string").json(path).groupBy("filename", "record_type").agg(F.count(F.lit(1)).alias("n"))
 
