@@ -1,7 +1,13 @@
 """Pages that the given ones do not show: heads left open, class words on articles and on what holds them."""
 
+import re
+import time
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from toolweave.llm import html_text
 from toolweave.llm.html_text import main_text
 
 TEXT = "<p>one two three four five six seven eight</p>"
@@ -54,3 +60,53 @@ def test_length_and_neighbours_decide_without_tags():
     assert main_text(f"<div>{LONG}</div><div><a href=/>see also this</a></div><div>{LONG}</div>") == f"{LONG}\n\n{LONG}"
     short = "Read <a href=/>this</a> with care and then go on to the rest"
     assert main_text(f"<div>{LONG}</div><div>{short}</div><div>{LONG}</div>").count("Read this with care") == 1
+
+
+def test_the_tree_asks_for_links_first_and_uses_length_and_neighbours():
+    def asked(tree):
+        return {tree[0]} | asked(tree[2]) | asked(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert html_text.FEATURES[html_text.TREE[0]] == "links"
+    used = {html_text.FEATURES[f] for f in asked(html_text.TREE)}
+    assert {"words", "words_before", "links_after"} <= used
+    assert all(html_text.decide(html_text.TREE, r[:-1]) == r[-1] for r in html_text.LABELLED)
+
+
+def test_without_class_names_and_articles(spark):
+    """The given pages as if nobody had marked anything but lines, links and navigation."""
+    share = []
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        bare = re.sub(r"<(/?)(?:article|main|section|aside)\b[^>]*>", r"<\1div>", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|\S+?(?=[\s>]))", "", r.html))
+        want, got = Counter(main_text(r.html).split()), Counter(main_text(bare).split())
+        share.append((sum((want & got).values()) / max(1, want.total()), sum((want & got).values()) / max(1, got.total())))
+    found, right = (sum(x) / len(share) for x in zip(*share))
+    assert found > 0.95 and right > 0.75, (found, right)
+
+
+@pytest.mark.parametrize("piece", [
+    "<script ", "<div>", "<p><td><div>", "<b><i></b>", "<div class=menu><h1>x</h1>", "<a \"", "<script></script ", "<!", "<!--", "<div><article>", "<li><div>", "<a>x", "<title>", "&amp", "<p class='", "</p>",
+])
+def test_time_in_proportion(piece):
+    took = []
+    for size in (60_000, 480_000):
+        page = piece * (size // len(piece))
+        began = time.process_time()
+        main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_nesting():
+    deep = "<div>" * 100_000 + LONG + "</div>" * 100_000
+    assert main_text(deep) == LONG
+    assert main_text("<b>" * 2000 + LONG + "</b>" * 2000 + "<p>" + LONG) == f"{LONG}\n\n{LONG}"
+
+
+def test_repeated_rows_and_names(spark):
+    page = f"<article><p>{LONG}</p></article>"
+    rows = [(1, page), (1, page), (2, None), (2, ""), (None, "<p>")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({"TEXT": F.lit("x"), "n_chars": F.lit("y")})
+    got = html_text.extract(df)
+    assert [c.lower() for c in got.columns] == ["page_id", "html", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.n_chars) for r in got.collect()) == [(0, 0), (1, len(LONG)), (1, len(LONG)), (2, 0), (2, 0)]
+    assert html_text.extract(df.limit(0)).count() == 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,11 +144,13 @@ LABELLED = (
     (4, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, True),
 )
 
-COMMENT = r"<!--.*?(?:-->|\Z)"
-RAW_ELEMENT = r"<(%s)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?:[\s/][^>]*)?>|\Z)" % "|".join(RAW)
-TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-LOOSE_TAG = r"</?[a-zA-Z][^<>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
-MARKUP = re.compile(f"{COMMENT}|{RAW_ELEMENT}|{TAG}|{LOOSE_TAG}", re.DOTALL | re.IGNORECASE)
+RAW_OPEN = re.compile(r"<(%s)(?=[\s/>])" % "|".join(RAW), re.IGNORECASE)
+RAW_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+RAW_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"</?[a-zA-Z][^<>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)")
+LONGEST_TAG = 1 << 16  # quotes in a tag longer than this don't count: it ends at the next >
+DEEPEST_LINE = 512  # inline elements open within each other; further ones are not told apart
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LEADING = ("has", "with", "no", "is", "without")
@@ -190,140 +193,201 @@ def article_of(name: str, attributes: str) -> str:
     return next((x for x in roles if x in ARTICLE), "")
 
 
-def blocks_of(page: str) -> tuple[list[list], bool]:
-    """Flat blocks [text, words, linked words, in_article, furniture] of a page, and whether it has an article.
-
-    An element marked LOOSE or LAYOUT is no furniture when it holds more than half of the words outside firm furniture,
-    and, if LOOSE, the first article or a main heading too.
-    """
-    blocks: list[list] = []
-    stack: list[tuple[str, bool, str, bool]] = []  # name, firm furniture, article, loose furniture of each open element
-    loose: list[list] = []  # whether it may hold the article, and words, of each loose element
-    opened: list[int] = []  # the open ones
-    within: list[tuple[int, ...]] = []  # the ones around each block
-    parts: list[str] = []
-    linked = 0
-    state = [0, 0, 0, 0]  # how many open elements are links, furniture, articles, inline furniture
-    has_article = met = False
-
-    def close_block() -> None:
-        nonlocal linked
-        if parts:
-            words = html.unescape("".join(parts)).split()
-            if words:
-                blocks.append([" ".join(words), len(words), min(linked, len(words)), int(state[2] > 0), int(state[1] > 0)])
-                within.append(tuple(opened))
-                if not state[1]:
-                    for k in opened:
-                        loose[k][1] += len(words)
-            parts.clear()
-        linked = 0
-
-    def pop() -> None:
-        name, furniture, article, is_loose = stack.pop()
-        state[0] -= name == "a"
-        state[1] -= furniture
-        state[2] -= article != ""
-        if is_loose:
-            opened.pop()
-        state[3] -= furniture and name in INLINE
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if text and not state[3]:  # furniture within a line goes without breaking the line
-            parts.append(text)
-            if state[0]:
-                linked += len(text.split())
-
-    at = 0
-    for m in MARKUP.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            raw = m[1]
-            if raw and raw.lower() not in INLINE:
-                close_block()
+def tokens(page: str):
+    """(start, end, raw name, "" or "/", tag name, attributes) of each piece of markup, in one pass that never goes back:
+    comments, raw elements with what they hold (raw name), tags, and what looks like one (no name at all)."""
+    at, size, last = 0, len(page), page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, None, "", None, ""
             continue
-        name = name.lower()
-        inline = name in INLINE
-        if m[2]:
-            if not inline:
-                close_block()
-            if any(x[0] == name for x in stack):
-                if inline:  # never past a block's edge
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            rest = stack[k + 1 :]
-                            if all(x[0] in INLINE for x in rest):
-                                while len(stack) > k:
-                                    pop()
-                                for x in rest:
-                                    stack.append(x)
-                                    state[0] += x[0] == "a"
-                                    state[1] += x[1]
-                                    state[2] += x[2] != ""
-                                    state[3] += x[1]
-                            break
-                else:
-                    while stack[-1][0] != name:
-                        pop()
-                    pop()
+        m = RAW_OPEN.match(page, start) if start < last else None
+        if m:
+            end = RAW_END.match(page, m.end(), min(size, m.end() + LONGEST_TAG))
+            inside = end.end() if end else page.find(">", m.end()) + 1
+            close = RAW_CLOSE[m[1].lower()].search(page, inside)
+            at = page.find(">", close.end()) + 1 if close else 0
+            at = at or size
+            yield start, at, m[1], "", None, ""
             continue
-        attributes = m[4]
-        if name == "br":
-            parts.append(" ")
+        m = TAG.match(page, start, min(size, start + LONGEST_TAG))
+        if m:
+            at = m.end()
+            yield start, at, None, m[1], m[2], m[3]
             continue
+        m = LOOSE_TAG.match(page, start)
+        if m:
+            at = m.end()
+            yield start, at, None, "", None, ""
+        else:
+            at = start + 1
+
+
+class _Blocks:
+    """The open elements of a page and its blocks so far. Counters stand for searches through what is open, so that the
+    work is linear in the page."""
+
+    def __init__(self):
+        self.blocks: list[list] = []
+        self.within: list[int] = []  # the innermost loose element around each block, -1 for none
+        self.stack: list[tuple[str, bool, str, bool]] = []  # name, firm furniture, article, loose furniture of each open element
+        self.named: Counter = Counter()  # open elements by name
+        self.loose: list[list] = []  # enclosing loose element, whether it may hold the article, and words, of each
+        self.opened: list[tuple[int, int, int]] = []  # the open ones, with marks and words when they opened
+        self.parts: list[str] = []
+        self.linked = self.links = self.furniture = self.articles = self.outer = self.hidden = self.lines = 0
+        self.marks = self.words = 0  # main headings and articles, and words outside firm furniture, so far
+
+    def close_block(self) -> None:
+        if self.parts:
+            words = html.unescape("".join(self.parts)).split()
+            if words:
+                self.blocks.append([" ".join(words), len(words), min(self.linked, len(words)), int(self.articles > 0), int(self.furniture > 0)])
+                self.within.append(self.opened[-1][0] if self.opened else -1)
+                if not self.furniture:
+                    self.words += len(words)
+            self.parts.clear()
+        self.linked = 0
+
+    def _count(self, entry: tuple, by: int) -> None:
+        name, furniture, article, _ = entry
+        inline = name in INLINE
+        self.named[name] += by
+        self.links += by * (name == "a")
+        self.furniture += by * furniture
+        self.articles += by * (article != "")
+        self.outer += by * (article == "article")
+        self.hidden += by * (furniture and inline)
+        self.lines += by * inline
+
+    def push(self, entry: tuple) -> None:
+        if entry[0] in INLINE and self.lines >= DEEPEST_LINE:
+            return
+        self.stack.append(entry)
+        self._count(entry, 1)
+
+    def open_loose(self, holds: bool) -> None:
+        self.opened.append((len(self.loose), self.marks, self.words))
+        self.loose.append([self.opened[-2][0] if len(self.opened) > 1 else -1, holds, 0])
+
+    def pop(self) -> None:
+        entry = self.stack.pop()
+        self._count(entry, -1)
+        if entry[3]:
+            self._settle(*self.opened.pop())
+
+    def _settle(self, k: int, marks: int, words: int) -> None:
+        self.loose[k][1] = self.loose[k][1] or self.marks > marks
+        self.loose[k][2] = self.words - words
+
+    def pop_through(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.pop()
+
+    def nearest_line(self, name: str) -> int:
+        """Where the innermost open element of this name is, if only inline ones lie within it; else -1."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == name:
+                return k
+            if self.stack[k][0] not in INLINE:
+                break
+        return -1
+
+    def add(self, text: str) -> None:
+        if text and not self.hidden:  # furniture within a line goes without breaking the line
+            self.parts.append(text)
+            if self.links:
+                self.linked += len(text.split())
+
+    def close(self, name: str) -> None:
+        """An end tag."""
+        inline = name in INLINE
         if not inline:
-            close_block()
+            self.close_block()
+        if not self.named[name]:
+            return
+        if not inline:
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+            return
+        k = self.nearest_line(name)  # never past a block's edge
+        if k >= 0:
+            rest = self.stack[k + 1 :]
+            self.pop_through(k)
+            for x in rest:
+                self.push(x)
+
+    def open(self, name: str, attributes: str) -> None:
+        """A start tag."""
+        inline = name in INLINE
+        if name == "br":
+            self.parts.append(" ")
+            return
+        if not inline:
+            self.close_block()
         if name in VOID or name == "head":  # what a head may hold gives no text; anything else ends it
-            continue
-        if name in CLOSES_P and any(x[0] == "p" for x in stack):
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if all(x[0] in INLINE for x in stack[k + 1 :]):
-                while len(stack) > k:
-                    pop()
-        if name in SELF_CLOSING and name != "p":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SELF_CLOSING[name]:
-                    while len(stack) > k:
-                        pop()
+            return
+        if name in CLOSES_P and self.named["p"] and (k := self.nearest_line("p")) >= 0:
+            self.pop_through(k)
+        if name in SELF_CLOSING and name != "p" and any(self.named[x] for x in SELF_CLOSING[name]):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in SELF_CLOSING[name]:
+                    self.pop_through(k)
                     break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "menu") or name != "tr" and stack[k][0] == "tr":
+                if self.stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "menu") or name != "tr" and self.stack[k][0] == "tr":
                     break
         if attributes.rstrip().endswith("/") and name not in ("a", "p", "div"):
-            continue
-        if name == "a":  # links don't nest
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "a":
-                    while len(stack) > k:
-                        pop()
-                    break
+            return
+        if name == "a" and self.named["a"]:  # links don't nest
+            while self.named["a"]:
+                self.pop()
         article = article_of(name, attributes)
-        marked = furniture_of(name, attributes, article == "article" and not any(x[2] == "article" for x in stack))
+        marked = furniture_of(name, attributes, article == "article" and not self.outer)
         furniture = marked == FIRM or marked > 0 and (inline or article != "")
-        has_article = has_article or article != ""
-        if not state[1] and not furniture and (name == "h1" or article == "article" and not met):
-            met = met or article == "article"
-            for k in opened:
-                loose[k][0] = True
-        is_loose = marked > 0 and not furniture
-        if is_loose:
-            opened.append(len(loose))
-            loose.append([marked == LAYOUT, 0])
-        stack.append((name, furniture, article, is_loose))
-        state[0] += name == "a"
-        state[1] += furniture
-        state[2] += article != ""
-        state[3] += furniture and inline
-    add(page[at:])
-    close_block()
-    total = sum(b[1] for b in blocks if not b[4])
-    dropped = {k for k, (holds, words) in enumerate(loose) if not holds or 2 * words <= total}
-    for b, around in zip(blocks, within):
-        if not dropped.isdisjoint(around):
+        self.has_article = self.has_article or article != ""
+        if not self.furniture and not furniture and (name == "h1" or article == "article" and not self.met):
+            self.met = self.met or article == "article"
+            self.marks += 1
+        loose = marked > 0 and not furniture
+        if loose:
+            self.open_loose(marked == LAYOUT)
+        self.push((name, furniture, article, loose))
+
+    has_article = met = False
+
+
+def blocks_of(page: str) -> tuple[list[list], bool]:
+    """Flat blocks [text, words, linked words, in_article, furniture] of a page, and whether it has an article.
+
+    An element marked LOOSE or LAYOUT is no furniture when it holds more than half of the words outside firm furniture,
+    and, if LOOSE, the first article or a main heading too.
+    """
+    state, at = _Blocks(), 0
+    for start, end, raw, slash, name, attributes in tokens(page):
+        state.add(page[at:start])
+        at = end
+        if name is None:
+            if raw and raw.lower() not in INLINE:
+                state.close_block()
+        elif slash:
+            state.close(name.lower())
+        else:
+            state.open(name.lower(), attributes)
+    state.add(page[at:])
+    state.close_block()
+    while state.opened:
+        state._settle(*state.opened.pop())
+    total = sum(b[1] for b in state.blocks if not b[4])
+    dropped: list[bool] = []
+    for around, holds, words in state.loose:
+        dropped.append(not holds or 2 * words <= total or around >= 0 and dropped[around])
+    for b, around in zip(state.blocks, state.within):
+        if around >= 0 and dropped[around]:
             b[4] = 1
-    return blocks, has_article
+    return state.blocks, state.has_article
 
 
 def train(rows=LABELLED):
@@ -342,9 +406,7 @@ def train(rows=LABELLED):
         for low, high in zip(values, values[1:]):
             limit = (low + high) / 2
             left, right = [r for r in rows if r[f] <= limit], [r for r in rows if r[f] > limit]
-            gain = round(impurity(left) + impurity(right), 9)
-            # The enclosing element is asked first, while that tells labels apart; ties go to link density.
-            score = (f < 6 or gain >= round(impurity(rows), 9), gain, f not in (1, 6, 7, 8), -f)
+            score = (round(impurity(left) + impurity(right), 9), f)
             if best is None or score < best[0]:
                 best = (score, f, limit, left, right)
     if best is None:
