@@ -38,8 +38,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: how many words of each document it takes and when, in training order."""
-    return mixing.mixed(docs)
+    """The corpus in training order: a row for each time a document is taken, with its position, the words and the text."""
+    return mixing.in_order(docs)
 
 
 STAGES = [

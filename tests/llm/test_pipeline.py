@@ -76,7 +76,35 @@ def test_stages(spark):
             want.add(r.doc_id)
     assert {r.doc_id for r in clean.collect()} == want and clean.columns == docs.columns
 
-    mix = cp.source_mix(spark, clean, SF)
-    assert mix.count() == clean.count()
-    for r in mix.groupBy("source").agg(F.sum("size").alias("size"), F.first("source_size").alias("s"), F.first("target").alias("t"), F.sum("taken").alias("taken")).collect():
-        assert r["size"] == r.s and abs(r.taken - r.t) <= 1 and r.t <= 2 * r.s + 1e-6
+    mix = cp.source_mix(spark, clean, SF).collect()
+    texts, taken = {r.doc_id: r.text for r in clean.collect()}, {}
+    for r in mix:
+        w = texts[r.doc_id].split()
+        assert r["pass"] in (1, 2) and 0 < r.taken <= r.size == len(w)
+        assert r.text == (texts[r.doc_id] if r.taken == r.size else " ".join(w[: r.taken]))
+        taken[r.doc_id, r["pass"]] = taken.get((r.doc_id, r["pass"]), 0) + 1
+    assert set(taken.values()) == {1}
+    assert [r.position for r in mix] == sorted(r.position for r in mix)
+    for source in {r.source for r in mix}:
+        mine = [r for r in mix if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1 and mine[0].target <= 2 * mine[0].source_size + 1e-6
+
+
+ODD = [(None, None, None, None, None), (1, None, "en", "a", None), (2, "", "en", "a", 0), (3, "one two three four five six", "en", "a", 27), (3, "one two three four five six", "en", "a", 27),
+       (4, "other words of its own here now", "en", None, 31), (None, "text without an id", "fr", "b", 18), (None, "another text without an id", "fr", "b", 26)]
+
+
+def test_odd_documents(spark, tmp_path):
+    import shutil
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for k, rows in enumerate(([], ODD)):
+        folder = tmp_path / f"t{k}"
+        folder.mkdir()
+        shutil.copy(f"{SF}/benchmark.parquet", folder)
+        docs = spark.createDataFrame(rows, schema).withColumns({"N_WORDS": F.lit("x"), "component_id": F.lit("y"), "position": F.lit("z"), "taken": F.lit("t")})
+        docs.write.parquet(str(folder / "documents.parquet"))
+        made = cp.run(spark, str(folder)).collect()
+        kept = sorted([(3, ODD[3][1]), (4, ODD[5][1]), (0, ODD[6][1]), (0, ODD[7][1])]) if rows else []
+        got = sorted((r.doc_id or 0, r.text, r.taken == r.size) for r in made if r["pass"] == 1)
+        assert len(got) == len(kept) and all(i == j and (t == u if whole else u.startswith(t)) for (i, t, whole), (j, u) in zip(got, kept))

@@ -86,8 +86,8 @@ BROADCAST_BYTES = 32 << 20
 
 
 def fingerprint(text_col: str) -> Column:
-    """Tells rows of one id and different texts apart."""
-    return F.crc32(F.col(text_col).cast("binary"))
+    """Tells rows of one id and different texts apart (64 bits)."""
+    return F.xxhash64(F.col(text_col).cast("binary"))
 
 
 def sized(df: DataFrame, row_bytes: int = 48) -> DataFrame:

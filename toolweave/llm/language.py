@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import small_batches, table, utf8, written
+from toolweave.llm.common import fingerprint, small_batches, table, utf8, written
 
 SAMPLE = 1000
 AT_ONCE = 200  # models held at a time
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     spark = docs.sparkSession
     small_batches(spark)
     languages = languages_of(docs, declared_col)
-    print_ = F.crc32(F.col(text_col).cast("binary")).alias("print")
+    print_ = fingerprint(text_col).alias("print")
     base = docs.select(
         F.col(id_col).cast("long").alias("doc"), print_, F.col(text_col).alias("text"),
         F.col(declared_col).alias("declared"), primary_tag(F.col(declared_col)).alias("tag"), F.lower(F.coalesce(F.col(host_col), F.lit(""))).alias("host"),

@@ -21,7 +21,7 @@ RAMPS = (0.5, 0.0, -0.5)  # how weights change over time, repeating; between -1
 SHARE = 1.5  # words that the mix takes, of all words there are
 MOST_PASSES = 2
 BUCKET_BITS = 12
-OUTPUTS = ("size", "source_size", "target", "taken", "ramp", "offset", "first_at", "second_at")
+OUTPUTS = ("size", "source_size", "target", "taken", "first_words", "ramp", "offset", "first_at", "second_at")
 
 
 def n_words(text: Column) -> Column:
@@ -57,15 +57,16 @@ def due(demand: Column, ramp: Column) -> Column:
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS,
-             ramps=RAMPS, share: float = SHARE, bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """A row for each document: its id, source, size, source_size, target, taken, first_at and second_at.
+             ramps=RAMPS, share: float = SHARE, bucket_bits: int = BUCKET_BITS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: its id, source, size, source_size, target, taken, first_words, first_at and second_at.
 
     taken counts the words of both passes; the last document of a source that is needed gives its first words only.
     first_at and second_at are the times of the passes, null where the document is not needed. A null text has no
     words and is never taken; a null source is a source of its own, after all others; repeated rows are taken one by
-    one. Other columns are left out: join them by id where they are needed.
+    one. Other columns are left out but for those of keep, which travel along.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    more = [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(F.col(id_col).alias(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *more)
     rows = rows.withColumns({"__key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "__hash": F.xxhash64(id_col)})
     rows = rows.withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - bucket_bits))
     sums = rows.groupBy("__key", "__bucket").agg(F.sum("size").alias("__sum"), F.first("source").alias("source"))
@@ -83,11 +84,27 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     first, second = part(F.lit(0)), part(F.col("source_size"))
     at = lambda words, passed: F.when(words > 0, due((offset + passed + words / 2) / wanted_words, F.col("ramp")))
     return placed.select(
-        F.col(id_col), "source", "size", "source_size", "target", (first + second).alias("taken"),
-        at(first, F.lit(0)).alias("first_at"), at(second, F.col("source_size")).alias("second_at"),
+        F.col(id_col), "source", "size", "source_size", "target", (first + second).alias("taken"), first.alias("first_words"),
+        at(first, F.lit(0)).alias("first_at"), at(second, F.col("source_size")).alias("second_at"), *more,
     )
 
 
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The corpus in training order: a row (id, source, pass, position, taken, size, source_size, target, text) for each
+    time a document is taken, sorted by ranges of position, its time in [0, 1].
+
+    The text is whole, or its first `taken` words where the last document of a source is taken in part. Documents that are
+    not needed have no row; repeated rows are documents of their own.
+    """
+    plan = schedule(docs, id_col, text_col=text_col, keep=(text_col,), **options)
+    turn = lambda n, words, at: F.struct(F.lit(n).alias("pass"), at.alias("position"), words.alias("taken"))
+    turns = F.array(turn(1, F.col("first_words"), F.col("first_at")), turn(2, F.col("taken") - F.col("first_words"), F.col("second_at")))
+    each = plan.select(F.col(id_col), "source", "size", "source_size", "target", F.col(f"`{text_col}`").alias("__text"), F.inline(F.filter(turns, lambda x: x["taken"] > 0)))
+    some = F.array_join(F.slice(F.regexp_extract_all("__text", F.lit(r"[^ \t-\r]+"), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
+    rows = each.select(F.col(id_col), "source", "pass", "position", "taken", "size", "source_size", "target", F.when(F.col("taken") < F.col("size"), some).otherwise(F.col("__text")).alias(text_col))
+    return rows.repartitionByRange("position", F.xxhash64(id_col)).sortWithinPartitions("position", F.xxhash64(id_col))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """schedule() sorted by ranges of the first time; documents that are not needed come last, in many ranges too."""
     first = F.col("first_at").asc_nulls_last()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import LOWER, UPPER, small_batches, space_words, table, utf8, without, written
+from toolweave.llm.common import LOWER, UPPER, fingerprint, small_batches, space_words, table, utf8, without, written
 from toolweave.llm.components import components
 
 HOT_COUNT = 48  # a token of more documents is frequent
@@ -344,7 +344,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     spark = docs.sparkSession
     small_batches(spark)
     hot = spark.sparkContext.broadcast(hot_tokens(docs, text_col, words, percent))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(F.col(text_col).cast("binary")).alias("print"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), fingerprint(text_col).alias("print"), F.col(text_col).alias("text"))
     sets = keyed.withColumn("s", _sets(words, percent, hot)("text")).select("doc", "print", "s.*")
     sets = written(sets, "sets")
 
@@ -427,7 +427,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     docs = without(docs, *(n for n in OUTPUTS if n not in (id_col, text_col)))
     names = docs.columns
     once = linked(docs, id_col, text_col, words, percent).groupBy("doc", "print").agg(*[F.min(c).alias(c) for c in OUTPUTS])
-    keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__print": F.crc32(F.col(text_col).cast("binary"))})
+    keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__print": fingerprint(text_col)})
     met = keyed.join(once, keyed["__doc"].eqNullSafe(once["doc"]) & keyed["__print"].eqNullSafe(once["print"]), "left")
     return met.select(*[keyed[f"`{c}`"] for c in names], *[once[c] for c in OUTPUTS])
 
@@ -446,7 +446,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     gone = written(gone.select("doc", "print").distinct(), "gone")
     if gone.count() * 32 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__print": F.crc32(F.col(text_col).cast("binary"))})
+    keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__print": fingerprint(text_col)})
     kept = keyed.join(gone, keyed["__doc"].eqNullSafe(gone["doc"]) & keyed["__print"].eqNullSafe(gone["print"]), "left_anti")
     if rows.groupBy("doc", "print").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["__doc", "__print"])
