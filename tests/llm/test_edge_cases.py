@@ -269,3 +269,11 @@ def test_html(spark):
         for inside in (0, 1):
             assert not html_text.decide(html_text.TREE, (50, 0.0, 30, 0.0, 30, 0.0, inside, 1, has))
     assert all(html_text.decide(html_text.TREE, (w, 0.0, b, l, 9, 0.0, 1, 0, 1)) for w in (1, 5, 500) for b in (0, 3, 80) for l in (0.0, 1.0))
+
+
+def test_unrelated_documents_of_one_id_stay(spark):
+    """Null ids, and one id of two texts: only what is linked is one group."""
+    rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (7, "red green blue cyan pink grey"), (7, "north south east west up down"), (8, "red green blue cyan pink grey"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(docs).collect())
+    assert kept == sorted((i or 0, t) for i, t in rows if i != 8)

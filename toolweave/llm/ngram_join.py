@@ -334,12 +334,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """A row (doc, print, n_shingles, class_doc, component_id) for each row of docs.
+    """A row (doc, print, n_shingles, class_doc, component_id, root) for each row of docs.
 
     print is a fingerprint of the text, class_doc the smallest id with the same set, component_id the smallest id
     reachable by links. Null, empty and blank texts have no shingles and are linked with nothing: their component is
     their own id. Repeated rows stay. A null id is never the smallest; a component without any id has a null
-    component_id.
+    component_id. root numbers the components, also those that ids don't tell apart; null without shingles.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -416,9 +416,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     placed = classes.select("cid", "digest", "doc").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
-    placed = placed.join(lowest, "root").select("digest", F.col("doc").alias("class_doc"), "component_id")
+    placed = placed.join(lowest, "root").select("digest", F.col("doc").alias("class_doc"), "component_id", "root")
     return sets.join(placed, "digest", "left").select(
-        "doc", "print", F.col("n").alias("n_shingles"), F.coalesce("class_doc", "doc").alias("class_doc"), F.coalesce("component_id", "doc").alias("component_id")
+        "doc", "print", F.col("n").alias("n_shingles"), F.coalesce("class_doc", "doc").alias("class_doc"), F.coalesce("component_id", "doc").alias("component_id"), "root"
     )
 
 
@@ -439,8 +439,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     BROADCAST_BYTES, else by a join on the id.
     """
     rows = written(linked(docs, id_col, text_col, words, percent), "linked")
-    first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "print")).alias("first"))
-    gone = rows.where("n_shingles > 0").join(first, rows.component_id.eqNullSafe(first.component_id)).where(
+    first = rows.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "print")).alias("first"))
+    gone = rows.where("n_shingles > 0").join(first, "root").where(
         ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("print") == F.col("first.print")))
     )
     gone = written(gone.select("doc", "print").distinct(), "gone")
