@@ -117,15 +117,36 @@ def _take_in(host: dict, guest: dict) -> None:
 
 
 def _by_chunk(observations: DataFrame, keys: list[str], order: str, fold) -> DataFrame:
-    """fold(rows in order) for each group; a group is what one chunk, of at most a few sentences, of one file gave."""
-
-    def run(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values(order).to_dict("records")
-        return pd.DataFrame(fold(rows), columns=list(pdf.columns)) if rows else pdf
-
-    return observations.groupBy(*keys).applyInPandas(run, observations.schema)
+    """fold(rows in order) for each group, of what one chunk of one file gave. Groups come one after another in a stream of
+    rows sorted by Spark; a task holds one group and the rows of one batch at a time. Null keys are a group."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, now, out, schema = [], None, [], None
+
+        def made():
+            columns = [pa.array([list(v.items()) if isinstance(v := r[f.name], dict) else v for r in out], f.type) for f in schema]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            schema = schema or batch.schema
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if held and key != now:
+                    out += fold(held)
+                    held = []
+                now = key
+                held.append(row)
+            if len(out) >= batch.num_rows:
+                yield made()
+                out.clear()
+        if held:
+            out += fold(held)
+        if out:
+            yield made()
+
+    return observations.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, observations.schema)
 
 
 def merge_same_chunk(observations: DataFrame, order: str, reference: str = "source_reference", file_col: str = "file_id") -> DataFrame:
