@@ -2,8 +2,10 @@
 
 Labelled outcomes of pages (bad or not) are counted by host, registered domain and suffix. Each level's rate of bad
 pages is shrunk towards the level above by a beta-binomial prior whose strength is fitted to the spread of that level's
-rates (method of moments). A page no rule covers is blocked when even the lower posterior bound of its host's rate lies
-above a limit. Hosts without outcomes inherit their domain's or suffix's posterior.
+rates (method of moments). A page no rule covers is blocked when even the lower posterior bound of its host's rate, a
+quantile of its beta distribution, lies above a limit. Hosts without outcomes inherit their domain's or suffix's posterior.
+User part and port don't count for a host's reputation; a registered domain is one label more than its suffix, which has
+two labels for the suffixes of a table; numeric addresses are domains of their own under one suffix.
 
 Everything is a grouped count (pre-aggregated) and equi-joins of narrow rows; only a few sums per level, never hosts,
 reach the driver.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from toolweave.llm.common import lower_ascii, table, without
 
@@ -25,7 +28,13 @@ RULES = (
     ("block", "net/fr/"),
 )
 LIMIT = 0.5
-BOUND_SDS = 1.645  # one-sided 95 %
+BOUND_SHARE = 0.05  # the bound is the quantile below which this share of the posterior lies
+BOUND_STEPS = 512
+# Suffixes of two labels under which names are registered; a fuller table is a parameter.
+SECOND_LEVEL = ("ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn",
+                "com.hk", "com.mx", "com.sg", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+NUMERIC = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
+NUMERIC_SUFFIX = "#"
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 OUTPUTS = ("host", "path", "rule", "verdict", "bad_rate", "bad_bound")
 
@@ -39,13 +48,54 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels of a host (no list of public suffixes is assumed)."""
-    return F.regexp_extract(host, r"([^.]+\.[^.]+)$|([^.]+)$", 0)
+def name_of(host: Column) -> Column:
+    """A host without user part, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"\.?(:[0-9]*)?$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*)$", 1)
+def suffix_of(name: Column, second_level=SECOND_LEVEL) -> Column:
+    """The last label of a name, or the last two where these are in second_level; one suffix for all numeric addresses."""
+    two = F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1)
+    return (F.when(name.rlike(NUMERIC), NUMERIC_SUFFIX).when(two.isin(*second_level) if second_level else F.lit(False), two)
+            .otherwise(F.regexp_extract(name, r"([^.]*)$", 1)))
+
+
+def domain_of(name: Column, second_level=SECOND_LEVEL) -> Column:
+    """The suffix and the label before it; numeric addresses whole."""
+    short, long = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
+    return F.when(name.rlike(NUMERIC), name).when(suffix_of(name, second_level).contains("."), long).otherwise(short)
+
+
+def beta_lower(a, b, share: float = BOUND_SHARE, steps: int = BOUND_STEPS):
+    """The quantile of Beta(a, b) below which the share lies, for numpy arrays of positive a and b.
+
+    The density is integrated by trapezoids over the log odds, where it is smooth, eight deviations about its mode; what
+    lies further down falls off as exp(a * log odds) and is added in closed form, likewise above.
+    """
+    import numpy as np
+
+    a, b = np.asarray(a, float)[:, None], np.asarray(b, float)[:, None]
+    mode, width = np.log(a / b), 8 * np.sqrt(1 / a + 1 / b)
+    odds = mode + width * np.linspace(-1, 1, steps + 1)
+    log = lambda u: a * u - (a + b) * np.logaddexp(0, u)
+    density = np.exp(log(odds) - log(mode))
+    step = 2 * width[:, 0] / steps
+    low, high = density[:, 0] / a[:, 0], density[:, -1] / b[:, 0]
+    below = low[:, None] + np.concatenate([np.zeros((len(a), 1)), np.cumsum((density[:, 1:] + density[:, :-1]) / 2 * step[:, None], axis=1)], axis=1)
+    sought = share * (below[:, -1] + high)
+    at = np.clip((below <= sought[:, None]).sum(axis=1) - 1, 0, steps - 1)
+    row = np.arange(len(a))
+    part = (sought - below[row, at]) / (below[row, at + 1] - below[row, at])
+    found = odds[row, at] + np.clip(part, 0, 1) * step
+    found = np.where(sought < low, odds[:, 0] + np.log(np.maximum(sought, 1e-300) / np.maximum(low, 1e-300)) / a[:, 0], found)
+    return np.exp(-np.logaddexp(0, -found))
+
+
+@F.arrow_udf(T.DoubleType())
+def _bound(a, b):
+    import pyarrow as pa
+
+    return pa.array(beta_lower(a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)))
 
 
 def rule_and_verdict(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -72,27 +122,32 @@ def _strength(counts: DataFrame) -> float:
     return MOST_STRENGTH if spread <= 0 else min(MOST_STRENGTH, max(LEAST_STRENGTH, noise / spread - 1))
 
 
-def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """hosts: distinct (host). outcomes: (host, bad boolean). Returns host, bad_rate and bad_bound."""
+def reputations(hosts: DataFrame, outcomes: DataFrame, second_level=SECOND_LEVEL) -> DataFrame:
+    """hosts: distinct (host). outcomes: (host, bad boolean). Returns host, bad_rate and bad_bound.
+
+    Joins are by name, domain and suffix with counts of one row a key; a key that most hosts share (com) is split by the
+    session's adaptive skew handling, or met by broadcast where the counts are small.
+    """
+    levels = lambda df: df.withColumn("name", name_of(F.col("host"))).withColumns(
+        {"domain": domain_of(F.col("name"), second_level), "suffix": suffix_of(F.col("name"), second_level)})
     by_host = outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.count(F.when(F.col("bad"), 1)).cast("double").alias("k"))
-    keyed = by_host.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    total = lambda *keys: keyed.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    by_domain, by_suffix = total("domain"), total("suffix")
+    keyed = levels(by_host)
+    counts = {key: keyed.groupBy(key).agg(F.sum("n").alias("n"), F.sum("k").alias("k")) for key in ("suffix", "domain", "name")}
     every = keyed.agg(F.sum("n"), F.sum("k")).first()
     n, k = float(every[0] or 0), float(every[1] or 0)
     prior = F.lit((k + 1) / (n + 2))
-    strengths = [_strength(x) for x in (by_suffix, by_domain, by_host)]
-    rows = hosts.select("host").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    for (counts, key), strength in zip(((by_suffix, "suffix"), (by_domain, "domain"), (by_host, "host")), strengths):
-        rows = rows.join(counts.select(key, F.col("n").alias(f"n_{key}"), F.col("k").alias(f"k_{key}")), key, "left")
+    rows = levels(hosts.select("host"))
+    for key, seen in counts.items():
+        strength = _strength(seen)
+        rows = rows.join(seen.select(key, F.col("n").alias(f"n_{key}"), F.col("k").alias(f"k_{key}")), key, "left")
         a = F.coalesce(f"k_{key}", F.lit(0.0)) + strength * prior
         size = F.coalesce(f"n_{key}", F.lit(0.0)) + strength
         prior = a / size
-    sd = F.sqrt(prior * (1 - prior) / (size + 1))
-    return rows.select("host", F.round(prior, 6).alias("bad_rate"), F.round(F.greatest(F.lit(0.0), prior - BOUND_SDS * sd), 6).alias("bad_bound"))
+    return rows.select("host", F.round(prior, 6).alias("bad_rate"), F.round(_bound(a, size - a), 6).alias("bad_bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = LIMIT,
+          second_level=SECOND_LEVEL) -> DataFrame:
     """pages with host, path, rule, verdict, bad_rate and bad_bound. outcomes: (id, bad), one or more for a page.
 
     A null url, or one without ://, has an empty host and path; such pages share one reputation. Outcomes of unknown
@@ -105,7 +160,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     placed = pages.withColumns({"__host": host, "__path": path})
     seen = placed.select(F.col(id_col).cast("long").alias("id"), F.col("__host").alias("host"))
     known = seen.join(outcomes.select(F.col("id").cast("long").alias("id"), "bad").where("bad is not null"), "id")
-    rated = reputations(seen.select("host").distinct(), known)
+    rated = reputations(seen.select("host").distinct(), known, second_level)
     met = placed.join(rated, placed["__host"] == rated["host"], "left")
     rule, verdict = rule_and_verdict(F.col("__host"), F.col("__path"), rules)
     method = F.when(F.col("bad_bound") > limit, "block").otherwise("allow")
@@ -137,12 +192,26 @@ ORACLE_SQL = rf"""
 WITH placed AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-named AS (SELECT *, regexp_extract(host, '([^.]+\.[^.]+)$|([^.]+)$', 0) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix FROM placed),
-hosts AS (SELECT DISTINCT host, domain, suffix FROM named),
+split AS (
+  SELECT *, string_split(name, '.') AS parts, regexp_full_match(name, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\[.*\]') AS numeric
+  FROM (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM placed)),
+named AS (
+  SELECT page_id, host, path, name, CASE WHEN numeric THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+    CASE WHEN numeric THEN '#' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix
+  FROM (SELECT *, array_to_string(parts[-2:], '.') IN {SECOND_LEVEL} AS two FROM split)),
+hosts AS (SELECT DISTINCT host, name, domain, suffix FROM named),
 counted AS (
-  SELECT host, domain, suffix, count(*)::DOUBLE AS n, count(*) FILTER (WHERE quality = 0 OR toxic = 1)::DOUBLE AS k
+  SELECT name, domain, suffix, count(*)::DOUBLE AS n, count(*) FILTER (WHERE quality = 0 OR toxic = 1)::DOUBLE AS k
   FROM named JOIN labels ON doc_id = page_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY ALL),
-every AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS prior FROM counted),{_level_sql("suffix", "(SELECT prior FROM every)")},{_level_sql("domain", "h.p_suffix")},{_level_sql("host", "h.p_domain")},
+every AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS prior FROM counted),{_level_sql("suffix", "(SELECT prior FROM every)")},{_level_sql("domain", "h.p_suffix")},{_level_sql("name", "h.p_domain")},
+shapes AS (
+  SELECT a, b, abs(ln(a / b)) + 12 * sqrt(1 / a + 1 / b) + 30 / least(a, b) AS wide
+  FROM (SELECT DISTINCT p_name * size_name AS a, (1 - p_name) * size_name AS b FROM name_level)),
+points AS (SELECT a, b, i, wide * i / 8000 AS u FROM shapes, (SELECT unnest(range(-8000, 8001)) AS i)),
+masses AS (
+  SELECT a, b, i, exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - a * ln(a / (a + b)) - b * ln(b / (a + b))) AS f FROM points),
+below_half AS (SELECT a, b, sum(f * CASE WHEN i < 0 THEN 1 WHEN i = 0 THEN 0.5 ELSE 0 END) / sum(f) AS share FROM masses GROUP BY a, b),
+bounds AS (SELECT host, share FROM name_level JOIN below_half ON a = p_name * size_name AND b = (1 - p_name) * size_name),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -151,6 +220,6 @@ ruled AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM placed)
 SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN round(greatest(0, p_host - 1.645 * sqrt(p_host * (1 - p_host) / (size_host + 1))), 6) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled r JOIN host_level USING (host)
+  WHEN share < 0.05 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r JOIN bounds USING (host)
 """
