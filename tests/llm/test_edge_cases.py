@@ -82,6 +82,20 @@ def test_decontaminate_in_blocks(spark):
         assert {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find(d, b, block_windows=most).collect()} == want
 
 
+def test_tables_of_several_blocks_are_built_once_a_task(spark, odd, clashing):
+    b = spark.createDataFrame([(k, " ".join(f"b{k}x{i}" for i in range(60))) for k in range(8)], "item_id long, text string")
+    d = spark.range(0, 6000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("q "), F.when(F.col("id") % 3 == 0, " ".join(f"b1x{i}" for i in range(20))).otherwise("r")).alias("text"))
+    built = spark.sparkContext.accumulator(0)
+    found = decontaminate.find(d, b, block_windows=120, built=built)
+    before = built.value
+    rows = found.collect()
+    blocks = -(-8 * 48 // 120)
+    assert 0 < built.value and before <= 2 * 4 * blocks and built.value - before <= 2  # two tasks a block, three batches a task
+    assert {r.n_hit for r in rows if r.doc_id % 3 == 0} == {20} and {r.n_hit for r in rows if r.doc_id % 3} == {0} and len(rows) == 6000
+    few = decontaminate.find(clashing, b, block_windows=50)
+    assert few.count() == odd.count() and not any(r.contaminated for r in few.collect())
+
+
 def _words(rng, n, kinds):
     return [f"{rng.choice('abcdefgh')}{rng.randrange(kinds)}" for _ in range(n)]
 

@@ -5,21 +5,23 @@ share a search table. A table's shift map is keyed by blocks of two words: a blo
 search jump over eleven positions, a block at a pattern's end selects the bucket of patterns with that suffix, and
 comparison of the words confirms an occurrence. The documents are read once, and nothing is shuffled.
 
-The windows reach the executors as broadcasts of at most BLOCK_WINDOWS windows each; a larger benchmark is
-searched in several such blocks, one after another over the same rows, and the findings are united per row. A worker
-keeps the search table of one block at a time.
+The windows reach the executors as broadcasts of at most BLOCK_WINDOWS windows each, and a worker keeps the search table
+of one block at a time. Of a larger benchmark the first block is searched where the rows lie; each further block is
+searched by tasks of its own, which build its table once and keep only the texts that hold some of it. These findings
+meet the rows by the text's digest.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toolweave.llm.common import alnum_words, small_batches, table, utf8, without
+from toolweave.llm.common import alnum_words, small_batches, table, utf8, without, written
 
 WINDOW = 13
 PER_MILLE_LIMIT = 50  # contaminated from 5 % of a document's words
@@ -83,8 +85,10 @@ def tables_of(windows: list[tuple[str, str]]) -> list[WuManber]:
 _ready: dict[str, list[WuManber]] = {}
 
 
-def _tables(name: str, block) -> list[WuManber]:
+def _tables(name: str, block, built=None) -> list[WuManber]:
     if name not in _ready:
+        if built is not None:
+            built.add(1)
         _ready.clear()
         _ready[name] = tables_of(block.value)
     return _ready[name]
@@ -112,6 +116,8 @@ def _blocks(windows: DataFrame, most: int):
     """Lists of windows of at most `most` each, by hash of the window, so that each block has whole windows."""
     total = windows.count()
     parts = max(1, -(-total // most))
+    if parts > 1:
+        windows = written(windows, "windows")  # cut once, read by each block
     while parts > 1:
         sizes = windows.groupBy(F.pmod(F.xxhash64("window"), F.lit(parts)).alias("p")).count()
         if sizes.agg(F.max("count")).first()[0] <= most:
@@ -123,51 +129,72 @@ def _blocks(windows: DataFrame, most: int):
             yield [(r["item"], r["window"]) for r in rows]
 
 
+def _searcher(spark: SparkSession, windows: list[tuple[str, str]], built=None):
+    """A column function text -> FOUND for one block of windows. built: an accumulator that counts tables made."""
+    block, name = spark.sparkContext.broadcast(windows), uuid.uuid4().hex
+
+    @F.arrow_udf(FOUND)
+    def search(text):
+        import pyarrow as pa
+
+        counts, hits, names = [], [], []
+        for data in utf8(text):
+            words = alnum_words(data)
+            covered, items = set(), set()
+            for t in _tables(name, block, built):
+                for first, pattern in t.search(words):
+                    covered.update(range(first, first + t.length))
+                    items.update(t.patterns[pattern])
+            counts.append(len(words))
+            hits.append(sorted(covered))
+            names.append(sorted(items))
+        return pa.StructArray.from_arrays(
+            [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
+            ["n_words", "hits", "items"],
+        )
+
+    return search
+
+
+def _further(texts: DataFrame, blocks, built) -> DataFrame | None:
+    """(digest, more) for the texts that hold windows of these blocks: their hits and items, an entry a block."""
+    parts = []
+    for k, windows in enumerate(blocks):
+        search = _searcher(texts.sparkSession, windows, built).asNondeterministic()  # a filter on it must not run it twice
+        found = texts.select(F.sha2("text", 256).alias("__text"), search("text").alias("f")).where(F.size("f.items") > 0)
+        parts.append(found.select("__text", F.lit(k).alias("block"), "f.hits", "f.items"))
+    if not parts:
+        return None
+    each = written(reduce(DataFrame.unionAll, parts), "block_findings")
+    once = each.groupBy("__text", "block").agg(F.first(F.struct("hits", "items")).alias("f"))  # copies of a text agree
+    return once.groupBy("__text").agg(F.collect_list("f").alias("__more"))
+
+
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW,
-         block_windows: int = BLOCK_WINDOWS, item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+         block_windows: int = BLOCK_WINDOWS, item_text: str = "text", item_id: str = "item_id", built=None) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted), hit_words (covered word positions, ascending) and contaminated.
 
     Null and empty texts have no words and are never contaminated. An item without words has no window. Rows are
-    neither dropped nor merged; input columns named like an output are replaced.
+    neither dropped nor merged; input columns named like an output are replaced. built: an accumulator that counts the
+    search tables made.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = without(docs, *(n for n in OUTPUTS if n != text_col))
     kept = docs.columns
-    found = []
-    for k, windows in enumerate(_blocks(windows_of(items, item_id, item_text, window), block_windows)):
-        block = spark.sparkContext.broadcast(windows)
-
-        @F.arrow_udf(FOUND)
-        def search(text, block=block, name=uuid.uuid4().hex):
-            import pyarrow as pa
-
-            counts, hits, names = [], [], []
-            for data in utf8(text):
-                words = alnum_words(data)
-                covered, items = set(), set()
-                for t in _tables(name, block):
-                    for first, pattern in t.search(words):
-                        covered.update(range(first, first + t.length))
-                        items.update(t.patterns[pattern])
-                counts.append(len(words))
-                hits.append(sorted(covered))
-                names.append(sorted(items))
-            return pa.StructArray.from_arrays(
-                [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-                ["n_words", "hits", "items"],
-            )
-
-        docs = docs.withColumn(f"__found{k}", search(F.col(text_col)))
-        found.append(f"__found{k}")
-    if len(found) == 1:
-        hits, names = F.col("__found0.hits"), F.col("__found0.items")
+    blocks = _blocks(windows_of(items, item_id, item_text, window), block_windows)
+    rows = docs.withColumn("__found", _searcher(spark, next(blocks), built)(F.col(text_col)))
+    more = _further(docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL"), blocks, built)
+    if more is None:
+        hits, names = F.col("__found.hits"), F.col("__found.items")
     else:
-        union = lambda part: F.sort_array(F.array_distinct(F.flatten(F.array(*[F.col(f"{f}.{part}") for f in found]))))
+        rows = rows.withColumn("__digest", F.sha2(text_col, 256)).join(more, F.col("__digest") == more["__text"], "left")
+        union = lambda part: F.sort_array(F.array_distinct(F.concat(
+            F.col(f"__found.{part}"), F.coalesce(F.flatten(F.col(f"__more.{part}")), F.col(f"__found.{part}")))))
         hits, names = union("hits"), union("items")
-    n_words = F.col("__found0.n_words")
+    n_words = F.col("__found.n_words")
     n_hit = F.size(hits).cast("long")
-    return docs.select(
+    return rows.select(
         *[F.col(f"`{c}`") for c in kept],
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
