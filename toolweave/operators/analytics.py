@@ -116,8 +116,7 @@ def fault_timeline(faults: DataFrame, n: int | None = None) -> DataFrame:
 
 def state_transitions(states: DataFrame, n: int | None = 10) -> DataFrame:
     """(transition, n): how often one state follows another."""
-    pair = F.concat(_named("prev_state", EMPTY_STATE), F.lit(" → "), _named("curr_state", EMPTY_STATE))
-    return _top(states.groupBy(pair.alias("transition")).agg(F.count(F.lit(1)).alias("n")), n, (F.desc("n"), F.asc("transition")))
+    return _top(states.groupBy(_transition().alias("transition")).agg(F.count(F.lit(1)).alias("n")), n, (F.desc("n"), F.asc("transition")))
 
 
 def severity_count(rows: DataFrame) -> DataFrame:
@@ -125,18 +124,47 @@ def severity_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.upper("severity").isin(*vocab.DASHBOARD_SEVERE)).alias("n"))
 
 
-def insight_cards(cards: dict[str, tuple[DataFrame, dict[str, tuple[str, str]]]]) -> DataFrame:
-    """(table_name, card, text) for tables and their cards name -> (top | avg | distinct, column)."""
+def _transition() -> Column:
+    return F.concat(_named("prev_state", EMPTY_STATE), F.lit(" → "), _named("curr_state", EMPTY_STATE))
+
+
+def _measure(kind: str, column: str, digits: int) -> tuple[Column, Column]:
+    """Text and count of a card that isn't a most frequent value."""
+    if kind == "avg":
+        mean = F.avg(to_finite(F.col(column)))
+        return F.when(mean.isNotNull(), F.format_string(f"%.{digits}f", mean)), F.count(to_finite(F.col(column)))
+    if kind == "severe":
+        return F.count_if(F.upper(column).isin(*vocab.DASHBOARD_SEVERE)).cast("string"), F.count(F.lit(1))
+    return F.count_distinct(F.when(F.col(column).cast("string") != "", F.col(column))).cast("string"), F.count(F.lit(1))
+
+
+def insight_cards(cards: dict[str, tuple[DataFrame, dict[str, tuple]]]) -> DataFrame:
+    """(table_name, card, text, n) for tables and their cards name -> (kind, column[, digits]).
+
+    Kinds: top, the most frequent value and how often it occurs (of equals the smallest); transition, the same for pairs of
+    states; avg, the mean of the finite values and their number; distinct and severe, how many different or severe values
+    there are and the number of rows. A card without values says N/A. A table is read twice whatever its number of cards:
+    once for all its values' counts, once for the other cards.
+    """
     out = []
     for name, (rows, wanted) in cards.items():
-        for card, (kind, column) in wanted.items():
-            if kind == "top":
-                made = top_counts(rows, column, 1).select(F.col("name").alias("text"))
-            elif kind == "avg":
-                made = rows.agg(F.format_string("%.2f", F.avg(to_finite(F.col(column)))).alias("text"))
-            else:
-                made = rows.agg(F.count_distinct(F.when(F.col(column).cast("string") != "", F.col(column))).cast("string").alias("text"))
-            out.append(made.select(F.lit(name).alias("table_name"), F.lit(card).alias("card"), "text"))
+        kinds = {card: (spec[0], spec[1], spec[2] if len(spec) > 2 else 2) for card, spec in wanted.items()}
+        tops = {card: _transition() if kind == "transition" else _named(column) for card, (kind, column, _) in kinds.items() if kind in ("top", "transition")}
+        rest = {card: _measure(*spec) for card, spec in kinds.items() if card not in tops}
+        pieces = []
+        if tops:
+            each = rows.select(F.inline(F.array(*[F.struct(F.lit(card).alias("card"), value.alias("name")) for card, value in tops.items()])))
+            counted = each.groupBy("card", "name").agg(F.count(F.lit(1)).alias("n"))
+            of = lambda card, c: F.when(F.col("card") == card, c)
+            best = [F.min_by(of(card, F.struct("name", "n")), of(card, F.struct((-F.col("n")).alias("less"), F.col("name")))).alias(f"top{i}") for i, card in enumerate(tops)]
+            pieces.append((counted.agg(*best), [(card, F.col(f"top{i}.name"), F.col(f"top{i}.n")) for i, card in enumerate(tops)]))
+        if rest:
+            made = [c.alias(f"{part}{i}") for i, pair in enumerate(rest.values()) for part, c in zip(("text", "n"), pair)]
+            pieces.append((rows.agg(*made), [(card, F.col(f"text{i}"), F.col(f"n{i}")) for i, card in enumerate(rest)]))
+        for one, shown in pieces:
+            out.append(one.select(F.inline(F.array(*[F.struct(
+                F.lit(name).alias("table_name"), F.lit(card).alias("card"), F.coalesce(text, F.lit(EMPTY_STATE)).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+                for card, text, n in shown]))))
     return reduce(DataFrame.unionByName, out)
 
 

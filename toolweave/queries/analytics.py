@@ -9,7 +9,34 @@ from .tables import READINGS_SQL, files, readings, states, table
 
 R = f"WITH r AS ({READINGS_SQL})"
 NAMED = lambda c, empty="Unknown": f"CASE WHEN {c} IS NULL OR {c} = '' THEN '{empty}' ELSE {c} END"
-READING_CARDS = {"top_tool": ("top", "tool_id"), "top_step": ("top", "step"), "avg_value": ("avg", "value"), "steps": ("distinct", "step")}
+CARDS = {
+    "equipment_states": {"top_tool": ("top", "tool_id"), "top_transition": ("transition", None), "top_state": ("top", "curr_state"), "severe_rows": ("severe", "severity")},
+    "process_parameters_recipes": {"top_recipe": ("top", "recipe"), "top_parameter": ("top", "parameter"), "avg_value": ("avg", "value"), "steps": ("distinct", "step")},
+    "sensor_readings": {"top_parameter": ("top", "parameter"), "top_step": ("top", "step"), "avg_value": ("avg", "value"), "top_tool": ("top", "tool_id")},
+    "fault_events": {"top_code": ("top", "fault_code"), "top_severity": ("top", "severity"), "top_step": ("top", "step"), "top_tool": ("top", "tool_id")},
+    "wafer_processing_sequences": {"top_step": ("top", "step"), "top_status": ("top", "status"), "avg_duration": ("avg", "duration_s", 1), "wafers": ("distinct", "wafer")},
+}
+
+
+def _card_rows(spark, d):
+    """Each card table's rows: all events as readings and as process rows, errors as faults, purchases as wafer steps, orders as states."""
+    r, k = readings(spark, d), F.col("event_id")
+    numbered = lambda letter, n: F.concat(F.lit(letter), (k % n).cast("string"))
+    order = F.col("o_orderkey")
+    return {
+        "equipment_states": states(spark, d).withColumns({
+            "tool_id": F.concat(F.lit("T"), (order % 17).cast("string")),
+            "severity": F.when(order % 3 == 0, "Warn").when(order % 3 == 1, "INFO")}),
+        "process_parameters_recipes": r.withColumn("recipe", F.when(k % 6 == 0, "").otherwise(numbered("R", 6))),
+        "sensor_readings": r,
+        "fault_events": r.where("parameter = 'error'").withColumn("fault_code", numbered("A", 9)),
+        "wafer_processing_sequences": r.where("parameter = 'purchase'").withColumns({"wafer": F.when(k % 5 != 0, numbered("W", 25)), "duration_s": F.col("value")}),
+    }
+
+
+def _cards(spark, d):
+    rows = _card_rows(spark, d)
+    return a.insight_cards({name: (rows[name], wanted) for name, wanted in CARDS.items()})
 
 
 def _faults(spark, d):
@@ -35,11 +62,7 @@ QUERIES = {
     "fault_timeline": lambda s, d: a.fault_timeline(_faults(s, d)),
     "state_transitions": lambda s, d: a.state_transitions(states(s, d)),
     "severity_count": lambda s, d: a.severity_count(readings(s, d)),
-    "insight_cards": lambda s, d: a.insight_cards({
-        "sensor_readings": (readings(s, d), READING_CARDS),
-        "fault_events": (_faults(s, d), {"top_tool": ("top", "tool_id"), "severities": ("distinct", "severity")}),
-        "equipment_states": (states(s, d), {"top_state": ("top", "curr_state")}),
-    }),
+    "insight_cards": _cards,
     "row_sample": lambda s, d: a.row_sample(readings(s, d), "event_id").select("event_id", "tool_id", "parameter"),
 }
 
@@ -63,13 +86,26 @@ ORACLES = {
     "state_transitions": """SELECT coalesce(p, 'N/A') || ' → ' || c AS transition, count(*) AS n FROM (
         SELECT o_orderstatus AS c, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) GROUP BY 1 ORDER BY n DESC, transition LIMIT 10""",
     "severity_count": f"{R} SELECT count(*) FILTER (WHERE upper(severity) IN ('WARN', 'ERROR', 'CRITICAL', 'ALARM')) AS n FROM r",
-    "insight_cards": f"""{R}, f AS (SELECT * FROM r WHERE parameter = 'error')
-        SELECT 'sensor_readings' AS table_name, 'top_tool' AS card, (SELECT tool_id FROM r GROUP BY 1 ORDER BY count(*) DESC, tool_id LIMIT 1) AS text
-        UNION ALL SELECT 'sensor_readings', 'top_step', (SELECT {NAMED('step')} FROM r GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-        UNION ALL SELECT 'sensor_readings', 'avg_value', (SELECT printf('%.2f', avg(x)) FROM r)
-        UNION ALL SELECT 'sensor_readings', 'steps', (SELECT CAST(count(DISTINCT nullif(step, '')) AS VARCHAR) FROM r)
-        UNION ALL SELECT 'fault_events', 'top_tool', (SELECT tool_id FROM f GROUP BY 1 ORDER BY count(*) DESC, tool_id LIMIT 1)
-        UNION ALL SELECT 'fault_events', 'severities', (SELECT CAST(count(DISTINCT nullif(severity, '')) AS VARCHAR) FROM f)
-        UNION ALL SELECT 'equipment_states', 'top_state', (SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
+    "insight_cards": f"""{R},
+        e AS (SELECT *, 'T' || CAST(k % 17 AS VARCHAR) AS tool_id, CASE k % 3 WHEN 0 THEN 'Warn' WHEN 1 THEN 'INFO' END AS severity,
+          coalesce(p, 'N/A') || ' → ' || c AS pair FROM (SELECT o_orderkey AS k, o_orderstatus AS c, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)),
+        p AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN '' ELSE 'R' || CAST(event_id % 6 AS VARCHAR) END AS recipe FROM r),
+        f AS (SELECT *, 'A' || CAST(event_id % 9 AS VARCHAR) AS fault_code FROM r WHERE parameter = 'error'),
+        w AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN 'W' || CAST(event_id % 25 AS VARCHAR) END AS wafer FROM r WHERE parameter = 'purchase'),
+        tops AS ({" UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, '{card}' AS card, {NAMED(column)} AS text, count(*) AS n FROM {rows} GROUP BY 3"
+            for t, rows, cards in (("equipment_states", "e", (("top_tool", "tool_id"), ("top_transition", "pair"), ("top_state", "c"))),
+                                   ("process_parameters_recipes", "p", (("top_recipe", "recipe"), ("top_parameter", "parameter"))),
+                                   ("sensor_readings", "r", (("top_parameter", "parameter"), ("top_step", "step"), ("top_tool", "tool_id"))),
+                                   ("fault_events", "f", (("top_code", "fault_code"), ("top_severity", "severity"), ("top_step", "step"), ("top_tool", "tool_id"))),
+                                   ("wafer_processing_sequences", "w", (("top_step", "step"), ("top_status", "status"))))
+            for card, column in cards)})
+        SELECT * FROM tops QUALIFY row_number() OVER (PARTITION BY table_name, card ORDER BY n DESC, text) = 1
+        UNION ALL SELECT 'equipment_states', 'severe_rows', CAST(count(*) FILTER (WHERE severity = 'Warn') AS VARCHAR), count(*) FROM e
+        UNION ALL SELECT 'process_parameters_recipes', 'avg_value', printf('%.2f', avg(x)), count(x) FROM p
+        UNION ALL SELECT 'process_parameters_recipes', 'steps', CAST(count(DISTINCT nullif(step, '')) AS VARCHAR), count(*) FROM p
+        UNION ALL SELECT 'sensor_readings', 'avg_value', printf('%.2f', avg(x)), count(x) FROM r
+        UNION ALL SELECT 'wafer_processing_sequences', 'avg_duration', printf('%.1f', avg(x)), count(x) FROM w
+        UNION ALL SELECT 'wafer_processing_sequences', 'wafers', CAST(count(DISTINCT wafer) AS VARCHAR), count(*) FROM w""",
     "row_sample": f"{R} SELECT event_id, tool_id, parameter FROM r ORDER BY event_id LIMIT 50",
 }

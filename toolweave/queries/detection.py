@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITESPACE
 from ..operators import detect as dt
 from .nested import conversations
-from .tables import table
+from .tables import dealt, table
 
 KINDS = 8
 
@@ -30,14 +30,14 @@ def bodies(s, d):
     ]
     text = F.get(F.array(*texts), (k % KINDS).cast("int"))
     ext = F.get(F.array(*[F.lit(x) for x in (".json", ".dat", ".log")]), (k % 3).cast("int"))
-    return table(s, d, "events").select("event_id", ext.alias("extension"), text.alias("text"))
+    return dealt(s, d, "events").select("event_id", ext.alias("extension"), text.alias("text"))
 
 
 def texts(s, d):
     """The given texts as files, with the extensions they may have."""
     one = lambda family, rows, ext: rows.select(F.lit(family).alias("family"), F.col(rows.columns[0]).cast("long").alias("id"), F.lit(ext).alias("extension"), F.col(rows.columns[1]).alias("text"))
     return one("document", table(s, d, "documents").select("doc_id", "text"), ".csv").unionByName(one("page", table(s, d, "pages").select("page_id", "html"), ".xml")).unionByName(
-        one("conversation", conversations(s, d), ".json")).unionByName(one("props", table(s, d, "events").select("event_id", "props"), ".log"))
+        one("conversation", conversations(s, d), ".json")).unionByName(one("props", dealt(s, d, "events").select("event_id", "props"), ".log"))
 
 
 def plain_texts(s, d):
@@ -108,7 +108,8 @@ ORACLES = {
           SELECT *, trim(text, {SPACE}) AS body, list_transform(lines, lambda x: trim(x, {SPACE})) AS b FROM judged),
         n AS (SELECT *, greatest(3, len(b) // 3) AS enough, len(list_filter(b, lambda x: regexp_matches(x, '{dt.vocab.SYSLOG_LINE}'))) AS syslog, len(list_filter(b, lambda x: regexp_matches(x, '{dt.vocab.KV_LINE}'))) AS kv,
           CASE WHEN body <> '' THEN 1 - length(regexp_replace(body, '[0-9a-fA-F 
-	:]+', '', 'g')) / length(body) ELSE 0 END AS dump FROM v),
+
+	:]+', '', 'g')) / length(body) ELSE 0 END AS dump FROM v),
         f AS (SELECT family, id, CASE WHEN delimited AND family = 'document' THEN 'csv' WHEN printable < 0.9 THEN 'opaque_binary' WHEN delimited THEN 'csv' WHEN body = '' THEN 'empty_text' WHEN syslog >= enough THEN 'syslog_like_text'
           WHEN kv >= enough THEN 'key_value_text' WHEN dump > 0.95 THEN 'hex_dump_text' ELSE 'free_text_log' END AS format_guess FROM n)
         SELECT family, id, format_guess, CASE format_guess WHEN 'csv' THEN 0.95 WHEN 'opaque_binary' THEN 0.9 WHEN 'empty_text' THEN 0.6 WHEN 'syslog_like_text' THEN 0.88 WHEN 'key_value_text' THEN 0.86 WHEN 'hex_dump_text' THEN 0.78 ELSE 0.7 END::DOUBLE AS confidence FROM f

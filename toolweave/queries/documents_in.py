@@ -10,13 +10,13 @@ from ..operators import ingest as ig
 from ..operators import prose as pr
 from ..operators import tables_in as ti
 from .records import ordered_bag
-from .tables import table
+from .tables import dealt, table
 
 K = "event_id"
 
 
 def events(s, d):
-    return table(s, d, "events")
+    return dealt(s, d, "events")
 
 
 def bag(s, d):

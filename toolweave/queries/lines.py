@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lines as ln
-from .tables import table
+from .tables import dealt, table
 
 def log_lines(spark, d):
     """file_id, line_no, text: a file a user, its events in time order; the layout goes by the event."""
@@ -33,7 +33,7 @@ def kinds(s, d):
 def segments(s, d):
     """Blocks of lines: a line of every fifth event starts one."""
     k = F.col("event_id")
-    rows = table(s, d, "events").select((F.col("user_id") % 40).alias("file_id"), k.alias("line_no"),
+    rows = dealt(s, d, "events").select((F.col("user_id") % 40).alias("file_id"), k.alias("line_no"),
                                         F.when(k % 5 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" start"))).otherwise(F.concat(F.lit("  more "), k.cast("string"))).alias("text"))
     return ln.segment_records(rows, "timestamp", stretch=700)
 
@@ -43,7 +43,7 @@ def layouts(s, d):
     kind = (F.col("user_id") % 30) % 3
     timed = F.array(F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" start")), F.lit(" more"), F.lit(""))
     parts = F.when(kind == 1, timed).when(kind == 2, F.array(F.lit("a"), F.lit("b"), F.lit(" "))).otherwise(F.array(F.lit("a")))
-    rows = table(s, d, "events").select((F.col("user_id") % 30).alias("file_id"), "event_id", F.posexplode(parts).alias("i", "text"))
+    rows = dealt(s, d, "events").select((F.col("user_id") % 30).alias("file_id"), "event_id", F.posexplode(parts).alias("i", "text"))
     return rows.select("file_id", (F.col("event_id") * 3 + F.col("i")).alias("line_no"), "text")
 
 
@@ -51,20 +51,20 @@ def blocks(s, d):
     k = F.col("event_id").cast("string")
     text = F.concat(F.lit("2024-01-01T00:00:01 Machine:M"), k, F.lit(" (LOT a)\nSYSTEM WARNING: ER-"), k, F.lit(" HOT_PLATE\n>> temp=5 reason=x\n>> code="), k, F.lit("\nfree text"))
     b = ln.context_block(F.when(F.col("event_id") % 3 == 0, "no header").otherwise(text))
-    return table(s, d, "events").select("event_id", b["tool_id"].alias("tool_id"), b["event_prefix"].alias("event_prefix"), b["event_code"].alias("event_code"), b["payload"]["code"].alias("code"))
+    return dealt(s, d, "events").select("event_id", b["tool_id"].alias("tool_id"), b["event_prefix"].alias("event_prefix"), b["event_code"].alias("event_code"), b["payload"]["code"].alias("code"))
 
 
 def kinds_of_files(s, d):
     """Lines of files of one kind each: pairs, labels, plain words."""
     kind = F.col("user_id") % 3
     text = F.when(kind == 0, F.concat(F.lit("a=1 b="), F.col("event_id").cast("string"))).when(kind == 1, F.concat(F.lit("label: "), F.col("event_type"))).otherwise("nothing to see")
-    return table(s, d, "events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("line_no"), text.alias("text"))
+    return dealt(s, d, "events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("line_no"), text.alias("text"))
 
 
 def labelled(s, d):
     """A record of labelled lines with a pair and a word between; a label that comes twice counts last."""
     text = F.concat(F.lit("tool: T"), F.col("user_id").cast("string"), F.lit("\nstatus : "), F.col("event_type"), F.lit("\nfree words k=7\nvalue: 1\nvalue: \""), F.round("value", 2).cast("string"), F.lit("\""))
-    return table(s, d, "events").select("event_id", ln.extract_kv(text).alias("f"), ln.message_of(text).alias("message"))
+    return dealt(s, d, "events").select("event_id", ln.extract_kv(text).alias("f"), ln.message_of(text).alias("message"))
 
 
 def coverage(s, d):

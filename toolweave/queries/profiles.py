@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..operators import profile as p
 from .nested import control_jobs, conversations, customers
-from .tables import table
+from .tables import dealt, table
 
 K = "event_id"
 
 
 def docs(s, d):
     named = lambda family, rows: rows.select(F.lit(family).alias("family"), F.col(rows.columns[0]).cast("long").alias("id"), F.col(rows.columns[1]).alias("text"))
-    wrapped = table(s, d, "events").select(K, F.concat(F.lit('{"events":['), F.col("props"), F.lit(',{"k":"'), F.col("event_type"), F.lit('"}]}')))
+    wrapped = dealt(s, d, "events").select(K, F.concat(F.lit('{"events":['), F.col("props"), F.lit(',{"k":"'), F.col("event_type"), F.lit('"}]}')))
     return named("customer", customers(s, d)).unionByName(named("conversation", conversations(s, d))).unionByName(named("event", wrapped))
 
 
@@ -51,7 +51,7 @@ QUERIES = {
     "suggest_mappings": lambda s, d: p.suggest_mappings(profiled(s, d), "family").select("family", "field", F.array_join("paths", ",").alias("paths"), "confidence"),
     "prune_structure": lambda s, d: p.prune_structure(spec(s, d), profiled(s, d), "family").select("c_custkey", "path"),
     "uncovered_paths": lambda s, d: p.uncovered_paths(p.leaf_rows(customers(s, d)), groups(s, d), "id"),
-    "parse_observations": lambda s, d: p.parse_observations(table(s, d, "events").select(K, F.when(F.col(K) % 3 == 0, F.concat(F.lit('{"records":['), F.col("props"), F.lit(",1,"), F.col("props"), F.lit("]}"))).when(
+    "parse_observations": lambda s, d: p.parse_observations(dealt(s, d, "events").select(K, F.when(F.col(K) % 3 == 0, F.concat(F.lit('{"records":['), F.col("props"), F.lit(",1,"), F.col("props"), F.lit("]}"))).when(
         F.col(K) % 3 == 1, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise("nothing").alias("text"))).select(K, "record_no", F.get_json_object("record", "$.k").alias("k")),
 }
 

@@ -16,7 +16,7 @@ from ..operators.canonical import canonicalize
 from ..operators.normalize import coerce_scalars, convert_units, harmonize_fields, normalize
 from ..operators.standardize import expand_param_name, standardize
 from ..operators.validate import accept_reject_counts, reject_summary, route, validate
-from .tables import files, table
+from .tables import dealt, files
 
 def key():
     return F.col("event_id")
@@ -46,7 +46,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     types = {"view": "sensor_measurement", "click": "control_state_event", "error": "alarm_event", "purchase": "process_job", "signup": "csv_row"}
     record_type = F.element_at(F.create_map(*[F.lit(x) for kv in types.items() for x in kv]), kind)
-    return table(spark, sf_dir, "events").select(
+    return dealt(spark, sf_dir, "events").select(
         key().alias("seq"), (F.col("user_id") % 50).alias("file_id"), F.concat(F.lit("tool_"), (F.col("user_id") % 50).cast("string"), F.lit(".log")).alias("filename"),
         record_type.alias("record_type"), F.when(key() % 13 == 0, 0.3).alias("confidence"), data.alias("data"),
     )
@@ -78,7 +78,7 @@ def _embedded(s, d):
 
 
 def _events(s, d):
-    return table(s, d, "events")
+    return dealt(s, d, "events")
 
 
 def _coerce(s, d):

@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly work on each row: if its scan has fewer splits than the session has cores (a small file is one
+    split), its rows are dealt out to all of them; a larger scan stays as it is."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, event_ts, tool_id, parameter, value (text), unit, step, severity, status of every event."""
     k = F.col("event_id")
