@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -67,6 +67,22 @@ def sort_numeric_then_text(rows: DataFrame, field: str, key: str, descending: bo
     return _top(placed, n, (way(F.col("sort_number")), way(F.col(field).cast("string")), F.asc(key)))
 
 
+def numbered(ordered: DataFrame, path: str) -> DataFrame:
+    """An ordered result with each row's position, from 1.
+
+    The result is written to path once, so that the sort isn't repeated with other bounds; positions follow from the
+    counts of its partitions, of which there are as many as sort tasks. No task sees more than its own rows.
+    """
+    ordered.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = ordered.sparkSession.read.parquet(path)
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    placed = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")  # a row for each sort task
+    return placed.withColumn("position", F.col("__start") + within + 1).drop("__part", "__at", "__start")
+
+
 def top_counts(rows: DataFrame, field: str, n: int | None = 10) -> DataFrame:
     """(name, n): the most frequent values of a field."""
     counted = rows.groupBy(_named(field).alias("name")).agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,10 +100,11 @@ def write_tables(validated: DataFrame, base_path: str, staging_path: str, load_i
     """Load accepted rows into the six domain tables and the rest into ``rejected_records``.
 
     Rows lie in partitions (load_id, event_date); each date's rows are gathered into a few files by a salt. A load that
-    failed half-way or runs again under its id replaces its own partitions and doubles nothing.
+    failed half-way or runs again under its id replaces its own partitions and doubles nothing. Each target reads its own
+    staged rows alone; targets without any are left out, the others are written side by side.
     """
     rows = stage(validated, staging_path)
-    routed = route(rows.where(F.col("target_table") != REJECTED))
+    filled = {r[0] for r in rows.select("target_table").distinct().collect()}  # eight at most
     now = F.current_timestamp()
 
     def save(df: DataFrame, name: str, *by: str) -> None:
@@ -111,9 +113,16 @@ def write_tables(validated: DataFrame, base_path: str, staging_path: str, load_i
         made = made.repartition(*[F.col(c) for c in by], salt)
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_id", *by).parquet(f"{base_path}/{name}")
 
-    for table in DOMAIN_COLUMNS:
-        save(with_event_date(project_domain_rows(routed, table)), table, "event_date")
-    save(rejected_of(rows.where(F.col("target_table") == REJECTED)), REJECTED)
+    def load(name: str) -> None:
+        part = rows.where(F.col("target_table") == name)
+        if name == REJECTED:
+            save(rejected_of(part), name)
+        else:
+            save(with_event_date(project_domain_rows(route(part), name)), name, "event_date")
+
+    with ThreadPoolExecutor(len(filled) or 1) as side_by_side:
+        for done in [side_by_side.submit(load, name) for name in sorted(filled)]:
+            done.result()
 
 
 def write_results(validated: DataFrame, path: str, load_id: str) -> None:

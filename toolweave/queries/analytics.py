@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import new_path
 from ..operators import analytics as a
 from .tables import READINGS_SQL, files, readings, states, table
 
@@ -50,10 +51,10 @@ def _mean(df):
 QUERIES = {
     "table_counts": lambda s, d: a.table_counts({"events": table(s, d, "events"), "faults": _faults(s, d), "orders": table(s, d, "orders")}),
     "recent_files": lambda s, d: a.recent_files(files(s, d)).select("file_id", "filename"),
-    "latest_rows": lambda s, d: a.latest_rows(readings(s, d), "event_id", ("value",)).select("event_id", "event_ts", "tool_id", "value"),
+    "latest_rows": lambda s, d: a.numbered(a.latest_rows(readings(s, d), "event_id", ("value",)).select("event_id", "event_ts", "tool_id", "value"), new_path(s, "latest")),
     "facet_values": lambda s, d: a.facet_values(readings(s, d)),
     "facet_filter": lambda s, d: a.facet_filter(readings(s, d), {"tool_id": "T3", "severity": "WARN", "step": ""}).select("event_id", "tool_id", "severity"),
-    "sort_numeric_then_text": lambda s, d: a.sort_numeric_then_text(readings(s, d), "value", "event_id", descending=True).select("event_id", "sort_number"),
+    "sort_numeric_then_text": lambda s, d: a.numbered(a.sort_numeric_then_text(readings(s, d), "value", "event_id", descending=True).select("event_id", "sort_number"), new_path(s, "sorted")),
     "top_counts": lambda s, d: a.top_counts(readings(s, d), "step"),
     "avg_by": lambda s, d: _mean(a.avg_by(readings(s, d), "tool_id", "value")),
     "sum_by": lambda s, d: a.sum_by(readings(s, d), "step", "value").withColumn("total", F.round("total", 2)),
@@ -69,12 +70,12 @@ QUERIES = {
 ORACLES = {
     "table_counts": "SELECT 'events' AS table_name, count(*) AS n FROM events UNION ALL SELECT 'faults', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'orders', count(*) FROM orders",
     "recent_files": "SELECT o_orderkey AS file_id, 'order_' || CAST(o_orderkey AS VARCHAR) || '.log' AS filename FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 20",
-    "latest_rows": f"{R} SELECT event_id, event_ts, tool_id, x AS value FROM r",
+    "latest_rows": f"{R} SELECT event_id, event_ts, tool_id, x AS value, row_number() OVER (ORDER BY event_id DESC) AS position FROM r",
     "facet_values": f"{R} SELECT DISTINCT field, value FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS field, {c} AS value FROM r" for c in ("tool_id", "step", "severity", "status", "parameter")
     ) + ") WHERE value IS NOT NULL AND value <> ''",
     "facet_filter": f"{R} SELECT event_id, tool_id, severity FROM r WHERE tool_id = 'T3' AND severity = 'WARN'",
-    "sort_numeric_then_text": f"{R} SELECT event_id, x AS sort_number FROM r",
+    "sort_numeric_then_text": f"{R} SELECT event_id, x AS sort_number, row_number() OVER (ORDER BY x DESC NULLS LAST, value_text DESC NULLS LAST, event_id) AS position FROM r",
     "top_counts": f"{R} SELECT {NAMED('step')} AS name, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, name LIMIT 10",
     "avg_by": f"{R} SELECT tool_id AS name, count(x) AS n, round(avg(x), 6) AS mean FROM r WHERE x IS NOT NULL GROUP BY 1 ORDER BY avg(x) DESC, name LIMIT 10",
     "sum_by": f"{R} SELECT {NAMED('step')} AS name, round(coalesce(sum(x), 0), 2) AS total FROM r GROUP BY 1",

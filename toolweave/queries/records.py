@@ -3,6 +3,7 @@ canonicalize, standardize, normalize, validate, route and project; the SQL start
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,9 +115,23 @@ def _numbers(s, d):
     return _events(s, d).select("event_id", to_number(text).alias("number"), to_int(text).alias("whole"))
 
 
+def _recipes_and_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as process parameters and clicks as generic observations, the kinds that parsed() has none of."""
+    rows, data = parsed(spark, sf_dir), F.col("data")
+    tool, at = data["tool"], ("ts", data["ts"])
+    recipe = ordered_bag([at, ("tool", tool), ("recipe", F.concat(F.lit("R"), (F.col("seq") % 6).cast("string"))), ("parameter", F.lit("overlap")), ("value", data["reading"])])
+    note = ordered_bag([at, ("tool", data["Equipment"]), ("event_name", F.concat(F.lit("E"), (F.col("seq") % 5).cast("string"))), ("remark", F.lit("seen"))])
+    kinds = (("sensor_measurement", "process_parameter_recipe", recipe), ("control_state_event", "generic_operational_observation", note))
+    made = [rows.where(F.col("record_type") == old).withColumns({"record_type": F.lit(new), "data": bag}) for old, new, bag in kinds]
+    return made[0].unionByName(made[1])
+
+
 def _project(s, d):
-    rows = sinks.project_domain_rows(route(validated(s, d)), "sensor_readings")
-    return rows.select("filename", "tool_id", "event_ts", "parameter", F.round("value", 6).alias("value"), "unit")
+    """All six tables: parsed once, written by target, each table projected from its own rows."""
+    both = parsed(s, d).unionByName(_recipes_and_notes(s, d))
+    rows = sinks.stage(validate(normalize(standardize(canonicalize(both)))), new_path(s, "staged"))
+    made = [sinks.project_domain_rows(route(rows.where(F.col("target_table") == t)), t).withColumn("table_name", F.lit(t)) for t in sinks.DOMAIN_COLUMNS]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), made).withColumn("value", F.round("value", 6))
 
 
 def _upsert(s, d):
@@ -211,10 +226,25 @@ ORACLES = {
     "reject_summary": f"{ROWS} SELECT reason AS validation_reason, count(*) AS n FROM judged WHERE reason <> 'ok' GROUP BY 1",
     "route_tables": f"""{ROWS} SELECT CASE record_type WHEN 'sensor_reading' THEN 'sensor_readings' WHEN 'equipment_state' THEN 'equipment_states' WHEN 'fault_event' THEN 'fault_events'
         ELSE 'wafer_processing_sequences' END AS target_table, {TOOL} AS tool_id, count(*) AS n FROM judged WHERE reason = 'ok' GROUP BY 1, 2""",
-    "project_domain_rows": f"""{ROWS} SELECT 'tool_' || CAST(user_id % 50 AS VARCHAR) || '.log' AS filename, {TOOL} AS tool_id, {TS} AS event_ts,
-        CASE WHEN event_type = 'view' THEN 'chuck_temp' WHEN measurement_no = 1 THEN 'chuck_temperature' ELSE 'pressure' END AS parameter,
-        round(CASE WHEN event_type = 'view' THEN {BY(3, '(value - 32) * 5 / 9', 'value - 273.15', 'value')} WHEN measurement_no = 1 THEN value ELSE value * 0.13332236842105263 END, 6) AS value,
-        CASE WHEN event_type = 'view' OR measurement_no = 1 THEN 'degC' ELSE 'Pa' END AS unit FROM judged WHERE reason = 'ok' AND record_type = 'sensor_reading'""",
+    "project_domain_rows": f"""{ROWS}, named AS (
+          SELECT *, 'tool_' || CAST(user_id % 50 AS VARCHAR) || '.log' AS filename, {TOOL} AS tool_id, {TS} AS event_ts FROM judged)
+        SELECT 'sensor_readings' AS table_name, filename, tool_id, event_ts,
+          CASE WHEN event_type = 'view' THEN 'chuck_temp' WHEN measurement_no = 1 THEN 'chuck_temperature' ELSE 'pressure' END AS parameter,
+          round(CASE WHEN event_type = 'view' THEN {BY(3, '(value - 32) * 5 / 9', 'value - 273.15', 'value')} WHEN measurement_no = 1 THEN value ELSE value * 0.13332236842105263 END, 6) AS value,
+          CASE WHEN event_type = 'view' OR measurement_no = 1 THEN 'degC' ELSE 'Pa' END AS unit,
+          CAST(NULL AS VARCHAR) AS event_name, CAST(NULL AS VARCHAR) AS slot, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS step, CAST(NULL AS VARCHAR) AS severity,
+          CAST(NULL AS DOUBLE) AS duration_s, CAST(NULL AS BIGINT) AS wafer_count
+        FROM named WHERE reason = 'ok' AND record_type = 'sensor_reading'
+        UNION ALL BY NAME SELECT 'equipment_states' AS table_name, filename, tool_id, event_ts, 'RUN' AS curr_state, 'IDLE' AS prev_state
+        FROM named WHERE reason = 'ok' AND record_type = 'equipment_state'
+        UNION ALL BY NAME SELECT 'fault_events' AS table_name, filename, tool_id, event_ts, 'A' || CAST(event_id % 9 AS VARCHAR) AS fault_code, 'limit' AS fault_summary
+        FROM named WHERE reason = 'ok' AND record_type = 'fault_event'
+        UNION ALL BY NAME SELECT 'wafer_processing_sequences' AS table_name, filename, tool_id, event_ts, 'W' || CAST(event_id % 25 AS VARCHAR) AS wafer, 'L1' AS lot
+        FROM named WHERE reason = 'ok' AND record_type = 'wafer_processing_sequence'
+        UNION ALL BY NAME SELECT 'process_parameters_recipes' AS table_name, filename, tool_id, event_ts, 'R' || CAST(event_id % 6 AS VARCHAR) AS recipe,
+          'overlap' AS parameter, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS status FROM named WHERE event_id % 13 <> 0 AND event_type = 'view'
+        UNION ALL BY NAME SELECT 'generic_observations_staging' AS table_name, filename, tool_id, event_ts, 'generic_operational_observation' AS record_type,
+          'E' || CAST(event_id % 5 AS VARCHAR) AS note FROM named WHERE event_id % 13 <> 0 AND event_type = 'click'""",
     "upsert_files": """SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 3 = 0 THEN 'kv' END AS source_format,
         CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END AS ingestion_time FROM orders""",
 }
