@@ -54,6 +54,11 @@ def bag_of_present(pairs: dict) -> Column:
     return F.map_filter(bag(pairs), lambda k, v: v.isNotNull())
 
 
+def let(value: Column, make) -> Column:
+    """make(value), with value evaluated once however often make uses it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def has_any(m: Column, keys) -> Column:
     return F.arrays_overlap(F.map_keys(m), literal_array(keys))
 

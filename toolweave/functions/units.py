@@ -28,14 +28,21 @@ def _family_of_unit() -> dict:
             for u in vocab.CONVERSIONS[family][1]}
 
 
-def measurement_family(parameter: Column, symbol: Column) -> Column:
-    """Family from the parameter name, else from the unit symbol."""
+def hinted_family(parameter: Column) -> Column:
+    """Family from the parameter name; null if it has no hint."""
     name = F.lower(F.coalesce(parameter, F.lit("")))
-    hinted = reduce(
+    return reduce(
         lambda acc, hint: (F.when if acc is None else acc.when)(name.rlike(hint[1]), hint[0]),
         vocab.FAMILY_HINTS, None)
-    by_unit = literal_map(_family_of_unit())[symbol]
-    return F.coalesce(hinted, by_unit)
+
+
+def family_of_unit(symbol: Column) -> Column:
+    return literal_map(_family_of_unit())[symbol]
+
+
+def measurement_family(parameter: Column, symbol: Column) -> Column:
+    """Family from the parameter name, else from the unit symbol."""
+    return F.coalesce(hinted_family(parameter), family_of_unit(symbol))
 
 
 def _conversion_table() -> Column:

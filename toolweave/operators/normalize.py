@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.fence import fence
-from ..functions.maps import bag_of_present
+from ..functions.maps import bag_of_present, let
 from ..functions.text import coerce_text, present, strip, to_number
-from ..functions.units import apply_conversion, conversion, measurement_family, unit_symbol
+from ..functions.units import apply_conversion, conversion, family_of_unit, hinted_family, measurement_family, unit_symbol
 
 
 def coerce_scalars(fields: Column, keep_text=tuple(vocab.ID_FIELDS)) -> Column:
@@ -45,7 +45,10 @@ def measure(value: Column, unit: Column, parameter: Column) -> dict[str, Column]
 
 def converted(number: Column, symbol: Column, family: Column) -> dict[str, Column]:
     """Converted value and unit; an unsupported pair keeps both."""
-    rule = conversion(family, symbol)
+    return by_rule(number, symbol, family, conversion(family, symbol))
+
+
+def by_rule(number: Column, symbol: Column, family: Column, rule: Column) -> dict[str, Column]:
     return {
         "value": apply_conversion(number, rule),
         "unit": F.when(number.isNull(), symbol).otherwise(F.coalesce(rule["unit"], symbol)),
@@ -85,28 +88,32 @@ def normalize(records: DataFrame) -> DataFrame:
     # The measured and expected values fall back to the unit as logged, not as converted.
     units = {"main": f["unit"], "measured": F.coalesce(text("measured_unit"), text("unit")),
              "expected": F.coalesce(text("expected_unit"), text("unit"))}
-    staged = fence(filled, {"__p": parameter, **{
-        f"__{m}": F.struct(to_number(values[m]).alias("number"), unit_symbol(units[m]).alias("symbol"))
-        for m in MEASURES}})
-    staged = fence(staged, {
-        f"__{m}": F.struct(F.col(f"__{m}.number"), F.col(f"__{m}.symbol"),
-                           measurement_family(F.col("__p"), F.col(f"__{m}.symbol")).alias("family"))
-        for m in MEASURES}, drop=("__p",))
-    done = {}
-    for m in MEASURES:
-        c = F.col(f"__{m}")
-        out = converted(c["number"], c["symbol"], c["family"])
-        done[f"__{m}"] = F.struct(*[v.alias(k) for k, v in out.items()], c["symbol"].alias("symbol"))
-    staged = fence(staged, done)
-
-    main, meas, exp = (F.col(f"__{m}") for m in MEASURES)
-    on_main = has("value") & has("unit")
-    on_meas = has("measured_value") & meas["symbol"].isNotNull()
-    on_exp = has("expected_value") & exp["symbol"].isNotNull()
+    # The three measures go through one lambda a step. Written out side by side, without a lambda, the steps became
+    # methods of more than 8,000 bytes of byte code, which the JVM never compiles.
+    present_in = {"main": has("value") & has("unit"), "measured": has("measured_value"), "expected": has("expected_value")}
+    given = F.array(*[F.struct(present_in[m].alias("on"), values[m].alias("value"), units[m].alias("unit")) for m in MEASURES])
+    read = F.transform(given, lambda s: F.struct(
+        s["on"].alias("on"), F.when(s["on"], to_number(s["value"])).alias("number"), unit_symbol(s["unit"]).alias("symbol")))
+    staged = fence(filled, {"__h": let(F.coalesce(parameter, F.lit("")), hinted_family), "__m": read})
+    named = F.transform("__m", lambda s: F.struct(
+        s["on"].alias("on"), s["number"].alias("number"), s["symbol"].alias("symbol"),
+        F.when(s["on"], F.coalesce(F.col("__h"), family_of_unit(s["symbol"]))).alias("family")))
+    ruled = F.transform(named, lambda s: F.struct(
+        s["on"].alias("on"), s["number"].alias("number"), s["symbol"].alias("symbol"), s["family"].alias("family"),
+        conversion(s["family"], s["symbol"]).alias("rule")))
+    made = F.transform(ruled, lambda s: F.struct(
+        s["on"].alias("on"), s["symbol"].alias("symbol"),
+        *[v.alias(k) for k, v in by_rule(s["number"], s["symbol"], s["family"], s["rule"]).items()]))
+    staged = fence(staged, {"__m": made}, drop=("__h",))
+
+    main, meas, exp = (F.get("__m", i) for i in range(len(MEASURES)))
+    on_main = main["on"]
+    on_meas = meas["on"] & meas["symbol"].isNotNull()
+    on_exp = exp["on"] & exp["symbol"].isNotNull()
     as_text = lambda c: c.cast("string")
     staged = fence(staged, {"__u": bag_of_present({
         "value": F.when(on_main, as_text(main["value"])),
-        "unit": F.when(on_main, main["unit"]).when(has("unit"), unit_symbol(f["unit"]))
+        "unit": F.when(on_main, main["unit"]).when(has("unit"), main["symbol"])
                  .when(on_meas, meas["unit"]),
         "units": F.when(has("units"), unit_symbol(f["units"])),
         "measured_value": F.when(on_meas, as_text(meas["value"])),
@@ -117,7 +124,7 @@ def normalize(records: DataFrame) -> DataFrame:
         "measurement_family": F.coalesce(F.when(on_exp, exp["family"]),
                                          F.when(on_meas, meas["family"]),
                                          F.when(on_main, main["family"])),
-    })}, drop=tuple(f"__{m}" for m in MEASURES))
+    })}, drop=("__m",))
     u = F.col("__u")
     return fence(staged, {"normalized_fields": F.map_concat(
         F.map_filter(f, lambda k, v: ~F.map_contains_key(u, k)), u)}, drop=("__f", "__u"))

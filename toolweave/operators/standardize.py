@@ -81,22 +81,31 @@ def embedded_measurements(fields: Column, numeric_only: bool = False) -> Column:
     suffixes = literal_map(vocab.UNIT_SUFFIXES)
     join = lambda parts, n: F.array_join(F.slice(parts, F.lit(1), F.greatest(n, F.lit(0))), "_")
 
+    # Each step binds what the next one uses several times: inside a lambda nothing is shared, and the
+    # splitting was done again for each use. Most names carry no unit and go before theirs is written out.
+    def cut(e: Column) -> Column:
+        return F.struct(F.filter(F.split(e["key"], SPLIT_NAME), lambda p: p != "").alias("parts"), e["value"].alias("value"), e["key"].alias("key"))
+
+    def ends(e: Column) -> Column:
+        last = F.lower(F.try_element_at(e["parts"], F.lit(-1)))
+        return F.struct(e["parts"].alias("parts"), e["value"].alias("value"), e["key"].alias("key"), last.alias("last"),
+                        F.when(F.size(e["parts"]) >= 3, F.concat(F.lower(F.try_element_at(e["parts"], F.lit(-2))), last)).alias("pair"))
+
+    def units(e: Column) -> Column:
+        return F.struct(e["parts"].alias("parts"), e["value"].alias("value"), e["key"].alias("key"), suffixes[e["pair"]].alias("two"), suffixes[e["last"]].alias("one"))
+
     def measured(e: Column) -> Column:
-        parts = F.filter(F.split(e["key"], SPLIT_NAME), lambda p: p != "")
-        n = F.size(parts)
-        last = F.lower(F.try_element_at(parts, F.lit(-1)))
-        pair = F.when(n >= 3, F.concat(F.lower(F.try_element_at(parts, F.lit(-2))), last))
-        two, one = suffixes[pair], F.when(n >= 2, suffixes[last])
-        name = F.when(two.isNotNull(), join(parts, n - 2)).otherwise(join(parts, n - 1))
-        return F.struct(expand_param_name(name).alias("parameter"), e["value"].alias("value"),
-                        F.coalesce(two, one).alias("unit"), e["key"].alias("source_key"))
+        n = F.size(e["parts"]) - F.when(e["two"].isNotNull(), 2).otherwise(1)
+        return F.struct(expand_param_name(join(e["parts"], n)).alias("parameter"), e["value"].alias("value"),
+                        F.coalesce(e["two"], e["one"]).alias("unit"), e["key"].alias("source_key"))
 
     def usable(e: Column) -> Column:
         ok = present(e["value"])
         return ok & to_number(e["value"]).isNotNull() if numeric_only else ok
 
-    found = F.transform(F.filter(F.map_entries(fields), usable), measured)
-    return F.filter(found, lambda m: m["unit"].isNotNull() & (m["parameter"] != ""))
+    several = F.filter(F.transform(F.filter(F.map_entries(fields), usable), cut), lambda e: F.size(e["parts"]) >= 2)
+    found = F.filter(F.transform(F.transform(several, ends), units), lambda e: e["two"].isNotNull() | e["one"].isNotNull())
+    return F.filter(F.transform(found, measured), lambda m: m["parameter"] != "")
 
 
 def standardize_fields(records: DataFrame) -> DataFrame:
