@@ -14,8 +14,12 @@ from . import nested
 
 
 def leaf_rows(docs: DataFrame, text_col: str = "text", items: int | None = None) -> DataFrame:
-    """docs with a row (path, kind, value, n, keys) for each leaf and each list of objects (kind objects) of its JSON text."""
-    return nested.leaf_rows(nested.read_json_docs(docs, text_col).drop("top_type", "top_keys"), "doc", items)
+    """docs with a row (path, kind, value, n, keys) for each leaf and each list of objects (kind objects) of its JSON text.
+
+    The documents are written once, parsed, with their depth: what makes them may be costlier than the walk.
+    """
+    made, levels = nested.written_docs(nested.read_json_docs(docs, text_col).drop("top_type", "top_keys"))
+    return nested.leaf_rows(made, "doc", items, levels=levels)
 
 
 def _cut() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import control_jobs as cj
 from ..operators import markup as mk
 from ..operators import nested as ns
-from .tables import table
+from .tables import dealt, table
 
 
 def text_of(*parts):
@@ -15,10 +15,10 @@ def text_of(*parts):
 
 
 def order_lines(s, d):
-    """Each order with its lines as an array in a fixed order."""
+    """Each order with its lines as an array in a fixed order. Orders are dealt out: where the lines are broadcast, the scan's splits stay."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
     lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").join(lines, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
+    return dealt(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").join(lines, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
 
 
 def joined(lines, make, mark=","):
@@ -30,7 +30,7 @@ def customers(s, d):
     line = lambda x: text_of('{"LineNo":', x["l_linenumber"], ',"Flag":"', x["l_returnflag"], '","Value":', x["q"], ',"refs":[{"PartID":', x["l_partkey"], '},{"PartID":', x["l_suppkey"], "}]}")
     order = text_of('{"OrderID":', F.col("o_orderkey"), ',"Status":"', F.col("o_orderstatus"), '","lines":[', joined("lines", line), "]}")
     orders = order_lines(s, d).select("o_custkey", F.struct("o_orderkey", order.alias("t")).alias("o")).groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o")).alias("o"))
-    both = table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey").join(orders, "id", "left")
+    both = dealt(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey").join(orders, "id", "left")
     return both.select("id", text_of('{"EquipmentID":"E', F.col("id"), '","home":{"NationKey":', F.col("c_nationkey"), ',"x":null},"orders":[', F.coalesce(joined("o", lambda x: x["t"]), F.lit("")), "]}").alias("text"))
 
 
