@@ -34,17 +34,20 @@ def path_samples(rows: DataFrame, by: str) -> DataFrame:
 def path_profile(rows: DataFrame, by: str, samples: int = 5) -> DataFrame:
     """(by, path, type, n, samples): types of a path collapsed to one name, filled leaves, and the smallest distinct values.
 
-    A group is a few numbers however many values a path has: each task sends on no more than the samples asked for.
+    A group is a few numbers however many values a path has: each task sends on no more than the samples asked for. The rows
+    are made once: counts and samples both go by the same count of every cut value.
     """
-    is_leaf = rows.where("kind <> 'objects'")
-    made = is_leaf.groupBy(by, "path").agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"), F.count_if(F.col("kind") != "null").alias("n"))
+    counted = rows.where("kind <> 'objects'").select(by, "path", "kind", _cut().alias("sample")).groupBy(by, "path", "kind", "sample").agg(F.count(F.lit(1)).alias("c"))
+    filled = F.col("kind") != "null"
+    made = counted.groupBy(by, "path").agg(F.array_sort(F.collect_set(F.when(filled, F.col("kind")))).alias("kinds"), F.coalesce(F.sum(F.when(filled, F.col("c"))), F.lit(0)).alias("n"))
     kinds = F.col("kinds")
     name = F.when(F.size(kinds) == 0, "null").when(F.size(kinds) == 1, F.get(kinds, 0)).when((F.size(kinds) == 2) & F.array_contains(kinds, "int") & F.array_contains(kinds, "float"), "float").otherwise(
         F.concat(F.lit("mixed:"), F.array_join(kinds, ",")))
-    order = F.row_number().over(Window.partitionBy(by, "path").orderBy("sample"))
-    few = path_samples(rows, by).withColumn("__k", order).where(F.col("__k") <= samples)
-    listed = few.groupBy(F.col(by).alias("__by"), F.col("path").alias("__path")).agg(F.array_sort(F.collect_list("sample")).alias("samples"))
-    joined = made.join(listed, made[by].eqNullSafe(listed["__by"]) & (made["path"] == listed["__path"]), "left")
+    # The filter asks the count too and the join is null-safe: nothing is pushed below the exchange, which both sides then share.
+    given = counted.where((F.col("c") > 0) & F.when(F.col("c") > 0, F.col("sample")).isNotNull())
+    few = given.withColumn("__k", F.dense_rank().over(Window.partitionBy(by, "path").orderBy("sample"))).where(F.col("__k") <= samples)
+    listed = few.select(F.col(by).alias("__by"), F.col("path").alias("__path"), "sample").distinct().groupBy("__by", "__path").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
+    joined = made.join(listed, made[by].eqNullSafe(listed["__by"]) & made["path"].eqNullSafe(listed["__path"]), "left")
     return joined.select(by, "path", name.alias("type"), "n", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
