@@ -53,10 +53,11 @@ def path_profile(rows: DataFrame, by: str, samples: int = 5) -> DataFrame:
 
 def record_boundaries(rows: DataFrame, by: str) -> DataFrame:
     """(by, path, n, keys): lists of objects, how many items they have in all, and the items' keys."""
-    lists = rows.where("kind = 'objects'")
-    counted = lists.groupBy(by, "path").agg(F.sum("n").alias("n"))
-    named = lists.select(by, "path", F.explode_outer("keys").alias("k")).distinct().groupBy(by, "path").agg(F.array_sort(F.collect_list("k")).alias("keys"))
-    return counted.join(named, [by, "path"])
+    lists = rows.where(F.col("kind") == "objects").where(F.col(by).isNotNull())
+    # The items are counted with the first key; a key is one row for a path before the keys come together.
+    named = lists.select(by, "path", "n", F.posexplode_outer("keys").alias("__p", "k"))
+    keys = named.groupBy(by, "path", "k").agg(F.sum(F.when(F.coalesce("__p", F.lit(0)) == 0, F.col("n")).otherwise(0)).alias("n"))
+    return keys.groupBy(by, "path").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("k")).alias("keys"))
 
 
 def structure_summary(rows: DataFrame, by: str, most: int | None = None) -> DataFrame:
