@@ -26,6 +26,20 @@ def test_levels_are_generators_without_lambdas(spark):
         leaf("d[]", "int", "1"), group("d[].e[]", 1, "f"), leaf("d[].e[].f", "bool", "true"), leaf("g[]", "null"), leaf("g[].h", "str", "1")]))
 
 
+def test_the_rows_are_made_once(spark):
+    rows = _rows(spark)
+    made = p.record_boundaries(rows, "id")
+    assert _plan(made).count("Relation") == 1
+    assert {(r.id, r.path): (r.n, tuple(r["keys"])) for r in made.collect()} == {(1, "a[]"): (2, ("x", "y")), (1, "a[].y[]"): (3, ("w", "z")), (1, "d[].e[]"): (1, ("f",)), (2, "[][]"): (1, ("k",))}
+    open_ = p.uncovered_paths(rows, spark.createDataFrame([(1, "d[].e[]")], "id long, path string"), "id")
+    assert _plan(open_).count("variant_explode") == _plan(rows).count("variant_explode")
+    assert sorted(map(str, open_.collect())) == sorted(["Row(id=1, path='a[].y[]')", "Row(id=2, path='[][]')", "Row(id=None, path='a[]')", "Row(id=None, path='a[].n[]')"])
+    made = p.path_profile(rows, "id")
+    made.collect()
+    assert "ReusedExchange" in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.path: (r.type, r.n, tuple(r.samples)) for r in made.where("id is null").collect()} == {"a[].x": ("str", 1, ("2",)), "a[].n[].x": ("int", 1, ("1",))}
+
+
 def test_no_item_of_a_list(spark):
     docs = ns.read_json_docs(spark.createDataFrame(TEXTS, "id long, text string"))
     for items, want in ((0, {"a[]"}), (1, {"a[]", "a[].x", "a[].y[]", "a[].y[].z", "d[]", "g[]"})):

@@ -102,9 +102,12 @@ def prune_structure(spec: DataFrame, profile: DataFrame, by: str) -> DataFrame:
 def uncovered_paths(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     """(by, path): innermost lists of objects that no record group (by, path) covers."""
     lists = rows.where("kind = 'objects'").select(by, "path").distinct()
-    parts = F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\[\]")) - 1), lambda k: F.concat(F.array_join(F.slice(F.split("path", r"\[\]"), F.lit(1), k), "[]"), F.lit("[]")))
-    inner = lists.select(by, F.col("path").alias("p"), F.explode(parts).alias("path")).where("path <> p").select(by, "path").distinct()
-    return lists.join(inner, [by, "path"], "left_anti").join(groups.select(by, "path"), [by, "path"], "left_anti")
+    pieces = F.split("path", r"\[\]")
+    parts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.concat(F.array_join(F.slice(pieces, F.lit(1), k), "[]"), F.lit("[]")))
+    # Every list beside those above it, in one go: it is listed itself, and inner ones may have named it. A null group is never named.
+    each = lists.select(by, F.col("path").alias("p"), F.explode(parts).alias("path"))
+    found = each.groupBy(by, "path").agg(F.bool_or(F.col("p") == F.col("path")).alias("listed"), F.bool_or((F.col("p") != F.col("path")) & F.col(by).isNotNull()).alias("named"))
+    return found.where("listed and not named").select(by, "path").join(groups.select(by, "path"), [by, "path"], "left_anti")
 
 
 def parse_observations(docs: DataFrame, text_col: str = "text") -> DataFrame:
