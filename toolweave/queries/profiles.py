@@ -26,10 +26,12 @@ def profiled(s, d):
     return p.path_profile(rows(s, d), "family")
 
 
-def whole(s, d):
-    """Structure of every customer and every control job."""
-    jobs = control_jobs(s, d).select(F.lit("job").alias("family"), "id", "text")
-    return p.structure_summary(p.leaf_rows(docs(s, d).unionByName(jobs)).withColumn("doc", F.struct("family", "id")), "doc").select("doc.*", "paths", "repeated")
+def whole(s, d, jobs=True):
+    """Structure of every customer, conversation and event, and of every control job where jobs are asked for."""
+    texts = docs(s, d)
+    if jobs:
+        texts = texts.unionByName(control_jobs(s, d).select(F.lit("job").alias("family"), "id", "text"))
+    return p.structure_summary(p.leaf_rows(texts).withColumn("doc", F.struct("family", "id")), "doc").select("doc.*", "paths", "repeated")
 
 
 def groups(s, d):
@@ -47,7 +49,7 @@ QUERIES = {
     "record_boundaries": lambda s, d: p.record_boundaries(rows(s, d), "family").select("family", "path", "n", F.array_join("keys", ",").alias("keys")),
     "structure_summary": lambda s, d: whole(s, d).select("family", "id", F.array_join("paths", ",").alias("paths"), F.array_join("repeated", ",").alias("repeated")),
     "schema_family": lambda s, d: whole(s, d).select("family", "id", p.schema_family(F.col("paths")).alias("schema_family")),
-    "schema_fingerprint": lambda s, d: whole(s, d).where("family <> 'job'").groupBy("family", p.schema_fingerprint(F.col("paths"), F.col("repeated")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n")),
+    "schema_fingerprint": lambda s, d: whole(s, d, jobs=False).where("family <> 'job'").groupBy("family", p.schema_fingerprint(F.col("paths"), F.col("repeated")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n")),
     "suggest_mappings": lambda s, d: p.suggest_mappings(profiled(s, d), "family").select("family", "field", F.array_join("paths", ",").alias("paths"), "confidence"),
     "prune_structure": lambda s, d: p.prune_structure(spec(s, d), profiled(s, d), "family").select("c_custkey", "path"),
     "uncovered_paths": lambda s, d: p.uncovered_paths(p.leaf_rows(customers(s, d)), groups(s, d), "id"),
