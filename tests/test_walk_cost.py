@@ -1,5 +1,8 @@
 """A walk is one chain of compiled generators over documents that are made and parsed once, whatever is asked of its rows."""
 
+from pyspark.sql import functions as F
+
+from toolweave.operators import markup as mk
 from toolweave.operators import nested as ns
 from toolweave.operators import profile as p
 
@@ -44,3 +47,19 @@ def test_no_item_of_a_list(spark):
     docs = ns.read_json_docs(spark.createDataFrame(TEXTS, "id long, text string"))
     for items, want in ((0, {"a[]"}), (1, {"a[]", "a[].x", "a[].y[]", "a[].y[].z", "d[]", "g[]"})):
         assert {r.path for r in ns.leaf_rows(docs.where("id = 1"), items=items).collect()} == want
+
+
+def test_names_in_quotes_leave_the_schema_readable(spark):
+    rows = spark.createDataFrame([('{"@a<":{"`x>`":[{"b c":1}]}}',)], "t string").select(F.parse_json("t").alias("v"))
+    marks = rows.select(ns._brackets(F.col("v"), F.schema_of_variant("v")).alias("b"), ns.levels_of(F.col("v")).alias("n")).first()
+    assert tuple(marks) == ("<<<<>>>>", 4)
+
+
+def test_singletons_group_only_what_may_be_one(spark):
+    """Of a document's objects those within lists that are no items: one here, however many items there are."""
+    lines = "".join(f'<line n="{k}"><part>{k}</part><check><qty>1</qty><flag>A</flag></check><w><x><y>1</y><z>2</z></x></w></line>' for k in range(20))
+    docs = mk.xml_list_unify(mk.read_xml_docs(spark.createDataFrame([(1, f"<o><s>1</s><t>2</t>{lines}</o>"), (None, f"<o>{lines}</o>"), (3, "<o><a><b>1</b><c>2</c></a></o>")], "id long, text string")), "id")
+    assert {(r.id, tuple(r.lists)) for r in docs.collect()} == {(1, ("o.line",)), (None, ("o.line",)), (3, ())}
+    found = mk.singleton_paths(docs, "id")
+    assert r"\[\d+\]\z" in _plan(found)  # items are left out before the grouping
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(i, x) for i in (1, None) for x in ("o.line.check", "o.line.w.x")], key=str)
